@@ -32,7 +32,7 @@ def trend(monthly: DataFrame) -> DataFrame:
     grouped = monthly.groupBy("applicant_id").agg(
         F.count("*").alias("months"), F.round(F.avg(revenue), 8).alias("avg_month"), F.regr_slope(revenue, number.cast("double")).alias("slope"), F.min("month").alias("first_month"), F.max("month").alias("last_month")
     )
-    return grouped.withColumn("slope", F.when(F.col("months") >= 2, F.round("slope", 7)))
+    return grouped.withColumn("slope", F.when(F.col("months") >= 2, F.round(F.col("slope").cast("decimal(18,6)"), 4).cast("double")))
 
 
 def features(applicants: DataFrame, ledger: DataFrame) -> DataFrame:

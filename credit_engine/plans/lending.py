@@ -206,7 +206,7 @@ ledger AS (
 monthly AS (SELECT applicant_id, month, sum(revenue) AS revenue, sum(expense) AS expense, sum(tax) AS tax FROM ledger GROUP BY 1, 2),
 trend AS (
   SELECT applicant_id, count(*) AS months, round(avg(CAST(revenue AS DOUBLE)), 8) AS avg_month,
-         CASE WHEN count(*) >= 2 THEN round(regr_slope(CAST(revenue AS DOUBLE), CAST(year(month) * 12 + month(month) AS DOUBLE)), 7) END AS slope FROM monthly GROUP BY 1),
+         CASE WHEN count(*) >= 2 THEN CAST(round(CAST(regr_slope(CAST(revenue AS DOUBLE), CAST(year(month) * 12 + month(month) AS DOUBLE)) AS DECIMAL(18,6)), 4) AS DOUBLE) END AS slope FROM monthly GROUP BY 1),
 per AS (
   SELECT applicant_id, count(*) AS n_orders, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(expense) AS DOUBLE) AS expense, CAST(sum(tax) AS DOUBLE) AS tax, sum(lines)::DOUBLE AS lines,
          sum(returned)::DOUBLE AS returned, sum(settled)::DOUBLE AS settled, round(stddev_samp(amount) / nullif(avg(amount), 0), 6) AS cv FROM ledger GROUP BY 1),
