@@ -120,10 +120,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 def repeat_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with every row as often as the mix takes it, in docs' columns."""
     mixed = mix(docs, id_column, text, source)
-    taken = mixed.filter("copies > 0").select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{source}`").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
+    taken = mixed.filter("copies > 0").select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{source}`").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")).distinct()
     sized = docs.withColumn("__n", F.size(words(F.col(f"`{text}`"))).cast("long"))
     same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    return sized.join(taken, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return sized.join(taken, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

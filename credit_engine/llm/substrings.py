@@ -308,11 +308,11 @@ def repeated_words(docs: DataFrame, text: str = "text", window: int = WINDOW, ba
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the words that stay; texts that lose none are as they were, n_chars follows the text, and documents that lose all their words go."""
     done = repeated_words(docs, text).filter("n_removed > 0")
+    done = done.select(F.col("k1").alias("__of1"), F.col("k2").alias("__of2"), F.col("kept").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__all"))
     k1, k2 = text_keys(F.col(f"`{text}`"))
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    joined = keyed.join(done, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
-    joined = joined.filter(F.col("n_removed").isNull() | (F.col("n_removed") < F.col("n_words")))
-    changed = {text: F.coalesce("kept", F.col(f"`{text}`")), "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None}
+    joined = keyed.join(done, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")), "left").filter(~F.coalesce("__all", F.lit(False)))
+    changed = {text: F.coalesce("__kept", F.col(f"`{text}`")), "n_chars": F.coalesce(F.length("__kept").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None}
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
