@@ -148,7 +148,7 @@ class FingerprintIndex:
     def repeated(self) -> DataFrame:
         """(fp, n) of the fingerprints that occur twice or more."""
         self.compact()
-        return self.spark.read.parquet(self.runs[0][2]).filter("n > 1")
+        return self.spark.read.schema("fp long, n long").parquet(self.runs[0][2]).filter("n > 1")
 
     def drop(self) -> None:
         for _, name, path in self.runs:
@@ -278,7 +278,7 @@ def repeated_words(docs: DataFrame, text: str = "text", window: int = WINDOW, ba
     index = FingerprintIndex(spark)
     for batch in range(batches):
         index.add(held.filter(F.pmod("k2", F.lit(batches)) == batch).select(F.explode("places").alias("fp"), F.col("copies").alias("n")))
-    places = spark.read.parquet(folder).select("k1", F.explode(F.array_distinct("places")).alias("fp"))
+    places = spark.read.schema(held.schema).parquet(folder).select("k1", F.explode(F.array_distinct("places")).alias("fp"))
     marked = places.join(index.repeated(), "fp").groupBy("k1").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns"))
     runs = held.join(marked, "k1").select("k1", "k2", "copies", "packed", "fps", "ns").mapInArrow(_candidates(window), _RUN)
     dealt = runs.repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt")
