@@ -1,21 +1,25 @@
 """Language-model scores by stupid backoff over bigrams of tokens.
 
-Counts are taken over all documents. A vocabulary's tokens are counted first: two arrays as long as the vocabulary, hence
-of bounded size, are sent to all workers. Bigrams are exploded in blocks of documents, dealt by the hash of the bigram,
-counted there and joined to the blocks' own occurrences; each part's sums are added up for every text. What a document
-itself has of a bigram is left out of its counts, so that no document vouches for itself.
+Every text is tokenized once, into a table of blocks of documents. Each block's distinct bigrams and their counts are
+exploded and dealt by the hash of the bigram; a part adds its share of the count table up and gives every block the
+totals of its own bigrams, which are joined to the block and summed for each document there. A bigram is one entry of a
+block however often it stands in it, so a very common one weighs no more on its part than there are blocks. Counts of
+single tokens are two arrays as long as the vocabulary, hence of bounded size. What a document itself has of a bigram is
+left out of its counts, so that no document vouches for itself.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, text_keys
+from .shared import delete, documents, materialize, new_path
 from .tokens import encoder, tokenizer_path
 
 BACKOFF = 0.4
@@ -24,125 +28,152 @@ BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], file: str, start: int) -> Iterator[tuple]:
-    """Of (k1, k2, text) rows: keys, document numbers, contexts and tokens of blocks; each document begins after `start`."""
-    own = encoder(file)
-    keys: list[tuple[int, int]] = []
-    coded: list[np.ndarray] = []
-    size = 0
+def _code(file: str):
+    """Rows of (id, text) to blocks: their number, the documents' ids and numbers of tokens, and all tokens in 16 bits each."""
 
-    def block() -> tuple:
-        lengths = [len(x) for x in coded]
-        tokens = np.concatenate(coded).astype(np.uint64)
-        context = np.empty_like(tokens)
-        context[1:] = tokens[:-1]
-        firsts = np.cumsum([0, *lengths[:-1]])
-        context[firsts[np.array(lengths) > 0]] = start
-        return keys, np.repeat(np.arange(len(keys), dtype=np.uint64), lengths), context, tokens
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part, number = encoder(file), TaskContext.get().partitionId(), 0
+        ids: list = []
+        coded: list[np.ndarray] = []
+        size = 0
+
+        def block(kind: pa.DataType) -> pa.RecordBatch:
+            row = (part << 32 | number, ids, [len(x) for x in coded], np.concatenate(coded).astype("<u2").tobytes())
+            types = (pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "ids", "lengths", "tokens"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                for one, tokens in zip(piece.column(0).to_pylist(), own.encode(piece.column(1).to_pylist()), strict=True):
+                    ids.append(one)
+                    coded.append(np.frombuffer(tokens, "<u4"))
+                    size += len(coded[-1])
+                    if size >= BLOCK_TOKENS or len(ids) == BLOCK_DOCS:
+                        yield block(kind)
+                        ids, coded, size, number = [], [], 0, number + 1
+        if ids:
+            yield block(kind)
+
+    return run
 
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to how often each token stands, and how often as a document's last one; -1 stands for begun documents."""
+    total, last, begun = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            piece = batch.slice(at, 500)
-            for k1, k2, ids in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), own.encode(piece.column(2).to_pylist()), strict=True):
-                keys.append((k1, k2))
-                coded.append(np.frombuffer(ids, "<u4"))
-                size += len(coded[-1])
-                if size >= BLOCK_TOKENS or len(keys) == BLOCK_DOCS:
-                    yield block()
-                    keys, coded, size = [], [], 0
-    if size:
-        yield block()
-
-
-def token_counts(keyed: DataFrame, file: str, vocabulary: int) -> np.ndarray:
-    """How often each token stands as a context (row 0; the last entry is the begin of a document) and as a token (row 1)."""
+        for lengths, tokens in zip(batch.column("lengths"), batch.column("tokens"), strict=True):
+            sizes, tokens = lengths.values.to_numpy().astype(np.int64), np.frombuffer(tokens.as_py(), "<u2")
+            total += np.bincount(tokens, minlength=1 << 16)
+            last += np.bincount(tokens[np.cumsum(sizes)[sizes > 0] - 1], minlength=1 << 16)
+            begun += int((sizes > 0).sum())
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *used]), pa.array([begun, *total[used]]), pa.array([0, *last[used]])], names=["token", "n", "last"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, vocabulary + 1), np.int64)
-        for _, _, context, tokens in _blocks(batches, file, vocabulary):
-            for row, x in enumerate((context, tokens)):
-                total[row] += np.bincount(x.astype(np.int64), minlength=vocabulary + 1)
-        used = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], names=["token", "as_context", "as_token"])
-
-    counted = keyed.mapInArrow(run, "token long, as_context long, as_token long")
+
+def token_counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each token stands as a context (row 0; the last entry is the begin of a document) and as a token (row 1)."""
     counts = np.zeros((2, vocabulary + 1), np.int64)
-    for row in counted.groupBy("token").agg(F.sum("as_context").alias("c"), F.sum("as_token").alias("t")).collect():  # at most the vocabulary
-        counts[:, row.token] = row.c, row.t
+    tallied = blocks.select("lengths", "tokens").mapInArrow(_tally, "token long, n long, last long")
+    for row in tallied.groupBy("token").agg(F.sum("n").alias("n"), F.sum("last").alias("last")).collect():  # at most the vocabulary
+        if row.token < 0:
+            counts[0, vocabulary] = row.n
+        else:
+            counts[:, row.token] = row.n - row.last, row.n
     return counts
 
 
-_DEALT = "bucket int, k1 array<long>, k2 array<long>, pairs binary, n_docs binary, docs binary, counts binary"
-_SUMS = "k1 long, k2 long, log_sum double, n long, starts long"
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours begin."""
+    edge = np.ones(len(x), bool)
+    edge[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(edge)
 
 
-def _explode(file: str, vocabulary: int, buckets: int):
-    """Rows of (k1, k2, text) to blocks of bigrams: in each bucket the distinct ones, and for each the documents with their counts."""
-    names = [x.split()[0] for x in _DEALT.split(", ")]
-    types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+def _entries(lengths: np.ndarray, tokens: bytes, start: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct (bucket, bigram, document) in order, as 16, 32 and 16 bits, and the count of each; a document begins after `start`."""
+    token = np.frombuffer(tokens, "<u2").astype(np.uint64)
+    context = np.empty_like(token)
+    context[1:] = token[:-1]
+    context[(np.cumsum(lengths) - lengths)[lengths > 0]] = start
+    pairs = context << np.uint64(16) | token
+    bucket = ((pairs * _MIX) >> np.uint64(32)) % np.uint64(buckets)
+    keys = np.sort(bucket << np.uint64(48) | pairs << np.uint64(16) | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths))
+    at = _firsts(keys)
+    return keys[at], np.diff(at, append=len(keys))
+
+
+_DEALT = "bucket int, block long, pairs binary, counts binary"
+
+
+def _explode(start: int, buckets: int):
+    """Blocks to a row for each bucket with the block's distinct bigrams there, in order, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs, context, tokens in _blocks(batches, file, vocabulary):
-            pairs = context << np.uint64(16) | tokens
-            bucket = ((pairs * _MIX) >> np.uint64(32)) % np.uint64(buckets)
-            entries, counts = np.unique(bucket << np.uint64(48) | pairs << np.uint64(16) | docs, return_counts=True)
-            bounds = np.searchsorted(entries, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(48))
-            k1, k2 = zip(*keys, strict=True)
-            for b in range(buckets):
-                own, n = entries[bounds[b] : bounds[b + 1]], counts[bounds[b] : bounds[b + 1]]
-                if not len(own):
+        for batch in batches:
+            for block, lengths, tokens in zip(batch.column("block").to_pylist(), batch.column("lengths"), batch.column("tokens"), strict=True):
+                keys, n = _entries(lengths.values.to_numpy().astype(np.int64), tokens.as_py(), start, buckets)
+                if not len(keys):
                     continue
-                each = (own >> np.uint64(16)).astype("<u4")
-                first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
-                n_docs = np.diff(np.append(first, len(own))).astype("<u2")
-                row = (b, k1, k2, each[first].tobytes(), n_docs.tobytes(), own.astype("<u2").tobytes(), n.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+                grams = keys >> np.uint64(16)
+                at = _firsts(grams)
+                grams, n = grams[at], np.add.reduceat(n, at)
+                bounds = np.searchsorted(grams, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                used = np.flatnonzero(np.diff(bounds))
+                spans = [(bounds[b], bounds[b + 1]) for b in used]
+                pairs, n = grams.astype("<u4"), n.astype("<u4")  # the low 32 bits are the bigram
+                columns = [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (pairs, n)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "pairs", "counts"])
 
     return run
 
 
-def _score(counts: np.ndarray, vocabulary: int):
-    """Blocks sorted by bucket to the sums of each text there."""
-    names = [x.split()[0] for x in _SUMS.split(", ")]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to the totals over all blocks of the bigrams of each row, in the row's order."""
+
+    def bucket(rows: list[tuple]) -> pa.RecordBatch:
+        pairs = [np.frombuffer(r[2], "<u4") for r in rows]
+        _, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        table = np.zeros(at.max() + 1, np.int64)  # the bucket's share of the count table
+        np.add.at(table, at, np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
+        ends = np.cumsum([len(p) for p in pairs])
+        totals = [table[at[end - len(p) : end]].astype("<u8").tobytes() for p, end in zip(pairs, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows], pa.int32()), pa.array(totals, pa.binary())], names=["block", "bucket", "totals"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[0][0] != row[0]:
+                yield bucket(held)
+                held = []
+            held.append(row)
+    if held:
+        yield bucket(held)
+
+
+def _score(counts: np.ndarray, vocabulary: int, buckets: int):
+    """Blocks with their totals (one for each bucket) to id, n_tokens and log_sum of every document."""
     context_total, token_total = counts
     everything = int(token_total.sum())
 
-    def bucket(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for r in rows:
-            pairs = np.frombuffer(r["pairs"], "<u4")
-            times = np.frombuffer(r["n_docs"], "<u2").astype(np.int64)
-            n = np.frombuffer(r["counts"], "<u4").astype(np.int64)
-            parts.append((pairs, times, n, np.add.reduceat(n, np.cumsum(times) - times)))
-        known, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        table = np.bincount(at, np.concatenate([p[3] for p in parts]))  # the bucket's share of the bigram counts
-        end = 0
-        for r, (pairs, times, n, _) in zip(rows, parts, strict=True):
-            begin, end = end, end + len(pairs)
-            others = np.repeat(table[at[begin:end]], times) - n
-            context, token = np.repeat(pairs >> 16, times), np.repeat(pairs & 0xFFFF, times)
-            direct = np.maximum(others, 1) / np.maximum(context_total[context] - n, 1)
-            back = BACKOFF * (np.maximum(token_total[token] - n, 0) + 1) / (everything + vocabulary)
-            logs = np.log(np.where(others > 0, direct, back)) * n
-            docs = np.frombuffer(r["docs"], "<u2").astype(np.int64)
-            size = len(r["k1"])
-            total, has = np.bincount(docs, logs, size), np.bincount(docs, n, size).astype(np.int64)
-            starts = np.bincount(docs, n * (context == vocabulary), size).astype(np.int64)
-            pick = np.flatnonzero(has)
-            columns = [np.array(r["k1"])[pick], np.array(r["k2"])[pick], total[pick], has[pick], starts[pick]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield from bucket(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from bucket(held)
+            for ids, lengths, tokens, parts in zip(*[batch.column(c) for c in ("ids", "lengths", "tokens", "parts")], strict=True):
+                lengths = lengths.values.to_numpy().astype(np.int64)
+                sums = np.zeros(len(lengths))
+                keys, n = _entries(lengths, tokens.as_py(), vocabulary, buckets)
+                if len(keys):
+                    grams = keys >> np.uint64(16)
+                    at = _firsts(grams)
+                    total = np.frombuffer(b"".join(p["totals"] for p in sorted(parts.as_py(), key=lambda p: p["bucket"])), "<u8").astype(np.int64)
+                    others = np.repeat(total, np.diff(at, append=len(grams))) - n
+                    context, token = (grams >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (grams & np.uint64(0xFFFF)).astype(np.int64)
+                    direct = np.maximum(others, 1) / np.maximum(context_total[context] - n, 1)
+                    back = BACKOFF * (np.maximum(token_total[token] - n, 0) + 1) / (everything + vocabulary)
+                    sums = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), np.log(np.where(others > 0, direct, back)) * n, len(lengths))
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(lengths), pa.array(sums)], names=["id", "n_tokens", "log_sum"])
 
     return run
 
@@ -153,20 +184,28 @@ def score(docs: DataFrame, tokenizer_file: str, vocabulary: int, id_column: str
     A token w after c scores (f(c w) - own) / (f(c) - own) if the difference above is positive, else
     0.4 * (f(w) - own + 1) / (N + vocabulary), where own is what the document itself has of the bigram c w, and the
     first token follows a begin mark. log_score adds up the logarithms; a null or empty text has no tokens, score 0 and
-    a null mean. Equal texts score alike. The vocabulary must be below 65,535.
+    a null mean. Equal texts score alike, rows that repeat an id stay rows, and an empty table gives an empty result.
+    The vocabulary must be below 65,535.
     """
     spark = docs.sparkSession
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    k1, k2 = text_keys(F.col(f"`{text}`"))
-    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
-    counts = token_counts(keyed, tokenizer_file, vocabulary)
-    dealt = keyed.mapInArrow(_explode(tokenizer_file, vocabulary, buckets), _DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sums = dealt.mapInArrow(_score(counts, vocabulary), _SUMS).groupBy("k1", "k2").agg(F.sum("log_sum").alias("log_sum"), F.sum("n").alias("n"), F.sum("starts").alias("starts"))
-    ids = docs.select(F.col(f"`{id_column}`"), k1.alias("k1"), k2.alias("k2"))
-    n, log = F.col("n") / F.col("starts"), F.round(F.col("log_sum") / F.col("starts"), 6)
-    return ids.join(sums, ["k1", "k2"], "left").select(
-        F.col(f"`{id_column}`"), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(log, F.lit(0.0)).alias("log_score"), F.round(F.col("log_sum") / F.col("n"), 6).alias("mean_log_score")
-    )
+    kind = docs.select(F.col(f"`{id_column}`")).schema[0].dataType.simpleString()
+    shape = f"block long, ids array<{kind}>, lengths array<int>, tokens binary"
+    name, folder = f"coded_{uuid.uuid4().hex}", new_path(spark, "coded")
+    coded = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_code(tokenizer_file), shape)
+    # Bucketed by block, so that the totals come to the tokens and these are not shuffled.
+    coded.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", folder).saveAsTable(name)
+    blocks = spark.read.schema(shape).parquet(folder)
+    counts = token_counts(blocks, vocabulary)
+    exploded = blocks.select("block", "lengths", "tokens").mapInArrow(_explode(vocabulary, buckets), _DEALT)
+    totals = exploded.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "block long, bucket int, totals binary")
+    gathered = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))  # no more than a block's own bigrams
+    joined = spark.table(name).join(gathered, "block", "left").select("ids", "lengths", "tokens", "parts")
+    scored = materialize(joined.mapInArrow(_score(counts, vocabulary, buckets), f"id {kind}, n_tokens long, log_sum double"), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, folder)
+    log = F.round("log_sum", 6)
+    return scored.select(F.col("id").alias(id_column), "n_tokens", log.alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(F.col("log_sum") / F.col("n_tokens"), 6)).alias("mean_log_score"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
