@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, new_path
+from .shared import documents, materialize, new_path
 
 #: Samples in a row of the stored picture; payloads are padded to a multiple of it.
 ROW = 192
@@ -174,7 +174,11 @@ _READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def describe(spark: SparkSession, path: str) -> DataFrame:
-    """What the stored bytes hold, one row for each digest; all is computed from what is read back."""
+    """What the stored bytes hold, one row for each digest; all is computed from what is read back.
+
+    The rows are written to the shared folder, so that a join with them is a stage of its own, which Spark may split
+    where very many pages show one medium.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +191,7 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
 
     read = spark.read.schema("digest string, media binary").parquet(path).mapInArrow(run, _READ)
-    return read.dropDuplicates(["digest"])
+    return materialize(read.dropDuplicates(["digest"]), "described")
 
 
 def resolve(pages: DataFrame, media: DataFrame, items: str = "items", prefix: str = "sha256:") -> DataFrame:
