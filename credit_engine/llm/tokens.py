@@ -18,15 +18,21 @@ from . import simple8b
 from .shared import documents, new_path
 
 #: Ids a file holds before the next document begins another one; encoded chunks a worker holds before it forgets them.
-FILE_IDS, HELD = 1 << 20, 300_000
+FILE_IDS, HELD = 1 << 20, 1_000_000
 END_ID = 0
 
 #: No token of a byte-level BPE goes on from other characters into white space, so a text may be cut there.
 _CHUNKS = re.compile(r"\s*\S+(?:[^\S \t\n\r\x0b\x0c]\s*\S*)*|\s+").findall
+#: Words encoded as one text when they are new.
+TOGETHER = 2000
 
 
 class TextEncoder:
-    """Ids of texts by the tokenizers library, which sees every distinct chunk of a batch once."""
+    """Ids of texts by the tokenizers library, which sees every distinct chunk of a batch once.
+
+    Where all white space is single spaces and line breaks between other characters, the chunks are the words, each with
+    the space or the line break before it; other texts are cut by a pattern.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -34,20 +40,44 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by chunk
+        self.words: dict[str, bytes] = {}  # by word, after a space unless it begins with a line break
+        self.line, *more = self._ids(["\n"])[0]
+        self.even = not more and [self._ids([x])[0].tolist() for x in ("a\nb", "a\n b")] == [[*self._ids(["a"])[0], self.line, *self._ids([x])[0]] for x in ("b", " b")]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, missing: list[str]) -> None:
+        """Encodes new words as lines of one text; a line break is a token by itself there, so it parts their ids."""
+        line = np.array([self.line], "<u4").tobytes()
+        parts = [missing[i : i + TOGETHER] for i in range(0, len(missing), TOGETHER)]
+        for part, ids in zip(parts, self._ids(["\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) for part in parts]), strict=True):
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
+            coded, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                own = coded[4 * start : 4 * end]
+                self.words[w] = line + own if w[0] == "\n" else own
+                start = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        known = self.known
-        chunked = [_CHUNKS(t) if t else [] for t in texts]
-        missing = list({c for chunks in chunked for c in chunks if c not in known})
+        known, words = self.known, self.words
+        # A line break goes before each text, so that its first word is one like all others; its id is left out again.
+        cut = [("\n" + (t or "")).replace("\n", " \n")[1:].split(" ") for t in texts]
+        missing = set().union(*cut).difference(words)
+        odd = {w for w in missing if not self.even or w.removeprefix("\n").split() != [w.removeprefix("\n")]}
+        self._learn_words(list(missing - odd))
+        even = [odd.isdisjoint(c) for c in cut] if odd else [True] * len(cut)
+        chunked = {i: _CHUNKS(t) for i, (t, e) in enumerate(zip(texts, even, strict=True)) if t and not e}
+        missing = list(set().union(*chunked.values()).difference(known))
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        coded = [b"".join([known[c] for c in chunks]) for chunks in chunked]
-        if len(known) > HELD:
-            known.clear()
+            known.update(zip(part, [x.tobytes() for x in self._ids(part)], strict=True))
+        coded = [b"".join(map(words.__getitem__, c))[4:] if e else b"".join(map(known.__getitem__, chunked.get(i, []))) for i, (c, e) in enumerate(zip(cut, even, strict=True))]
+        for held in (known, words):
+            if len(held) > HELD:
+                held.clear()
         return coded
 
 
