@@ -24,7 +24,7 @@ END_ID = 0
 #: No token of a byte-level BPE goes on from other characters into white space, so a text may be cut there.
 _CHUNKS = re.compile(r"\s*\S+(?:[^\S \t\n\r\x0b\x0c]\s*\S*)*|\s+").findall
 #: Words encoded as one text when they are new.
-TOGETHER = 2000
+TOGETHER = 200
 
 
 class TextEncoder:
