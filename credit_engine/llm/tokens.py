@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -48,37 +49,45 @@ class TextEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, missing: list[str]) -> None:
+    def _learn_words(self, missing: set[str]) -> None:
         """Encodes new words as lines of one text; a line break is a token by itself there, so it parts their ids."""
-        line = np.array([self.line], "<u4").tobytes()
-        parts = [missing[i : i + TOGETHER] for i in range(0, len(missing), TOGETHER)]
-        for part, ids in zip(parts, self._ids(["\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) for part in parts]), strict=True):
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
-            coded, start = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                own = coded[4 * start : 4 * end]
-                self.words[w] = line + own if w[0] == "\n" else own
-                start = end + 1
+        line = np.array([self.line], "<u4")
+        for after_line in (False, True):
+            found = [w for w in missing if w.startswith("\n") == after_line]
+            parts = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
+            lines = ["\n".join([w[1:] if after_line else " " + w for w in part]) for part in parts]
+            ids = np.concatenate([line, *(x for one in self._ids(lines) for x in (one, line))])
+            marks = 4 * np.flatnonzero(ids == self.line)
+            starts, ends, coded = marks[:-1] if after_line else marks[:-1] + 4, marks[1:], ids.tobytes()
+            self.words.update(zip(found, [coded[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         known, words = self.known, self.words
         # A line break goes before each text, so that its first word is one like all others; its id is left out again.
-        cut = [("\n" + (t or "")).replace("\n", " \n")[1:].split(" ") for t in texts]
-        missing = set().union(*cut).difference(words)
+        flat: list[str] = []
+        bounds = [0]
+        for t in texts:
+            flat += ("\n" + (t or "")).replace("\n", " \n")[1:].split(" ")
+            bounds.append(len(flat))
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        coded = list(map(words.get, flat))
+        new = [i for i, ids in enumerate(coded) if ids is None]
+        missing = {flat[i] for i in new}
         odd = {w for w in missing if not self.even or w.removeprefix("\n").split() != [w.removeprefix("\n")]}
-        self._learn_words(list(missing - odd))
-        even = [odd.isdisjoint(c) for c in cut] if odd else [True] * len(cut)
+        self._learn_words(missing - odd)
+        for i in new:
+            coded[i] = words.get(flat[i])
+        even = [odd.isdisjoint(flat[a:b]) for a, b in spans] if odd else [True] * len(spans)
         chunked = {i: _CHUNKS(t) for i, (t, e) in enumerate(zip(texts, even, strict=True)) if t and not e}
-        missing = list(set().union(*chunked.values()).difference(known))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            known.update(zip(part, [x.tobytes() for x in self._ids(part)], strict=True))
-        coded = [b"".join(map(words.__getitem__, c))[4:] if e else b"".join(map(known.__getitem__, chunked.get(i, []))) for i, (c, e) in enumerate(zip(cut, even, strict=True))]
+        missing = set().union(*chunked.values()).difference(known)
+        for part in batched(missing, 20_000):
+            known.update(zip(part, [x.tobytes() for x in self._ids(list(part))], strict=True))
+        out = [b"".join(coded[a:b])[4:] if e else b"".join(map(known.__getitem__, chunked.get(i, []))) for i, ((a, b), e) in enumerate(zip(spans, even, strict=True))]
         for held in (known, words):
             if len(held) > HELD:
                 held.clear()
-        return coded
+        return out
 
 
 _encoders: dict[str, TextEncoder] = {}
