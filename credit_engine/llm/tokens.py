@@ -148,7 +148,8 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     # One row for each range of ids, not for each document, goes through the window.
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     starts = sizes.select("part", (F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("start"))
-    placed = files.join(starts, "part").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
+    # That table has at most spark.sql.shuffle.partitions rows of two numbers, so it is broadcast and no payload is shuffled.
+    placed = files.join(F.broadcast(starts), "part").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
