@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, materialize
+from .shared import documents, materialize, text_keys
 
 HALF = 31
 SHINGLE = 3
@@ -148,6 +148,11 @@ def _forest(fp: np.ndarray, distance: int, block: int = 256) -> tuple[np.ndarray
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
 
+def _roots(held: DataFrame) -> DataFrame:
+    """fp and root (the same for all of a component) of every fingerprint that has links."""
+    return connected_components(near_links(held.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp and component_id (the smallest id reachable) of every row of docs.
 
@@ -156,18 +161,39 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     """
     held = materialize(with_fingerprint(docs, [id_column], text), "fingerprints")
     by_fp = held.groupBy("fp").agg(F.min(id_column).alias("first"))
-    roots = connected_components(near_links(held.select("fp").distinct()))
-    joined = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    joined = by_fp.join(_roots(held), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(joined.select("fp", "root", "first"), "roots")
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return held.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(F.col(f"`{id_column}`"), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id is not the first of their component. Rows that repeat an id stay or go by their text."""
-    gone = components(docs, id_column, text).filter(~F.col(f"`{id_column}`").eqNullSafe(F.col("component_id")))
-    dropped = gone.select(F.col(f"`{id_column}`").alias("__gone")).distinct()
-    return docs.join(dropped, F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
+    """One row of docs for each component: see first_rows."""
+    k1, k2 = text_keys(F.col(f"`{text}`"))
+    keyed = docs.select(F.col(f"`{id_column}`").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
+    held = materialize(with_fingerprint(keyed, ["id", "k1", "k2"]), "fingerprints")
+    rows = held.join(_roots(held), "fp", "left").select("id", "k1", "k2", F.coalesce("root", "fp").alias("root"))
+    return first_rows(docs, rows, id_column, text)
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each root of rows (id, k1, k2, root: a row for each of docs, with its text_keys).
+
+    It is the one of the smallest id, null ids last, and of the smallest text keys among rows of that id. Of rows that
+    repeat both, which may differ in other columns, the least stays.
+    """
+    once = rows.groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("n"))
+    least = once.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "n")).alias("x"))
+    chosen = materialize(least.select(*[F.col(f"x.{c}").alias(f"__{c}") for c in ("id", "k1", "k2", "n")]), "chosen")
+    k1, k2 = text_keys(F.col(f"`{text}`"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(chosen.filter("__n = 1"), same).select(*columns)
+    repeated = chosen.filter("__n > 1")
+    if repeated.isEmpty():
+        return single
+    least = docs.join(repeated, same).groupBy("__id", "__k1", "__k2").agg(F.min(F.struct(*columns)).alias("__row"))
+    return single.union(least.select(*[F.col(f"__row.`{c}`") for c in docs.columns]))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

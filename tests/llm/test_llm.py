@@ -117,6 +117,16 @@ def test_simhash(docs, texts, tile, monkeypatch):
     assert {r.doc_id for r in kept.collect()} - {None} == set(want)
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(str(rng.randrange(10**6)) for _ in range(50)) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (None, b), (3, c), (4, d), (4, c), (None, e), (None, e)]  # repeated, null copy, one id with two texts, nulls alone
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted([(1, a), (2, b), (3, c), (4, d), (None, e)], key=str)
+    assert sorted(map(tuple, kept.collect()), key=str) == want
+    assert sorted(map(tuple, substrings.remove_repeats(kept).collect()), key=str) == want
+
+
 def test_anchors_cover(spark):
     rng = random.Random(3)
     pairs = []
