@@ -127,6 +127,31 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(map(tuple, substrings.remove_repeats(kept).collect()), key=str) == want
 
 
+@pytest.mark.parametrize(("few", "tile"), [(16, 2048), (2, 2048), (2, 7)])
+def test_near_stage_finds_similar_shingles(spark, texts, few, tile, monkeypatch):
+    import corpus_pipeline
+    from credit_engine.llm import near
+
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "TILE", tile)
+    rng = random.Random(2)
+    given = list(texts)
+    for _ in range(60):  # 300 words with 1 to 6 edits: similarity 0.97 to 0.82
+        w = [str(rng.randrange(10**6)) for _ in range(300)]
+        edited = list(w)
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            edited[at] = "edit"
+        given += [" ".join(w), " ".join(edited)]
+    sets = []
+    for t in given:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(closure(len(given), linked)))
+
+
 def test_anchors_cover(spark):
     rng = random.Random(3)
     pairs = []
