@@ -32,7 +32,8 @@ class TextEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct chunk of a batch once.
 
     Where all white space is single spaces and line breaks between other characters, the chunks are the words, each with
-    the space or the line break before it; other texts are cut by a pattern.
+    the space or the line break before it; other texts are cut by a pattern. Texts that hold an added token's string go
+    to the library whole.
     """
 
     def __init__(self, file: str):
@@ -40,7 +41,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # they are cut out before words are
         self.known: dict[str, bytes] = {}  # by chunk
         self.words: dict[str, bytes] = {}  # by word, after a space unless it begins with a line break
         self.line, *more = self._ids(["\n"])[0]
@@ -64,6 +65,9 @@ class TextEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         known, words = self.known, self.words
+        whole = {i: t for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        if whole:
+            texts = [None if i in whole else t for i, t in enumerate(texts)]
         # A line break goes before each text, so that its first word is one like all others; its id is left out again.
         flat: list[str] = []
         bounds = [0]
@@ -84,6 +88,8 @@ class TextEncoder:
         for part in batched(missing, 20_000):
             known.update(zip(part, [x.tobytes() for x in self._ids(list(part))], strict=True))
         out = [b"".join(coded[a:b])[4:] if e else b"".join(map(known.__getitem__, chunked.get(i, []))) for i, ((a, b), e) in enumerate(zip(spans, even, strict=True))]
+        for i, ids in zip(whole, self._ids(list(whole.values())) if whole else [], strict=True):
+            out[i] = ids.tobytes()
         for held in (known, words):
             if len(held) > HELD:
                 held.clear()

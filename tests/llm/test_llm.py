@@ -288,6 +288,17 @@ def test_token_files(spark, docs, texts):
         start += len(ids)
 
 
+def test_added_tokens_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    end = "<|endoftext|>"
+    given = ["one two", end, f"one {end} two", f"one{end}two", f"one \n{end}\n two", f"{end}{end} {end}\n\n", None, "", f"a  b\xa0{end}  c", "<|endoftext", "one two three"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in given]
+    assert [array.array("I", x).tolist() for x in tokens.TextEncoder(tokens.tokenizer_path()).encode(given)] == want
+    assert all(50256 in ids for t, ids in zip(given, want, strict=True) if t and end in t)
+
+
 def test_lm(docs, texts):
     coded = [array.array("I", x).tolist() for x in tokens.TextEncoder(tokens.tokenizer_path()).encode([r.text for r in docs.collect()])]
     own = [Counter(zip([50257, *v[:-1]], v, strict=True)) if v else Counter() for v in coded]
