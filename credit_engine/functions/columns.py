@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Own code of the suggestion that a high rate adds.
+RATE_WARNING = "high_rate_strains_repayment"
 
-def money(x: Column) -> Column:
-    """Two decimals, exact under addition; ties are cut at six decimals first."""
-    return F.round(x.cast("decimal(18,6)"), 2).cast("decimal(18,2)")
+
+def cents(x: Column) -> Column:
+    """An amount in hundredths as a bigint, whose sums are exact and cheap; ties are cut at six decimals first, halves go away from zero."""
+    millionths = F.floor(F.abs(x.cast("double")) * 1e6 + 0.5)
+    return F.when(x < 0, -1).otherwise(1) * F.call_function("div", millionths + 5000, F.lit(10000).cast("bigint"))
+
+
+def amount(cents: Column) -> Column:
+    """Hundredths as a double."""
+    return cents / 100.0
 
 
 def round2(x: Column) -> Column:
@@ -41,6 +50,16 @@ def is_high_rate(interest_rate: Column) -> Column:
     return F.coalesce(interest_rate.cast("double"), F.lit(0.0)) > 12.0
 
 
+def with_rate_warning(suggestions: Column, interest_rate: Column) -> Column:
+    """An array of suggestions with the warning appended where the rate is high."""
+    return F.when(is_high_rate(interest_rate), F.array_append(suggestions, F.lit(RATE_WARNING))).otherwise(suggestions)
+
+
+def default(values: Column, key: str) -> Column:
+    """A map's entry as a double; 0 where the key is absent."""
+    return F.coalesce(F.try_element_at(values, F.lit(key)).cast("double"), F.lit(0.0))
+
+
 def format_inr(amount: Column) -> Column:
     """Whole rupees, cut toward zero: the last three digits, then groups of two. A minus sign counts as a digit."""
     x = amount.cast("bigint").cast("string")

@@ -40,6 +40,29 @@ COACHING = [
     ("Cash Flow", "raise_average_balance"),
     ("Financial Health", "lower_emi_to_revenue"),
 ]
+#: Own codes for what is suggested with any offer.
+OFFER_TEXTS = ("offer_amount", "offer_rate")
+#: Own codes for the agents' reasons, by agent.
+REASONS = [
+    ("Financial Health", "leverage_and_growth"),
+    ("Cash Flow", "positive_but_volatile"),
+    ("Fraud Risk", "no_anomalies"),
+    ("Forecast", "revenue_projected_to_grow"),
+    ("Compliance", "filings_current"),
+    ("Business Stability", "low_churn_few_clients"),
+    ("Recommendation", "capacity_to_repay"),
+]
+#: Agents whose reasons are shown as cards.
+CARDS = ("Financial Health", "Fraud Risk", "Forecast")
+#: The stages of the workflow, in order.
+STAGES = ("Document Pipeline", "Financial Pipeline", "Feature Pipeline", "AI Pipeline", "Decision Pipeline", "Recommendation Pipeline", "Reporting Pipeline")
+# Nodes and edges of the drawn stage graph.
+NODES = [("1", "Financial Data"), ("2", "Feature Engineering"), ("3", "Health Agent"), ("4", "Fraud Agent"), ("5", "Forecast Agent"), ("6", "Decision Coordinator")]
+EDGES = [("1", "2"), ("2", "3"), ("2", "4"), ("2", "5"), ("3", "6"), ("4", "6"), ("5", "6")]
+# Slider, least, greatest, step.
+SLIDERS = [("loan_amount", 10000.0, 250000.0, 5000.0), ("interest_rate", 4.0, 24.0, 0.5), ("revenue_growth", -50.0, 100.0, 1.0), ("cash_flow_change", -30.0, 30.0, 1.0)]
+#: Industries that the intake takes, and the sources that it imports.
+INDUSTRIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")
 #: Scenarios that decisions are stressed with: name, revenue drop, interest rate.
 SCENARIOS = [("base", 0.0, 9.5), ("drop", 15.0, 9.5), ("rate", 0.0, 14.0), ("both", 15.0, 14.0)]
 
@@ -58,3 +81,7 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 def coaching(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(COACHING, "agent_name string, tip string")
+
+
+def reasons(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REASONS, "agent_name string, reason string")

@@ -1,11 +1,20 @@
-"""Agent scores to decisions."""
+"""Agent scores to decisions, offers and explanations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import drop_penalty, effective_score, is_high_rate, label, round2
+from ..functions.columns import drop_penalty, effective_score, emi, format_inr, is_high_rate, label, round2, with_rate_warning
+from .catalog import COACHING, OFFER_TEXTS
+
+#: Fixed terms of an offer: months of revenue lent, months to pay, the yearly rates of an approval and a review, and the
+#: share of the monthly cash flow that a payment may take.
+LENT_MONTHS, TENURE, RATES, PAYMENT_SHARE = 6.0, 36.0, (9.5, 11.5), 0.5
+#: Scenarios are joined to every decision, so there may be this many at most.
+MOST_SCENARIOS = 10_000
 
 
 def decide(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,27 +23,108 @@ def decide(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(mean.alias("mean_score")).withColumn("decision", label(F.col("mean_score")))
 
 
-def stress(decisions: DataFrame, scenarios: DataFrame, suggestions: int = 2) -> DataFrame:
-    """decisions under each scenario (few rows, revenue_drop and interest_rate), with the penalty and the added warning."""
+def collect_last(rows: DataFrame, keys: list[str], order: str, value: str = "score") -> DataFrame:
+    """keys and results, a map of agent_name to value; of rows of one name the last by `order` counts, of equals the largest value."""
+    last = rows.groupBy(*keys, "agent_name").agg(F.max(F.struct(order, value))[value].alias("x"))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent_name", "x")))).alias("results"))
+
+
+def stress(decisions: DataFrame, scenarios: DataFrame, suggestions: Column | None = None) -> DataFrame:
+    """decisions under each scenario (revenue_drop and interest_rate), with the penalty and the suggestions with the added warning.
+
+    Scenarios are few by nature and broadcast; more than MOST_SCENARIOS are an error.
+    """
+    if scenarios.limit(MOST_SCENARIOS + 1).count() > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios")
     score = F.col("mean_score") - drop_penalty(F.col("revenue_drop"))
-    return decisions.crossJoin(F.broadcast(scenarios)).withColumns({
-        "overall_health_score": round2(score), "stressed_decision": label(score),
-        "n_suggestions": (F.lit(suggestions) + is_high_rate(F.col("interest_rate")).cast("int")).cast("int"),
-    })
+    base = F.array(*map(F.lit, OFFER_TEXTS)) if suggestions is None else suggestions
+    advice = with_rate_warning(base, F.col("interest_rate"))
+    return decisions.crossJoin(F.broadcast(scenarios)).withColumns(
+        {"overall_health_score": round2(score), "stressed_decision": label(score), "suggestions": advice, "n_suggestions": F.size(advice), "warned": is_high_rate(F.col("interest_rate"))}
+    )
 
 
-def confidence_band(confidence):
+def confidence_band(confidence: Column) -> Column:
     """Low, Medium, High or Very High."""
     return F.when(confidence >= 0.9, "Very High").when(confidence >= 0.75, "High").when(confidence >= 0.5, "Medium").otherwise("Low")
 
 
-def contributions(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """scores with each agent's share of all distances from 50, and whether it speaks for or against."""
-    points = effective_score(F.col("agent_name"), F.col("score")) - 50.0
-    total = F.sum(F.abs("points"))
-    sums = scores.withColumn("points", points)
-    per = sums.groupBy(*keys).agg(total.alias("total"))
-    return sums.join(per, keys).select(
-        *keys, "agent_name", F.when(F.col("points") >= 0, "positive").otherwise("negative").alias("direction"),
-        round2(F.coalesce(F.try_divide(F.col("points"), F.col("total")), F.lit(0.0))).alias("impact"),
-    )
+def score_band(effective: Column) -> Column:
+    """A reason's code: how an agent judges from its own end."""
+    return F.when(effective > 70.0, "strong").when(effective > 50.0, "fair").otherwise("weak")
+
+
+def offered(principal: Column, decision: Column) -> dict[str, Column]:
+    """The columns of an offer of a principal: dearer for a review."""
+    rate = F.when(decision == "Approve", RATES[0]).otherwise(RATES[1])
+    return {"principal": principal, "interest_rate": rate, "emi": round2(emi(principal, rate, F.lit(TENURE))), "principal_inr": format_inr(principal)}
+
+
+def assess(scored: DataFrame) -> DataFrame:
+    """scored (wide rows with `agents`) with decision, confidence, offer, factors and tips, all on the applicant's row.
+
+    The principal is six average months, less where its payment would take over half of the average monthly cash flow,
+    and none for a reject. payment_share is the payment's part of an average month's revenue.
+    """
+    rows = scored.select("*", F.transform("agents", lambda x: x["effective"]).alias("e"))
+    one = [F.element_at("e", i) for i in range(1, 7)]
+    total = sum(one[1:], one[0])
+    sided = sum((F.when(x > 50.0, 1.0).otherwise(0.0) for x in one[1:]), F.when(one[0] > 50.0, 1.0).otherwise(0.0)) / 6.0
+    apart = sum((F.abs(x - 50.0) for x in one[1:]), F.abs(one[0] - 50.0))
+    held = rows.select("*", F.round(total / 6.0, 6).alias("mean_score"), F.round(F.greatest(sided, 1.0 - sided), 4).alias("confidence"), apart.alias("apart")).drop("e")
+    decision = label(F.col("mean_score"))
+    per_rupee = emi(F.lit(1.0), F.when(decision == "Approve", RATES[0]).otherwise(RATES[1]), F.lit(TENURE))
+    cash = F.coalesce(F.try_divide(F.col("revenue") - F.col("expense") - F.col("tax"), F.col("months").cast("double")), F.lit(0.0))
+    wanted, bearable = F.col("avg_month") * LENT_MONTHS, F.greatest(F.lit(0.0), cash * PAYMENT_SHARE) / per_rupee
+    principal = F.when(decision == "Reject", 0.0).otherwise(F.floor(round2(F.least(wanted, bearable))).cast("double"))
+    capped = (decision != "Reject") & (round2(bearable) < round2(wanted))
+    step = held.select("*", decision.alias("decision"), confidence_band(F.col("confidence")).alias("confidence_level"), principal.alias("principal"), capped.alias("capped"))
+    step = step.withColumns({k: v for k, v in offered(F.col("principal"), F.col("decision")).items() if k != "principal"})
+    factors = F.transform("agents", lambda x: F.struct(
+        x["agent_name"].alias("agent_name"), F.when(x["effective"] >= 50.0, "positive").otherwise("negative").alias("direction"),
+        round2(F.coalesce(F.try_divide(x["effective"] - 50.0, F.col("apart")), F.lit(0.0))).alias("impact"),
+    ))
+    weak = F.transform(F.filter("agents", lambda x: x["effective"] < 60.0), lambda x: x["agent_name"])
+    tips = F.filter(F.array(*[F.when(F.array_contains(weak, agent), tip) for agent, tip in COACHING]), lambda x: x.isNotNull())
+    return step.withColumns({"payment_share": F.coalesce(F.round(F.try_divide(F.col("emi"), F.col("avg_month")), 6), F.lit(0.0)), "factors": factors, "tips": tips}).drop("apart")
+
+
+def recommendation() -> Column:
+    """The struct of an offer, with the texts that go with a decision as suggestions."""
+    texts = F.when(F.col("decision") == "Reject", F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, OFFER_TEXTS)))
+    return F.struct("principal", "principal_inr", "interest_rate", F.lit(int(TENURE)).alias("tenure_months"), "emi", "payment_share", "capped", texts.alias("suggestions"))
+
+
+def overwrite_suggestions(recommendation: Column, tips: Column) -> Column:
+    """A recommendation whose suggestions are the coach's tips and nothing else."""
+    return recommendation.withField("suggestions", tips)
+
+
+def report() -> Column:
+    """The nested report of an assessed row."""
+    series = {
+        "revenue": lambda x: x["revenue"], "expense": lambda x: x["expense"], "cash_flow": lambda x: x["revenue"] - x["expense"] - x["tax"], "gst": lambda x: x["tax"],
+        "business_growth": lambda x: F.round(F.try_divide(x["revenue"], F.element_at("history", 1)["revenue"]), 6),
+    }
+    nothing = F.map_from_entries(F.array().cast("array<struct<key:date,value:double>>"))
+
+    def by_month(value: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.map_from_entries(F.transform("history", lambda x: F.struct(x["month"].alias("key"), value(x).alias("value")))), nothing)
+
+    timeline = [by_month(value).alias(c) for c, value in series.items()]
+    errors = F.filter(F.array(F.when(F.col("balance") < 0, "negative_balance")), lambda x: x.isNotNull())
+    warnings = F.filter(F.array(F.when(F.col("bare_orders") > 0, "orders_without_lines"), F.when(F.col("months") == 0, "no_orders")), lambda x: x.isNotNull())
+    state = F.when(F.size(errors) > 0, "Failed").when(F.size(warnings) > 0, "Warning").otherwise("Verified")
+    sound = F.round(1.0 - F.coalesce(F.try_divide(F.col("bare_orders"), F.col("n_orders")), F.lit(0.0)), 4)
+    split = lambda way: F.transform(F.filter("factors", lambda x: x["direction"] == way), lambda x: x["agent_name"])
+    return F.struct(
+        F.struct(F.concat(F.lit("CMP-"), F.col("applicant_id")).alias("company_id"), "name", "industry").alias("company_summary"),
+        F.struct(state.alias("status"), sound.alias("confidence"), errors.alias("errors"), warnings.alias("warnings")).alias("verification"),
+        F.struct(*timeline, nothing.alias("payroll")).alias("timeline"),
+        F.map_from_entries(F.transform("agents", lambda x: F.struct(x["agent_name"], x["score"]))).alias("scores"),
+        F.struct(round2(F.col("mean_score")).alias("overall_health_score"), "decision").alias("decision"),
+        F.struct("confidence", "confidence_level").alias("decision_confidence"),
+        overwrite_suggestions(recommendation(), F.col("tips")).alias("recommendation"),
+        F.filter(F.transform("agents", lambda x: F.when(x["effective"] <= 50.0, x["agent_name"])), lambda x: x.isNotNull()).alias("risk_factors"),
+        F.struct(split("positive").alias("positive_factors"), split("negative").alias("negative_factors"), F.transform("factors", lambda x: x["impact"]).alias("impacts")).alias("explainability"),
+    ).alias("report")

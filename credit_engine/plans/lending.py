@@ -1,8 +1,8 @@
-"""Queries that the reference only promises: data-driven timelines, scores, decisions and reports. Their SQL is the oracle."""
+"""Queries that the lending demo only promises: data-driven timelines, scores, decisions and reports. Their SQL is the oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,19 +13,20 @@ from ..streaming import payments as stream
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.features(tables.applicants(spark, sf_dir), tables.ledger(spark, sf_dir))
+    return profile.features(tables.applicants(spark, sf_dir), tables.ledger(spark, sf_dir), tables.payments(spark, sf_dir))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.agent_scores(_wide(spark, sf_dir))
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.scored(_wide(spark, sf_dir))
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.decide(_scores(spark, sf_dir), ["applicant_id", "industry"])
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each applicant with all that is decided on it; Spark leaves out what a query does not use."""
+    return decision.assess(_scored(spark, sf_dir))
 
 
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir).select("applicant_id", C.round2(F.col("mean_score")).alias("overall_health_score"), "decision")
+    return _assessed(spark, sf_dir).select("applicant_id", C.round2(F.col("mean_score")).alias("overall_health_score"), "decision")
 
 
 def monthly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +35,20 @@ def monthly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cashflow_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     cash = F.col("revenue") - F.col("expense") - F.col("tax")
-    return profile.monthly(tables.ledger(spark, sf_dir)).select("applicant_id", "month", *[F.col(c).cast("double").alias(c) for c in ("revenue", "expense", "tax")], cash.cast("double").alias("cash_flow"))
+    return profile.monthly(tables.ledger(spark, sf_dir)).select("applicant_id", "month", *[C.amount(F.col(c)).alias(c) for c in ("revenue", "expense", "tax")], C.amount(cash).alias("cash_flow"))
+
+
+def gst_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.tax_filings(tables.ledger(spark, sf_dir))
 
 
 def _upi(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = tables.payments(spark, sf_dir).filter("event_type = 'purchase'")
-    return paid.groupBy(F.trunc(F.col("ts").cast("date"), "month").alias("month")).agg(F.sum(C.money(F.col("value"))).cast("double").alias("upi"))
+    return paid.groupBy(F.trunc(F.col("ts").cast("date"), "month").alias("month")).agg(C.amount(F.sum("paid")).alias("upi"))
 
 
 def series_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    revenue = tables.ledger(spark, sf_dir).groupBy("month").agg(F.sum("revenue").cast("double").alias("revenue"))
+    revenue = tables.ledger(spark, sf_dir).groupBy("month").agg(C.amount(F.sum("revenue")).alias("revenue"))
     return revenue.join(_upi(spark, sf_dir), "month", "full_outer")
 
 
@@ -51,59 +56,97 @@ def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.features_long(_wide(spark, sf_dir))
 
 
+def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many features each of an applicant's nine groups holds; that of payroll none."""
+    maps = _wide(spark, sf_dir).select("applicant_id", profile.feature_maps().alias("m"))
+    names = maps.schema["m"].dataType.names
+    sizes = F.array(*[F.struct(F.lit(n).alias("feature_group"), F.size(F.col("m")[n]).cast("bigint").alias("n")) for n in names])
+    return maps.select("applicant_id", F.inline(sizes))
+
+
 def agent_scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("applicant_id", "agent_name", "score")
+    return profile.agent_scores(_wide(spark, sf_dir)).drop("industry")
+
+
+def agent_results_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of agents' scores after Cash Flow and Forecast were asked again and more strictly: the later answer counts."""
+    first = profile.agent_scores(_wide(spark, sf_dir)).select("applicant_id", "agent_name", "score", F.lit(1).alias("round"))
+    again = first.filter(F.col("agent_name").isin("Cash Flow", "Forecast")).select("applicant_id", "agent_name", (F.col("score") / 2.0).alias("score"), F.lit(2).alias("round"))
+    kept = decision.collect_last(first.unionByName(again), ["applicant_id"], "round")
+    return kept.select("applicant_id", F.explode("results").alias("agent_name", "score"))
 
 
 def decision_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Banded share of agents on the decision's side of 50."""
-    sided = (C.effective_score(F.col("agent_name"), F.col("score")) > 50.0).cast("double")
-    share = _scores(spark, sf_dir).groupBy("applicant_id").agg(F.avg(sided).alias("a"))
-    agreement = F.round(F.greatest("a", 1.0 - F.col("a")), 4)
-    return share.select("applicant_id", agreement.alias("confidence"), decision.confidence_band(agreement).alias("confidence_level"))
+    return _assessed(spark, sf_dir).select("applicant_id", "confidence", "confidence_level")
 
 
 def scenario_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stressed = decision.stress(_decisions(spark, sf_dir), catalog.scenarios(spark))
+    stressed = decision.stress(_assessed(spark, sf_dir).select("applicant_id", "mean_score"), catalog.scenarios(spark))
     return stressed.select("applicant_id", "scenario", "overall_health_score", F.col("stressed_decision").alias("decision"), "n_suggestions")
 
 
+def scenario_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggestions of every scenario in their order, the warning of a high rate last."""
+    stressed = decision.stress(_assessed(spark, sf_dir).select("applicant_id", "mean_score"), catalog.scenarios(spark))
+    return stressed.select("applicant_id", "scenario", F.posexplode("suggestions").alias("place", "suggestion"))
+
+
+def scenario_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for every scenario: the stressed decision and the offer that goes with it."""
+    assessed = _assessed(spark, sf_dir).select("applicant_id", "mean_score", F.col("decision").alias("base_decision"), "principal")
+    stressed = decision.stress(assessed, catalog.scenarios(spark))
+    offer = decision.offered(F.when(F.col("stressed_decision") == "Reject", 0.0).otherwise(F.col("principal")), F.col("stressed_decision"))
+    return stressed.select("applicant_id", "scenario", "base_decision", F.col("stressed_decision").alias("decision"), *[v.alias(k) for k, v in offer.items()])
+
+
 def label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stressed = decision.stress(_decisions(spark, sf_dir), catalog.scenarios(spark))
+    stressed = decision.stress(_assessed(spark, sf_dir).select("applicant_id", "mean_score", "decision"), catalog.scenarios(spark))
     return stressed.groupBy("scenario", F.col("decision").alias("from_decision")).pivot("stressed_decision", ["Approve", "Review", "Reject"]).agg(F.count(F.lit(1))).na.fill(0).withColumnsRenamed(
         {"Approve": "to_approve", "Review": "to_review", "Reject": "to_reject"}
     )
 
 
 def loan_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six months' average revenue over 36 months, dearer for a review and none for a reject, with the payment's share of a month."""
-    joined = _decisions(spark, sf_dir).select("applicant_id", "decision").join(_wide(spark, sf_dir).select("applicant_id", "avg_month"), "applicant_id")
-    principal = F.when(F.col("decision") == "Reject", 0.0).otherwise(F.round(F.col("avg_month") * 6.0, 0))
-    rate = F.when(F.col("decision") == "Approve", 9.5).otherwise(11.5)
-    offered = joined.select("applicant_id", "decision", "avg_month", principal.alias("principal"), rate.alias("interest_rate"))
-    paid = C.round2(C.emi(F.col("principal"), F.col("interest_rate"), F.lit(36.0)))
-    return offered.select("applicant_id", "decision", "principal", "interest_rate", paid.alias("emi"), C.format_inr(F.col("principal")).alias("principal_inr"))
+    """Six months' average revenue over 36 months, capped by the cash flow; with the payment's share of a month."""
+    return _assessed(spark, sf_dir).select("applicant_id", "decision", "principal", "interest_rate", "emi", "principal_inr", "capped", "payment_share")
 
 
 def portfolio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _decisions(spark, sf_dir).join(_wide(spark, sf_dir).select("applicant_id", "revenue"), "applicant_id")
-    return joined.rollup("industry", "decision").agg(
+    return _assessed(spark, sf_dir).rollup("industry", "decision").agg(
         F.grouping("industry").cast("bigint").alias("all_industries"), F.grouping("decision").cast("bigint").alias("all_decisions"), F.count("*").alias("n"),
-        F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"),
+        C.amount(F.sum(C.cents(F.col("revenue")))).alias("revenue"),
     )
 
 
 def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications, share approved, and revenue of those whose returns look like fraud."""
-    flagged = F.when(F.coalesce("return_rate", F.lit(0.0)) > 0.5, F.col("revenue").cast("decimal(18,2)"))
-    joined = _decisions(spark, sf_dir).join(_wide(spark, sf_dir).select("applicant_id", "revenue", "return_rate"), "applicant_id")
-    return joined.agg(F.count("*").alias("applications"), F.round(F.avg((F.col("decision") == "Approve").cast("double")), 6).alias("approval_rate"), F.coalesce(F.sum(flagged).cast("double"), F.lit(0.0)).alias("flagged_revenue"))
+    flagged = F.when(F.coalesce("return_rate", F.lit(0.0)) > 0.5, C.cents(F.col("revenue")))
+    return _assessed(spark, sf_dir).agg(F.count("*").alias("applications"), F.round(F.avg((F.col("decision") == "Approve").cast("double")), 6).alias("approval_rate"), F.coalesce(C.amount(F.sum(flagged)), F.lit(0.0)).alias("flagged_revenue"))
 
 
 def top_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten worst of each industry."""
+    """The ten worst of each industry; Spark keeps ten of each before it shuffles."""
     worst = F.row_number().over(W.partitionBy("industry").orderBy("mean_score", "applicant_id"))
-    return _decisions(spark, sf_dir).withColumn("rank", worst).filter("rank <= 10").select("industry", "rank", "applicant_id", C.round2(F.col("mean_score")).alias("overall_health_score"))
+    return _assessed(spark, sf_dir).select("industry", "applicant_id", "mean_score", worst.alias("rank")).filter("rank <= 10").select("industry", "rank", "applicant_id", C.round2(F.col("mean_score")).alias("overall_health_score"))
+
+
+def company_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What registering a company returns: success, its id and its name."""
+    return tables.applicants(spark, sf_dir).select(F.lit("success").alias("status"), F.concat(F.lit("CMP-"), F.col("applicant_id")).alias("company_id"), "name")
+
+
+def company_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.intake(tables.company_forms(spark, sf_dir), catalog.INDUSTRIES).drop("applicant_id")
+
+
+def import_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sources after an import, each with its rows: tax filings, digital payments, bank ledger."""
+    ledger = tables.ledger(spark, sf_dir)
+    sources = {"gst": tables.tax_filings(ledger), "upi": tables.payments(spark, sf_dir).filter("event_type = 'purchase'"), "banking": ledger}
+    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("source"), "n_rows") for name, df in sources.items()]
+    rows = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return rows.select("source", F.when(F.col("n_rows") > 0, "done").otherwise("idle").alias("state"), "n_rows")
 
 
 def doc_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +171,11 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events more than three deviations from their user's mean."""
-    own = W.partitionBy("user_id")
-    scored = tables.payments(spark, sf_dir).withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(own), F.stddev_samp("value").over(own)))
-    return scored.filter(F.abs("z") > 3.0).select("event_id", "user_id", F.round("z", 4).alias("z"))
+    """Events more than three deviations from their user's mean; a user's events are summed up before the shuffle, never gathered."""
+    paid = tables.payments(spark, sf_dir).select("event_id", "user_id", "value")
+    usual = paid.groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))
+    z = F.try_divide(F.col("value") - F.col("mean"), F.col("deviation"))
+    return paid.join(usual, "user_id").select("event_id", "user_id", z.alias("z")).filter(F.abs("z") > 3.0).select("event_id", "user_id", F.round("z", 4).alias("z"))
 
 
 def props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,14 +183,20 @@ def props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.contributions(_scores(spark, sf_dir), ["applicant_id"])
+    return _assessed(spark, sf_dir).select("applicant_id", F.inline("factors"))
+
+
+def reasoning_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of three agents for each applicant: how the agent judges and why."""
+    shown = _scored(spark, sf_dir).select("applicant_id", F.inline("agents")).filter(F.col("agent_name").isin(*catalog.CARDS))
+    return shown.join(F.broadcast(catalog.reasons(spark)), "agent_name").select("applicant_id", "agent_name", decision.score_band(F.col("effective")).alias("judgement"), "reason")
 
 
 def counterparty_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concentration of an applicant's purchases over suppliers: the sum of squared shares."""
-    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey", C.money(F.col("l_extendedprice")).alias("amount"))
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey", C.cents(F.col("l_extendedprice")).alias("amount"))
     orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("applicant_id"))
-    by = lines.join(orders, "order_id").groupBy("applicant_id", "l_suppkey").agg(F.sum("amount").cast("double").alias("amount"))
+    by = lines.join(orders, "order_id").groupBy("applicant_id", "l_suppkey").agg(C.amount(F.sum("amount")).alias("amount"))
     return by.groupBy("applicant_id").agg(F.count("*").alias("suppliers"), F.round(F.sum(F.col("amount") * F.col("amount")) / F.pow(F.sum("amount"), 2.0), 6).alias("hhi"))
 
 
@@ -159,7 +209,7 @@ def upi_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upi_daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.drain(stream.daily(stream.read_stream(spark, sf_dir)))
+    return stream.upsert(stream.daily(stream.read_stream(spark, sf_dir)), ["day", "event_type"])
 
 
 def upi_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,31 +218,95 @@ def upi_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coaching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tip for each agent that scores under 60 from its own end."""
-    weak = _scores(spark, sf_dir).filter(C.effective_score(F.col("agent_name"), F.col("score")) < 60.0)
-    return weak.join(F.broadcast(catalog.coaching(spark)), "agent_name").select("applicant_id", "tip")
+    return _assessed(spark, sf_dir).select("applicant_id", F.explode("tips").alias("tip"))
+
+
+def recommendation_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggestions of the recommendation in their order, after the coach's tips took their place."""
+    advised = _assessed(spark, sf_dir).select("applicant_id", decision.overwrite_suggestions(decision.recommendation(), F.col("tips")).alias("r"))
+    return advised.select("applicant_id", F.posexplode("r.suggestions").alias("place", "suggestion"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """applicant_id and report, the nested report of every applicant."""
+    return _assessed(spark, sf_dir).select("applicant_id", decision.report())
 
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested report of every applicant, flattened: decision, offer, confidence, counts of tips and of factors."""
-    tips = coaching_rules(spark, sf_dir).groupBy("applicant_id").agg(F.count("*").alias("n_tips"))
-    factors = explain_factors(spark, sf_dir).groupBy("applicant_id").agg(F.count_if(F.col("direction") == "positive").alias("positive_factors"), F.count_if(F.col("direction") == "negative").alias("negative_factors"))
-    parts = [decision_summary(spark, sf_dir), loan_offer(spark, sf_dir).drop("decision"), decision_confidence(spark, sf_dir), factors]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "applicant_id")
-    report = joined.join(tips, "applicant_id", "left").select(
-        "applicant_id", F.struct("overall_health_score", "decision").alias("decision"), F.struct("principal_inr", "interest_rate", "emi").alias("offer"),
-        F.struct("confidence", "confidence_level").alias("confidence"), F.struct("positive_factors", "negative_factors", F.coalesce("n_tips", F.lit(0)).alias("n_tips")).alias("explanation"),
+    """The nested report of every applicant, flattened."""
+    r = reports(spark, sf_dir)
+    count = lambda c: F.size(f"report.{c}").cast("bigint")
+    return r.select(
+        "applicant_id", "report.company_summary.*", F.col("report.verification.status").alias("verification_status"), F.col("report.verification.confidence").alias("verification_confidence"),
+        count("timeline.revenue").alias("n_months"), count("timeline.payroll").alias("n_payroll_months"), F.round(F.aggregate(F.map_values("report.timeline.cash_flow"), F.lit(0.0), lambda s, x: s + x), 2).alias("cash_flow"),
+        F.element_at("report.scores", "Cash Flow").alias("cash_flow_score"), "report.decision.*", "report.decision_confidence.*",
+        "report.recommendation.principal_inr", "report.recommendation.interest_rate", "report.recommendation.emi", F.array_join("report.recommendation.suggestions", ",").alias("suggestions"),
+        F.array_join("report.risk_factors", ",").alias("risk_factors"), count("explainability.positive_factors").alias("positive_factors"), count("explainability.negative_factors").alias("negative_factors"),
     )
-    return report.select("applicant_id", "decision.*", "offer.*", "confidence.*", "explanation.*")
+
+
+def workflow(spark: SparkSession, sf_dir: str, log: monitor.RunLog, retries: int = 0) -> tuple[DataFrame, int]:
+    """The reports of all applicants, and their number, made by the seven stages under a log.
+
+    Stages hand on a dictionary of DataFrames. All but the last build plans; the last one runs them, so that the time and
+    the failures of the work are its own. A stage that fails is tried again up to `retries` times.
+    """
+
+    def document(made: dict) -> dict:
+        return made | {"documents": document_features(spark, sf_dir), "verification": doc_verification(spark, sf_dir)}
+
+    def financial(made: dict) -> dict:
+        ledger = tables.ledger(spark, sf_dir)
+        return made | {"ledger": ledger, "issues": validation_issues(spark, sf_dir), "timeline": profile.growth(profile.monthly(ledger))}
+
+    def feature(made: dict) -> dict:
+        return made | {"features": profile.features(tables.applicants(spark, sf_dir), made["ledger"], tables.payments(spark, sf_dir))}
+
+    def agents(made: dict) -> dict:
+        return made | {"scored": profile.scored(made["features"])}
+
+    def decide(made: dict) -> dict:
+        return made | {"assessed": decision.assess(made["scored"])}
+
+    def recommend(made: dict) -> dict:
+        advised = made["assessed"].withColumn("recommendation", decision.overwrite_suggestions(decision.recommendation(), F.col("tips")))
+        return made | {"advised": advised}
+
+    def reporting(made: dict) -> dict:
+        reported, seen = made["advised"].select("applicant_id", decision.report()), Observation()
+        reported.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        return made | {"reports": reported, "n_reports": seen.get["n"]}
+
+    made = monitor.run_stages(log, list(zip(catalog.STAGES, (document, financial, feature, agents, decide, recommend, reporting), strict=True)), {}, retries)
+    return made["reports"], made["n_reports"]
 
 
 def workflow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monitor after a run of three stages, flattened and without its time."""
-    state = monitor.Monitor()
-    stages = [("Financial Pipeline", lambda df: profile.monthly(df)), ("Feature Pipeline", profile.trend), ("Reporting Pipeline", lambda df: df.select("applicant_id"))]
-    monitor.run_workflow(spark, stages, tables.ledger(spark, sf_dir), state)
-    return state.to_df(spark).select("current_stage", F.size("completed_stages").alias("n_completed"), "running_stage", "failed_stage", "retry_count", "pipeline_health")
+    """The state after a run of the seven stages over all applicants, flattened and without its time."""
+    log = monitor.RunLog()
+    _, n = workflow(spark, sf_dir, log)
+    return monitor.status(log.to_df(spark)).select("current_stage", F.size("completed_stages").alias("n_completed"), "running_stage", "failed_stage", "retry_count", "pipeline_health", F.lit(n).cast("bigint").alias("n_reports"))
+
+
+def workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened in a run, in order."""
+    log = monitor.RunLog()
+    workflow(spark, sf_dir, log)
+    return log.to_df(spark).select("seq", "event", "stage", "again")
+
+
+def initial_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state before anything has run."""
+    return monitor.status(monitor.RunLog().to_df(spark)).select("current_stage", F.size("completed_stages").alias("n_completed"), "running_stage", "failed_stage", "retry_count", "execution_time_ms", "pipeline_health")
+
+
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What processing returns: status, the state of the run and, as JSON, the decision and the offer of every applicant."""
+    log = monitor.RunLog()
+    made, _ = workflow(spark, sf_dir, log)
+    state = monitor.status(log.to_df(spark)).select("current_stage", "pipeline_health")
+    answer = F.to_json(F.struct(F.col("report.decision.decision").alias("decision"), F.col("report.recommendation.principal_inr").alias("principal_inr"), F.col("report.verification.status").alias("verification")))
+    return made.crossJoin(F.broadcast(state)).select("applicant_id", F.lit("success").alias("status"), "current_stage", "pipeline_health", answer.alias("report_json"))
 
 
 _BASE = """
@@ -208,13 +322,20 @@ trend AS (
   SELECT applicant_id, count(*) AS months, round(avg(CAST(revenue AS DOUBLE)), 8) AS avg_month,
          CASE WHEN count(*) >= 2 THEN CAST(round(CAST(regr_slope(CAST(revenue AS DOUBLE), CAST(year(month) * 12 + month(month) AS DOUBLE)) AS DECIMAL(18,6)), 4) AS DOUBLE) END AS slope FROM monthly GROUP BY 1),
 per AS (
-  SELECT applicant_id, count(*) AS n_orders, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(expense) AS DOUBLE) AS expense, CAST(sum(tax) AS DOUBLE) AS tax, sum(lines)::DOUBLE AS lines,
+  SELECT applicant_id, count(*) AS n_orders, count(*) FILTER (lines = 0) AS bare_orders, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(expense) AS DOUBLE) AS expense, CAST(sum(tax) AS DOUBLE) AS tax, sum(lines)::DOUBLE AS lines,
          sum(returned)::DOUBLE AS returned, sum(settled)::DOUBLE AS settled, round(stddev_samp(amount) / nullif(avg(amount), 0), 6) AS cv FROM ledger GROUP BY 1),
+span AS (SELECT applicant_id, min(month) AS first_month, max(month) AS last_month, sum(CAST(revenue - expense - tax AS DOUBLE)) AS cash FROM monthly GROUP BY 1),
+yearly AS (
+  SELECT applicant_id, last_month, first_month, cash, sum(CAST(revenue AS DOUBLE)) FILTER (year(month) = year(last_month)) AS y0, sum(CAST(revenue AS DOUBLE)) FILTER (year(month) = year(last_month) - 1) AS y1
+  FROM monthly JOIN span USING (applicant_id) GROUP BY ALL),
+upi AS (SELECT user_id AS applicant_id, CAST(sum(CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS upi_total, CAST(count(*) AS DOUBLE) AS upi_count FROM events WHERE event_type = 'purchase' GROUP BY 1),
 wide AS (
-  SELECT c_custkey AS applicant_id, c_mktsegment AS industry, c_acctbal AS balance, coalesce(revenue, 0) AS revenue, coalesce(expense, 0) AS expense, coalesce(tax, 0) AS tax, coalesce(cv, 1) AS cv,
+  SELECT c_custkey AS applicant_id, c_name AS name, c_mktsegment AS industry, c_acctbal AS balance, coalesce(n_orders, 0) AS n_orders, coalesce(bare_orders, 0) AS bare_orders, coalesce(months, 0) AS months, coalesce(cash, 0) AS cash,
+         coalesce(revenue, 0) AS revenue, coalesce(expense, 0) AS expense, coalesce(tax, 0) AS tax, coalesce(cv, 1) AS cv,
          round((coalesce(revenue, 0) - coalesce(expense, 0)) / nullif(revenue, 0), 6) AS margin, round(returned / nullif(lines, 0), 6) AS return_rate, round(settled / nullif(n_orders, 0), 6) AS settled_share,
-         round(coalesce(slope / nullif(avg_month, 0), 0), 6) AS trend, coalesce(avg_month, 0) AS avg_month
-  FROM customer LEFT JOIN per ON per.applicant_id = c_custkey LEFT JOIN trend ON trend.applicant_id = c_custkey),
+         round(coalesce(slope / nullif(avg_month, 0), 0), 6) AS trend, coalesce(avg_month, 0) AS avg_month, round(100 * (y0 / nullif(y1, 0) - 1), 4) AS growth_yoy,
+         round(months::DOUBLE / (year(last_month) * 12 + month(last_month) - year(first_month) * 12 - month(first_month) + 1), 6) AS filing_consistency, upi_total, upi_count
+  FROM customer LEFT JOIN per ON per.applicant_id = c_custkey LEFT JOIN trend ON trend.applicant_id = c_custkey LEFT JOIN yearly ON yearly.applicant_id = c_custkey LEFT JOIN upi ON upi.applicant_id = c_custkey),
 scores AS (
   SELECT applicant_id, industry, agent_name, round(greatest(0, least(100, raw)), 6) AS score FROM (
     SELECT applicant_id, industry, unnest(['Financial Health', 'Cash Flow', 'Fraud Risk', 'Forecast', 'Compliance', 'Business Stability']) AS agent_name,
@@ -226,12 +347,17 @@ scen AS (SELECT * FROM (VALUES ('base', 0.0::DOUBLE, 9.5::DOUBLE), ('drop', 15.0
 stressed AS (SELECT *, mean_score - CASE WHEN revenue_drop > 10 THEN 15 ELSE 0 END AS s FROM decided, scen),
 relabelled AS (SELECT *, CASE WHEN s > 70 THEN 'Approve' WHEN s > 50 THEN 'Review' ELSE 'Reject' END AS stressed_decision FROM stressed),
 offer AS (
-  SELECT decided.applicant_id, decision, CASE WHEN decision = 'Reject' THEN 0.0::DOUBLE ELSE round(avg_month * 6, 0) END AS principal, CASE WHEN decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate
-  FROM decided JOIN wide USING (applicant_id)),
+  SELECT decided.applicant_id, decision, avg_month, CASE WHEN decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate, avg_month * 6 AS wanted,
+         greatest(0, coalesce((revenue - expense - tax) / nullif(months, 0), 0) * 0.5::DOUBLE) AS payment FROM decided JOIN wide USING (applicant_id)),
+borne AS (SELECT *, payment / ((interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1)) AS bearable FROM offer),
+sized AS (
+  SELECT *, CASE WHEN decision = 'Reject' THEN 0.0::DOUBLE ELSE floor(CAST(round(CAST(least(wanted, bearable) AS DECIMAL(18,6)), 2) AS DOUBLE)) END AS principal,
+         decision <> 'Reject' AND round(CAST(bearable AS DECIMAL(18,6)), 2) < round(CAST(wanted AS DECIMAL(18,6)), 2) AS capped FROM borne),
 paid AS (
-  SELECT *, CAST(round(CAST(principal * (interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi, CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x FROM offer),
+  SELECT *, CAST(round(CAST(principal * (interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi, CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x FROM sized),
 offered AS (
-  SELECT applicant_id, decision, principal, interest_rate, emi, CASE WHEN length(x) <= 3 THEN '₹ ' || x ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left(x, length(x) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right(x, 3) END AS principal_inr FROM paid),
+  SELECT applicant_id, decision, principal, interest_rate, emi, coalesce(round(emi / nullif(avg_month, 0), 6), 0) AS payment_share, capped,
+         CASE WHEN length(x) <= 3 THEN '₹ ' || x ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left(x, length(x) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right(x, 3) END AS principal_inr FROM paid),
 agreed AS (SELECT applicant_id, round(greatest(avg(CASE WHEN e > 50 THEN 1.0::DOUBLE ELSE 0 END), 1 - avg(CASE WHEN e > 50 THEN 1.0::DOUBLE ELSE 0 END)), 4) AS confidence FROM eff GROUP BY 1),
 banded AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'Very High' WHEN confidence >= 0.75 THEN 'High' WHEN confidence >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level FROM agreed),
 factor AS (
@@ -240,6 +366,22 @@ factor AS (
 tips AS (
   SELECT applicant_id, tip FROM eff JOIN (VALUES ('Compliance', 'file_returns_on_time'), ('Business Stability', 'complete_registration'), ('Cash Flow', 'raise_average_balance'), ('Financial Health', 'lower_emi_to_revenue')) t(agent_name, tip) USING (agent_name) WHERE e < 60)
 """
+_FEATURES = _BASE + """
+, feature AS (SELECT * FROM (
+  SELECT applicant_id, 'revenue' AS feature_group, 'revenue' AS feature, CAST(revenue AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'revenue' AS feature_group, 'avg_month' AS feature, CAST(avg_month AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'profitability' AS feature_group, 'margin' AS feature, CAST(margin AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'cash_flow' AS feature_group, 'cv' AS feature, CAST(cv AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'growth' AS feature_group, 'trend' AS feature, CAST(trend AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'growth' AS feature_group, 'growth_yoy' AS feature, CAST(growth_yoy AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'gst_compliance' AS feature_group, 'tax' AS feature, CAST(tax AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'gst_compliance' AS feature_group, 'filing_consistency' AS feature, CAST(filing_consistency AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'digital_payment' AS feature_group, 'upi_total' AS feature, CAST(upi_total AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'digital_payment' AS feature_group, 'upi_count' AS feature, CAST(upi_count AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'credit_behaviour' AS feature_group, 'settled_share' AS feature, CAST(settled_share AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'business_stability' AS feature_group, 'return_rate' AS feature, CAST(return_rate AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT applicant_id, 'business_stability' AS feature_group, 'balance' AS feature, CAST(balance AS DOUBLE) AS value FROM wide) WHERE value IS NOT NULL)
+"""
 _ROUND2 = "CAST(round(CAST({} AS DECIMAL(18,6)), 2) AS DOUBLE)"
 _DAILY = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2"
 ORACLES = {
@@ -252,14 +394,44 @@ ORACLES = {
         , r AS (SELECT month, CAST(sum(revenue) AS DOUBLE) AS revenue FROM ledger GROUP BY 1),
         u AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CAST(sum(CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS upi FROM events WHERE event_type = 'purchase' GROUP BY 1)
         SELECT coalesce(r.month, u.month) AS month, revenue, upi FROM r FULL JOIN u ON r.month = u.month""",
-    "features_long": _BASE + "SELECT applicant_id, feature_group, feature, value FROM (" + " UNION ALL ".join(f"SELECT applicant_id, '{g}' AS feature_group, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM wide" for c, g in profile.GROUPS) + ") WHERE value IS NOT NULL",
+    "features_long": _FEATURES + "SELECT * FROM feature",
+    "feature_groups": _FEATURES + """
+        , groups AS (SELECT unnest(['revenue', 'profitability', 'cash_flow', 'growth', 'gst_compliance', 'digital_payment', 'credit_behaviour', 'business_stability', 'payroll']) AS feature_group)
+        SELECT applicant_id, feature_group, (SELECT count(*) FROM feature f WHERE f.applicant_id = wide.applicant_id AND f.feature_group = groups.feature_group) AS n FROM wide, groups""",
+    "agent_results_map": _BASE + "SELECT applicant_id, agent_name, CASE WHEN agent_name IN ('Cash Flow', 'Forecast') THEN score / 2 ELSE score END AS score FROM scores",
+    "gst_filings": _BASE + "SELECT applicant_id, month, CAST(expense AS DOUBLE) AS taxable, CAST(tax AS DOUBLE) AS tax FROM monthly",
+    "scenario_suggestions": _BASE + """
+        , s AS (SELECT applicant_id, scenario, CASE WHEN interest_rate > 12 THEN ['offer_amount', 'offer_rate', 'high_rate_strains_repayment'] ELSE ['offer_amount', 'offer_rate'] END AS list FROM relabelled)
+        SELECT applicant_id, scenario, CAST(unnest(range(len(list))) AS INTEGER) AS place, unnest(list) AS suggestion FROM s""",
+    "scenario_reports": _BASE + """
+        , s AS (SELECT r.applicant_id, scenario, r.decision AS base_decision, stressed_decision AS decision, CASE WHEN stressed_decision = 'Reject' THEN 0.0::DOUBLE ELSE principal END AS principal,
+                       CASE WHEN stressed_decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate FROM relabelled r JOIN offered o ON r.applicant_id = o.applicant_id),
+        t AS (SELECT *, CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x FROM s)
+        SELECT applicant_id, scenario, base_decision, decision, principal, interest_rate,
+               CAST(round(CAST(principal * (interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi,
+               CASE WHEN length(x) <= 3 THEN '₹ ' || x ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left(x, length(x) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right(x, 3) END AS principal_inr FROM t""",
+    "company_registry": "SELECT 'success' AS status, 'CMP-' || c_custkey AS company_id, c_name AS name FROM customer",
+    "company_intake": """
+        SELECT 'CMP-' || c_custkey AS company_id, c_name AS name, c_mktsegment AS industry,
+               CASE WHEN c_name IS NULL OR trim(c_name) = '' OR c_mktsegment IS NULL THEN 'missing_field' WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') THEN 'unknown_industry'
+                    WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'no_consent' ELSE 'accepted' END AS status FROM customer""",
+    "import_states": """
+        SELECT source, CASE WHEN n_rows > 0 THEN 'done' ELSE 'idle' END AS state, n_rows FROM (
+          SELECT 'gst' AS source, count(DISTINCT (o_custkey, date_trunc('month', o_orderdate))) AS n_rows FROM orders
+          UNION ALL SELECT 'upi', count(*) FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'banking', count(*) FROM orders)""",
+    "reasoning_cards": _BASE + """
+        SELECT applicant_id, agent_name, CASE WHEN e > 70 THEN 'strong' WHEN e > 50 THEN 'fair' ELSE 'weak' END AS judgement, reason
+        FROM eff JOIN (VALUES ('Financial Health', 'leverage_and_growth'), ('Fraud Risk', 'no_anomalies'), ('Forecast', 'revenue_projected_to_grow')) t(agent_name, reason) USING (agent_name)""",
+    "recommendation_suggestions": _BASE + """
+        SELECT applicant_id, CAST(row_number() OVER (PARTITION BY applicant_id ORDER BY place) - 1 AS INTEGER) AS place, tip AS suggestion
+        FROM tips JOIN (VALUES ('file_returns_on_time', 1), ('complete_registration', 2), ('raise_average_balance', 3), ('lower_emi_to_revenue', 4)) t(tip, place) USING (tip)""",
     "agent_scores_long": _BASE + "SELECT applicant_id, agent_name, score FROM scores",
     "decision_confidence": _BASE + "SELECT applicant_id, confidence, confidence_level FROM banded",
     "scenario_stress": _BASE + f"SELECT applicant_id, scenario, {_ROUND2.format('s')} AS overall_health_score, stressed_decision AS decision, CAST(2 + CASE WHEN interest_rate > 12 THEN 1 ELSE 0 END AS INTEGER) AS n_suggestions FROM relabelled",
     "label_migration": _BASE + """
         SELECT scenario, decision AS from_decision, count(*) FILTER (stressed_decision = 'Approve') AS to_approve, count(*) FILTER (stressed_decision = 'Review') AS to_review,
                count(*) FILTER (stressed_decision = 'Reject') AS to_reject FROM relabelled GROUP BY 1, 2""",
-    "loan_offer": _BASE + "SELECT * FROM offered",
+    "loan_offer": _BASE + "SELECT applicant_id, decision, principal, interest_rate, emi, principal_inr, capped, payment_share FROM offered",
     "portfolio_rollup": _BASE + """
         SELECT industry, decision, CAST(grouping(industry) AS BIGINT) AS all_industries, CAST(grouping(decision) AS BIGINT) AS all_decisions, count(*) AS n, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue
         FROM decided JOIN wide USING (applicant_id, industry) GROUP BY ROLLUP (industry, decision)""",
@@ -287,10 +459,27 @@ ORACLES = {
         SELECT user_id, min(ts) AS started, count(*) AS n_events, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM s GROUP BY user_id, session""",
     "coaching_rules": _BASE + "SELECT * FROM tips",
     "full_report": _BASE + f"""
-        SELECT applicant_id, {_ROUND2.format('mean_score')} AS overall_health_score, decided.decision, principal_inr, interest_rate, emi, confidence, confidence_level,
-               (SELECT count(*) FROM factor f WHERE f.applicant_id = decided.applicant_id AND direction = 'positive') AS positive_factors, (SELECT count(*) FROM factor f WHERE f.applicant_id = decided.applicant_id AND direction = 'negative') AS negative_factors,
-               (SELECT count(*) FROM tips t WHERE t.applicant_id = decided.applicant_id) AS n_tips
-        FROM decided JOIN offered USING (applicant_id) JOIN banded USING (applicant_id)""",
-    "workflow_status": "SELECT 'Completed' AS current_stage, 3 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 'Healthy' AS pipeline_health",
+        , f AS (SELECT applicant_id, count(*) FILTER (direction = 'positive') AS positive_factors, count(*) FILTER (direction = 'negative') AS negative_factors FROM factor GROUP BY 1),
+        t AS (SELECT applicant_id, string_agg(tip, ',' ORDER BY place) AS suggestions FROM tips
+              JOIN (VALUES ('file_returns_on_time', 1), ('complete_registration', 2), ('raise_average_balance', 3), ('lower_emi_to_revenue', 4)) t(tip, place) USING (tip) GROUP BY 1),
+        r AS (SELECT applicant_id, string_agg(agent_name, ',' ORDER BY place) AS risk_factors FROM eff
+              JOIN (VALUES ('Financial Health', 1), ('Cash Flow', 2), ('Fraud Risk', 3), ('Forecast', 4), ('Compliance', 5), ('Business Stability', 6)) t(agent_name, place) USING (agent_name) WHERE e <= 50 GROUP BY 1)
+        SELECT wide.applicant_id, 'CMP-' || wide.applicant_id AS company_id, name, wide.industry,
+               CASE WHEN balance < 0 THEN 'Failed' WHEN bare_orders > 0 OR months = 0 THEN 'Warning' ELSE 'Verified' END AS verification_status, round(1 - coalesce(bare_orders::DOUBLE / nullif(n_orders, 0), 0), 4) AS verification_confidence,
+               months AS n_months, 0::BIGINT AS n_payroll_months, round(cash, 2) AS cash_flow, (SELECT score FROM scores s WHERE s.applicant_id = wide.applicant_id AND agent_name = 'Cash Flow') AS cash_flow_score,
+               {_ROUND2.format('mean_score')} AS overall_health_score, decided.decision, confidence, confidence_level, principal_inr, interest_rate, emi, coalesce(suggestions, '') AS suggestions, coalesce(risk_factors, '') AS risk_factors,
+               positive_factors, negative_factors
+        FROM wide JOIN decided USING (applicant_id) JOIN offered USING (applicant_id) JOIN banded USING (applicant_id) JOIN f USING (applicant_id) LEFT JOIN t USING (applicant_id) LEFT JOIN r USING (applicant_id)""",
+    "workflow_status": "SELECT 'Completed' AS current_stage, 7 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 'Healthy' AS pipeline_health, count(*) AS n_reports FROM customer",
+    "workflow_events": """
+        SELECT CAST(seq AS BIGINT) AS seq, event, stage, false AS again FROM (VALUES
+          (0, 'begin', NULL), (1, 'enter', 'Document Pipeline'), (2, 'leave', 'Document Pipeline'), (3, 'enter', 'Financial Pipeline'), (4, 'leave', 'Financial Pipeline'), (5, 'enter', 'Feature Pipeline'),
+          (6, 'leave', 'Feature Pipeline'), (7, 'enter', 'AI Pipeline'), (8, 'leave', 'AI Pipeline'), (9, 'enter', 'Decision Pipeline'), (10, 'leave', 'Decision Pipeline'), (11, 'enter', 'Recommendation Pipeline'),
+          (12, 'leave', 'Recommendation Pipeline'), (13, 'enter', 'Reporting Pipeline'), (14, 'leave', 'Reporting Pipeline'), (15, 'end', NULL)) t(seq, event, stage)""",
+    "initial_status": "SELECT 'Initialized' AS current_stage, 0 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 0.0::DOUBLE AS execution_time_ms, 'Healthy' AS pipeline_health",
+    "process_documents": _BASE + """
+        SELECT wide.applicant_id, 'success' AS status, 'Completed' AS current_stage, 'Healthy' AS pipeline_health,
+               '{"decision":"' || decided.decision || '","principal_inr":"' || principal_inr || '","verification":"' || CASE WHEN balance < 0 THEN 'Failed' WHEN bare_orders > 0 OR months = 0 THEN 'Warning' ELSE 'Verified' END || '"}' AS report_json
+        FROM wide JOIN decided USING (applicant_id) JOIN offered USING (applicant_id)""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -11,6 +11,7 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every column expression records its call stack
         **conf,
     }
     return SparkSession.builder.master(master).appName("credit_engine").config(map=settings).getOrCreate()

@@ -9,42 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import money
-
-NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
-
+from ..functions.columns import amount, cents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: table(spark, sf_dir, name) for name in NAMES}
-
-
 def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), F.col("c_mktsegment").alias("industry"), F.col("c_acctbal").alias("balance"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("industry"), F.col("c_acctbal").alias("balance"))
 
 
 def order_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order that has lines: net, tax (decimal), lines and returned lines."""
+    """One row for each order that has lines: net, tax (cents), lines and returned lines."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        F.sum(money(net)).alias("net"), F.sum(money(net * F.col("l_tax"))).alias("tax"),
+        F.sum(cents(net)).alias("net"), F.sum(cents(net * F.col("l_tax"))).alias("tax"),
         F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"),
     )
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order: applicant_id, month, amount, revenue, expense, tax (decimals), lines, returned, settled."""
+    """One row for each order: applicant_id, month, amount, revenue, expense, tax (cents), lines, returned, settled."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("applicant_id"),
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.col("o_totalprice").alias("amount"),
-        money(F.col("o_totalprice")).alias("revenue"), (F.col("o_orderstatus") == "F").cast("int").alias("settled"),
+        cents(F.col("o_totalprice")).alias("revenue"), (F.col("o_orderstatus") == "F").cast("int").alias("settled"),
     )
-    zero = F.lit(0).cast("decimal(18,2)")
     return orders.join(order_costs(spark, sf_dir), "order_id", "left").select(
-        "order_id", "applicant_id", "month", "amount", "revenue", "settled", F.coalesce("net", zero).alias("expense"), F.coalesce("tax", zero).alias("tax"),
+        "order_id", "applicant_id", "month", "amount", "revenue", "settled", F.coalesce("net", F.lit(0)).alias("expense"), F.coalesce("tax", F.lit(0)).alias("tax"),
         F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("returned", F.lit(0)).alias("returned"),
     )
 
@@ -52,5 +44,22 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream with a typed time in UTC and the number in its JSON."""
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k")
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", cents(F.col("value")).alias("paid"), F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
+
+
+def tax_filings(ledger: DataFrame) -> DataFrame:
+    """applicant_id, month, taxable and tax of every month with orders."""
+    return ledger.groupBy("applicant_id", "month").agg(amount(F.sum("expense")).alias("taxable"), amount(F.sum("tax")).alias("tax"))
+
+
+def company_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company forms: name, industry, yearly revenue wanted and consent, which a balance that is not negative stands for."""
+    return applicants(spark, sf_dir).select("applicant_id", "name", "industry", (F.col("balance") >= 0).alias("consent"))
+
+
+def intake(forms: DataFrame, industries: tuple[str, ...]) -> DataFrame:
+    """forms with company_id, and status: accepted, or the first thing that is wrong; nulls are missing fields."""
+    missing = F.col("name").isNull() | (F.trim("name") == "") | F.col("industry").isNull()
+    status = F.when(missing, "missing_field").when(~F.col("industry").isin(*industries), "unknown_industry").when(~F.coalesce("consent", F.lit(False)), "no_consent").otherwise("accepted")
+    return forms.select("applicant_id", F.concat(F.lit("CMP-"), F.col("applicant_id")).alias("company_id"), "name", "industry", status.alias("status"))

@@ -61,24 +61,92 @@ def test_mean_of_six(spark):
     assert (row.mean_score, row.decision) == (83.0, "Approve")
 
 
-def test_monitor(spark):
-    m = monitor.Monitor()
-    assert tuple(m.to_df(spark).first()) == ("Initialized", [], None, None, 0, 0.0, "Healthy")
-    monitor.run_workflow(spark, [("A", lambda d: d), ("B", lambda d: d)], spark.range(1), m, action=lambda d: d.count())
-    assert (m.current_stage, m.completed_stages, m.pipeline_health) == ("Completed", ["A", "B", "Execute"], "Healthy")
+def state(spark, log):
+    return monitor.status(log.to_df(spark)).first()
+
+
+def test_log_of_runs(spark):
+    log = monitor.RunLog()
+    assert tuple(state(spark, log)) == ("Initialized", [], None, None, 0, 0.0, "Healthy")
+    log.add("begin")
+    assert state(spark, log).current_stage == "Starting"
+    log.add("enter", "A")
+    s = state(spark, log)
+    assert (s.current_stage, s.running_stage, s.completed_stages) == ("A", "A", [])
+    log.add("leave", "A")
+    s = state(spark, log)
+    assert (s.current_stage, s.running_stage, s.completed_stages) == ("A", None, ["A"])
+    log.add("end")
+    assert state(spark, log).current_stage == "Completed"
+    assert monitor.run_stages(log, [("B", lambda x: x + 1), ("C", lambda x: 2 * x)], 3) == 8
+    s = state(spark, log)  # of both runs
+    assert (s.current_stage, s.completed_stages, s.pipeline_health, s.failed_stage) == ("Completed", ["A", "B", "C"], "Healthy", None) and s.execution_time_ms >= 0
     with pytest.raises(ZeroDivisionError):
-        monitor.run_workflow(spark, [("C", lambda d: 1 / 0)], spark.range(1), m)
-    assert (m.current_stage, m.failed_stage, len(m.completed_stages)) == ("Failed", "C", 3)
-    m.start()
-    m.fail("D", retry=True)
-    m.finish()
-    assert (m.current_stage, m.pipeline_health, m.retry_count) == ("Completed", "Degraded", 1)
+        monitor.run_stages(log, [("D", lambda x: x / 0)], 1)
+    s = state(spark, log)
+    assert (s.current_stage, s.failed_stage, s.running_stage, len(s.completed_stages), s.pipeline_health) == ("Failed", "D", None, 3, "Failed")
+    left = [1, 0]
+    assert monitor.run_stages(log, [("E", lambda x: x // (1 - left.pop()))], 5, retries=2) == 5 or not left
+    s = state(spark, log)
+    assert (s.current_stage, s.pipeline_health, s.completed_stages[-1]) == ("Completed", "Healthy" if s.retry_count == 0 else "Degraded", "E")
 
 
-def test_stream_equals_table(spark, sf_dir):
+def test_retry_degrades_and_completes(spark):
+    log, answers = monitor.RunLog(), iter([1 / 3, None, 7])
+
+    def flaky(_):
+        x = next(answers)
+        if x != 7:
+            raise OSError("again")
+        return x
+
+    assert monitor.run_stages(log, [("A", flaky)], None, retries=2) == 7
+    s = state(spark, log)
+    assert (s.current_stage, s.pipeline_health, s.retry_count, s.failed_stage, s.completed_stages) == ("Completed", "Degraded", 2, "A", ["A"])
+
+
+def test_last_answer_counts(spark):
+    rows = [(1, "a", 5.0, 1), (1, "a", 3.0, 2), (1, "b", 4.0, 1), (1, "b", 6.0, 1), (2, "a", None, 1)]
+    got = {r.k: r.results for r in decision.collect_last(spark.createDataFrame(rows, "k long, agent_name string, score double, round int"), ["k"], "round").collect()}
+    assert got == {1: {"a": 3.0, "b": 6.0}, 2: {"a": None}}
+
+
+def test_warning_is_appended(spark):
+    given = F.array(F.lit("x"))
+    assert one(spark, C.with_rate_warning(given, F.lit(12.5))) == ["x", C.RATE_WARNING] and one(spark, C.with_rate_warning(given, F.lit(12.0))) == ["x"]
+    assert one(spark, C.default(F.create_map(F.lit("a"), F.lit(2)), "a")) == 2.0 and one(spark, C.default(F.create_map(F.lit("a"), F.lit(2)), "b")) == 0.0
+
+
+def test_too_many_scenarios(spark, monkeypatch):
+    monkeypatch.setattr(decision, "MOST_SCENARIOS", 3)
+    with pytest.raises(ValueError, match="scenarios"):
+        decision.stress(spark.createDataFrame([(1, 60.0)], "id long, mean_score double"), catalog.scenarios(spark))
+
+
+def test_intake(spark):
+    from credit_engine.sources.tables import intake
+
+    rows = [(1, "A", "BUILDING", True), (2, "B", "CIRCUS", True), (3, "C", "BUILDING", False), (4, " ", "BUILDING", True), (5, "D", None, None), (6, "E", "BUILDING", None)]
+    got = [r.status for r in intake(spark.createDataFrame(rows, "applicant_id long, name string, industry string, consent boolean"), catalog.INDUSTRIES).orderBy("applicant_id").collect()]
+    assert got == ["accepted", "unknown_industry", "no_consent", "missing_field", "missing_field", "no_consent"]
+
+
+def test_closed_sessions_equal_table(spark, sf_dir):
     from credit_engine.sources.tables import payments as table
 
-    assert payments.sessions(table(spark, sf_dir)).exceptAll(payments.drain(payments.sessions(payments.read_stream(spark, sf_dir)))).isEmpty()
+    closed = payments.append(payments.sessions(payments.read_stream(spark, sf_dir)))
+    every = payments.sessions(table(spark, sf_dir))
+    assert closed.exceptAll(every).isEmpty()
+    end = table(spark, sf_dir).agg(F.max("ts")).first()[0]
+    over = every.filter(F.col("started").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, micros / 1000000)") < F.lit(end) - F.expr("INTERVAL 1 DAY 1 HOUR"))
+    assert over.exceptAll(closed).isEmpty() and over.count() > 0
+
+
+def test_ledger_is_read_once(spark, sf_dir):
+    from credit_engine.plans import lending
+
+    plan = lending.full_report(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1 and plan.count("Relation [l_orderkey") == 1
 
 
 def test_entry(spark):
