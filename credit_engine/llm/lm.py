@@ -1,11 +1,11 @@
-"""Language-model scores by stupid backoff over bigrams of tokens.
-
-Every text is tokenized once, into a table of blocks of documents. Each block's distinct bigrams and their counts are
-exploded and dealt by the hash of the bigram; a part adds its share of the count table up and gives every block the
-totals of its own bigrams, which are joined to the block and summed for each document there. A bigram is one entry of a
-block however often it stands in it, so a very common one weighs no more on its part than there are blocks. Counts of
-single tokens are two arrays as long as the vocabulary, hence of bounded size. What a document itself has of a bigram is
-left out of its counts, so that no document vouches for itself.
+"""Language-model scores by stupid backoff over n-grams of tokens.
+
+Every text is tokenized once, into a table of blocks of documents. The n-grams of the blocks, of all orders up to the
+model's, are exploded to rows (k, gram, block, n), one for each distinct n-gram of a block, and dealt by the hash of the
+n-gram into a bucketed table. The count table (k, gram, total) is an aggregate of it with the same buckets, and the join
+of the two gives every block the totals of its own n-grams; neither needs a further shuffle. A block's totals come back
+to its tokens, and the scores are summed for each document. A very common n-gram is one row of each block it stands in,
+however often it stands there, and nothing that grows with the corpus is held in a task or on the driver.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from .shared import delete, documents, materialize, new_path
 from .tokens import encoder, tokenizer_path
 
-BACKOFF = 0.4
+BACKOFF, ORDER = 0.4, 2
 #: Tokens and documents of a block, at most, before the next document begins another one.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 13
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a batch that goes from Python to Spark.
+ROWS = 1 << 16
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _code(file: str):
-    """Rows of (id, text) to blocks: their number, the documents' ids and numbers of tokens, and all tokens in 16 bits each."""
+def _code(file: str, width: str):
+    """Rows of (id, text) to blocks: their number, the documents' ids and numbers of tokens, and all tokens as `width`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, number = encoder(file), TaskContext.get().partitionId(), 0
@@ -38,7 +40,7 @@ def _code(file: str):
         size = 0
 
         def block(kind: pa.DataType) -> pa.RecordBatch:
-            row = (part << 32 | number, ids, [len(x) for x in coded], np.concatenate(coded).astype("<u2").tobytes())
+            row = (part << 32 | number, ids, [len(x) for x in coded], np.concatenate(coded).astype(width).tobytes())
             types = (pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "ids", "lengths", "tokens"])
 
@@ -60,153 +62,136 @@ def _code(file: str):
     return run
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks to how often each token stands, and how often as a document's last one; -1 stands for begun documents."""
-    total, last, begun = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-    for batch in batches:
-        for lengths, tokens in zip(batch.column("lengths"), batch.column("tokens"), strict=True):
-            sizes, tokens = lengths.values.to_numpy().astype(np.int64), np.frombuffer(tokens.as_py(), "<u2")
-            total += np.bincount(tokens, minlength=1 << 16)
-            last += np.bincount(tokens[np.cumsum(sizes)[sizes > 0] - 1], minlength=1 << 16)
-            begun += int((sizes > 0).sum())
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *used]), pa.array([begun, *total[used]]), pa.array([0, *last[used]])], names=["token", "n", "last"])
-
-
-def token_counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each token stands as a context (row 0; the last entry is the begin of a document) and as a token (row 1)."""
-    counts = np.zeros((2, vocabulary + 1), np.int64)
-    tallied = blocks.select("lengths", "tokens").mapInArrow(_tally, "token long, n long, last long")
-    for row in tallied.groupBy("token").agg(F.sum("n").alias("n"), F.sum("last").alias("last")).collect():  # at most the vocabulary
-        if row.token < 0:
-            counts[0, vocabulary] = row.n
-        else:
-            counts[:, row.token] = row.n - row.last, row.n
-    return counts
-
-
-def _firsts(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal neighbours begin."""
-    edge = np.ones(len(x), bool)
-    edge[1:] = x[1:] != x[:-1]
-    return np.flatnonzero(edge)
-
+def _keys(tokens: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k from 1 to the order: a 64-bit key of the k-gram that ends at each token, and whether it lies in one document.
 
-def _entries(lengths: np.ndarray, tokens: bytes, start: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct (bucket, bigram, document) in order, as 16, 32 and 16 bits, and the count of each; a document begins after `start`."""
-    token = np.frombuffer(tokens, "<u2").astype(np.uint64)
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[(np.cumsum(lengths) - lengths)[lengths > 0]] = start
-    pairs = context << np.uint64(16) | token
-    bucket = ((pairs * _MIX) >> np.uint64(32)) % np.uint64(buckets)
-    keys = np.sort(bucket << np.uint64(48) | pairs << np.uint64(16) | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths))
-    at = _firsts(keys)
-    return keys[at], np.diff(at, append=len(keys))
-
-
-_DEALT = "bucket int, block long, pairs binary, counts binary"
+    Keys of one and two tokens are exact, longer ones are hashes.
+    """
+    token, place = tokens.astype(np.uint64), np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = token
+    for k in range(1, order + 1):
+        if k > 1:
+            before = np.concatenate([np.zeros(1, np.uint64), key[:-1]])
+            key = before << np.uint64(32) | token if k == 2 else (before ^ (before >> np.uint64(29))) * _MIX[0] ^ token * _MIX[1]
+        yield key, place >= k - 1
 
 
-def _explode(start: int, buckets: int):
-    """Blocks to a row for each bucket with the block's distinct bigrams there, in order, and their counts."""
+def _explode(width: str, order: int):
+    """Blocks to their distinct n-grams with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, tokens in zip(batch.column("block").to_pylist(), batch.column("lengths"), batch.column("tokens"), strict=True):
-                keys, n = _entries(lengths.values.to_numpy().astype(np.int64), tokens.as_py(), start, buckets)
-                if not len(keys):
-                    continue
-                grams = keys >> np.uint64(16)
-                at = _firsts(grams)
-                grams, n = grams[at], np.add.reduceat(n, at)
-                bounds = np.searchsorted(grams, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                used = np.flatnonzero(np.diff(bounds))
-                spans = [(bounds[b], bounds[b + 1]) for b in used]
-                pairs, n = grams.astype("<u4"), n.astype("<u4")  # the low 32 bits are the bigram
-                columns = [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (pairs, n)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "pairs", "counts"])
+                for k, (key, inside) in enumerate(_keys(np.frombuffer(tokens.as_py(), width), lengths.values.to_numpy().astype(np.int64), order), 1):
+                    grams, n = np.unique(key[inside], return_counts=True)
+                    for at in range(0, len(grams), ROWS):
+                        part = grams[at : at + ROWS]
+                        columns = [np.full(len(part), k, np.int8), part.view(np.int64), np.full(len(part), block, np.int64), n[at : at + ROWS].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "gram", "block", "n"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to the totals over all blocks of the bigrams of each row, in the row's order."""
+def ngram_counts(grams: DataFrame) -> DataFrame:
+    """The count table: k, gram and total, from rows of (k, gram, block, n)."""
+    return grams.groupBy("gram", "k").agg(F.sum("n").alias("total"))
 
-    def bucket(rows: list[tuple]) -> pa.RecordBatch:
-        pairs = [np.frombuffer(r[2], "<u4") for r in rows]
-        _, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        table = np.zeros(at.max() + 1, np.int64)  # the bucket's share of the count table
-        np.add.at(table, at, np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
-        ends = np.cumsum([len(p) for p in pairs])
-        totals = [table[at[end - len(p) : end]].astype("<u8").tobytes() for p, end in zip(pairs, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows], pa.int32()), pa.array(totals, pa.binary())], names=["block", "bucket", "totals"])
 
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and held[0][0] != row[0]:
-                yield bucket(held)
-                held = []
-            held.append(row)
-    if held:
-        yield bucket(held)
+def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram (by its number) stands in the token's document."""
+    _, at, n = np.unique(gram.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64), return_inverse=True, return_counts=True)
+    return n[at]
 
 
-def _score(counts: np.ndarray, vocabulary: int, buckets: int):
-    """Blocks with their totals (one for each bucket) to id, n_tokens and log_sum of every document."""
-    context_total, token_total = counts
-    everything = int(token_total.sum())
+def block_scores(tokens: np.ndarray, lengths: np.ndarray, totals: list[tuple[np.ndarray, np.ndarray]], everything: int, leave_out: bool) -> np.ndarray:
+    """The sum of log scores of each document of a block; totals has the sorted n-grams and their counts for each k."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    score, before = np.zeros(len(tokens)), None
+    for k, ((key, inside), (grams, total)) in enumerate(zip(_keys(tokens, lengths, len(totals)), totals, strict=True), 1):
+        at = np.minimum(np.searchsorted(grams, key), max(0, len(grams) - 1))
+        found = np.where(inside, total[at], 0) if len(grams) else np.zeros(len(key), np.int64)
+        if leave_out:
+            numbered = np.where(inside, at, len(grams))
+            found = found - np.where(inside, _own(doc, numbered), 0)
+        if k == 1:
+            others = everything - np.where(leave_out, lengths, 0)[doc]
+            score = np.log(np.maximum(found, 1) / np.maximum(others, 1))
+        else:
+            context = np.concatenate([np.zeros(1, np.int64), before[:-1]])
+            direct = np.log(np.maximum(found, 1) / np.maximum(context, 1))
+            score = np.where(found > 0, direct, np.where(inside, np.log(BACKOFF), 0.0) + score)
+        before = found
+    return np.bincount(doc, score, len(lengths))
+
+
+def _score(width: str, order: int, everything: int, leave_out: bool):
+    """Blocks with their totals to id, n_tokens and log_sum of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, lengths, tokens, parts in zip(*[batch.column(c) for c in ("ids", "lengths", "tokens", "parts")], strict=True):
                 lengths = lengths.values.to_numpy().astype(np.int64)
-                sums = np.zeros(len(lengths))
-                keys, n = _entries(lengths, tokens.as_py(), vocabulary, buckets)
-                if len(keys):
-                    grams = keys >> np.uint64(16)
-                    at = _firsts(grams)
-                    total = np.frombuffer(b"".join(p["totals"] for p in sorted(parts.as_py(), key=lambda p: p["bucket"])), "<u8").astype(np.int64)
-                    others = np.repeat(total, np.diff(at, append=len(grams))) - n
-                    context, token = (grams >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (grams & np.uint64(0xFFFF)).astype(np.int64)
-                    direct = np.maximum(others, 1) / np.maximum(context_total[context] - n, 1)
-                    back = BACKOFF * (np.maximum(token_total[token] - n, 0) + 1) / (everything + vocabulary)
-                    sums = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), np.log(np.where(others > 0, direct, back)) * n, len(lengths))
+                rows = pa.array([], pa.struct([("k", pa.int8()), ("gram", pa.int64()), ("total", pa.int64())])) if parts.values is None else parts.values
+                of, grams, counts = (rows.field(c).to_numpy() for c in ("k", "gram", "total"))
+                grams, totals = grams.view(np.uint64), []
+                for k in range(1, order + 1):
+                    mine = of == k
+                    way = np.argsort(grams[mine])
+                    totals.append((grams[mine][way], counts[mine][way]))
+                sums = block_scores(np.frombuffer(tokens.as_py(), width), lengths, totals, everything, leave_out)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(lengths), pa.array(sums)], names=["id", "n_tokens", "log_sum"])
 
     return run
 
 
-def score(docs: DataFrame, tokenizer_file: str, vocabulary: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, log_score and mean_log_score of every row of docs.
+def score(docs: DataFrame, tokenizer_file: str, vocabulary: int, id_column: str = "doc_id", text: str = "text", order: int = ORDER, leave_out: bool = False) -> DataFrame:
+    """id, n_tokens, log_score and mean_log_score of every row of docs under a model of all docs.
 
-    A token w after c scores (f(c w) - own) / (f(c) - own) if the difference above is positive, else
-    0.4 * (f(w) - own + 1) / (N + vocabulary), where own is what the document itself has of the bigram c w, and the
-    first token follows a begin mark. log_score adds up the logarithms; a null or empty text has no tokens, score 0 and
-    a null mean. Equal texts score alike, rows that repeat an id stay rows, and an empty table gives an empty result.
-    The vocabulary must be below 65,535.
+    A token w after the context c (the order - 1 tokens before it in its document, fewer near the begin) scores
+    f(c w) / f(c) if that is positive, else 0.4 times its score after c without its first token; without context it
+    scores f(w) / N. With leave_out all counts are those of the other documents, so that no document vouches for itself;
+    a token that they lack counts as one there. log_score adds up the logarithms. A null or empty text has no tokens,
+    score 0 and a null mean. Equal texts score alike, rows that repeat an id stay rows, extra columns are not looked at,
+    and an empty table gives an empty result. A token id that `vocabulary` does not cover is an error.
     """
-    spark = docs.sparkSession
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    if order < 1:
+        raise ValueError("the order must be 1 or more")
+    spark, width = docs.sparkSession, "<u2" if vocabulary <= 1 << 16 else "<u4"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.select(F.col(f"`{id_column}`")).schema[0].dataType.simpleString()
     shape = f"block long, ids array<{kind}>, lengths array<int>, tokens binary"
-    name, folder = f"coded_{uuid.uuid4().hex}", new_path(spark, "coded")
-    coded = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_code(tokenizer_file), shape)
+    made = {x: (f"{x}_{uuid.uuid4().hex}", new_path(spark, x)) for x in ("coded", "grams")}
+
+    def bucketed(df: DataFrame, name: str, by: str) -> None:
+        df.write.bucketBy(parts, by).sortBy(by).option("compression", "zstd").option("path", made[name][1]).saveAsTable(made[name][0])
+
+    check_vocabulary(tokenizer_file, vocabulary)
+    narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # Bucketed by block, so that the totals come to the tokens and these are not shuffled.
-    coded.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", folder).saveAsTable(name)
-    blocks = spark.read.schema(shape).parquet(folder)
-    counts = token_counts(blocks, vocabulary)
-    exploded = blocks.select("block", "lengths", "tokens").mapInArrow(_explode(vocabulary, buckets), _DEALT)
-    totals = exploded.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "block long, bucket int, totals binary")
-    gathered = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))  # no more than a block's own bigrams
-    joined = spark.table(name).join(gathered, "block", "left").select("ids", "lengths", "tokens", "parts")
-    scored = materialize(joined.mapInArrow(_score(counts, vocabulary, buckets), f"id {kind}, n_tokens long, log_sum double"), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    delete(spark, folder)
+    bucketed(narrow.mapInArrow(_code(tokenizer_file, width), shape), "coded", "block")
+    blocks = spark.read.schema(shape).parquet(made["coded"][1])
+    exploded = blocks.select("block", "lengths", "tokens").mapInArrow(_explode(width, order), "k byte, gram long, block long, n int")
+    bucketed(exploded.repartition(parts, "gram"), "grams", "gram")
+    grams = spark.table(made["grams"][0])
+    everything = grams.filter("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = grams.join(ngram_counts(grams), ["gram", "k"])
+    gathered = met.groupBy("block").agg(F.collect_list(F.struct("k", "gram", "total")).alias("parts"))  # no more than a block's own n-grams
+    joined = spark.table(made["coded"][0]).join(gathered, "block", "left").select("ids", "lengths", "tokens", "parts")
+    scored = materialize(joined.mapInArrow(_score(width, order, everything, leave_out), f"id {kind}, n_tokens long, log_sum double"), "scores")
+    for name, folder in made.values():
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, folder)
     log = F.round("log_sum", 6)
     return scored.select(F.col("id").alias(id_column), "n_tokens", log.alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(F.col("log_sum") / F.col("n_tokens"), 6)).alias("mean_log_score"))
 
 
+def check_vocabulary(tokenizer_file: str, vocabulary: int) -> None:
+    """Raises ValueError if the tokenizer has ids that `vocabulary` does not cover, which would not fit the tokens' width."""
+    most = encoder(tokenizer_file).tokenizer.get_vocab_size(with_added_tokens=True)
+    if most > vocabulary:
+        raise ValueError(f"the tokenizer has {most} ids, more than the vocabulary of {vocabulary}")
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), 50257)
+    """doc_id, n_tokens, log_score and mean_log_score of all documents, each under a bigram model of all others."""
+    return score(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), 50257, leave_out=True)

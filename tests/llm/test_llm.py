@@ -299,20 +299,36 @@ def test_added_tokens_are_the_library_s():
     assert all(50256 in ids for t, ids in zip(given, want, strict=True) if t and end in t)
 
 
-def test_lm(docs, texts):
-    coded = [array.array("I", x).tolist() for x in tokens.TextEncoder(tokens.tokenizer_path()).encode([r.text for r in docs.collect()])]
-    own = [Counter(zip([50257, *v[:-1]], v, strict=True)) if v else Counter() for v in coded]
-    pairs = sum(own, Counter())
-    context, token = Counter(), Counter()
-    for (c, w), n in pairs.items():
-        context[c] += n
-        token[w] += n
-    everything = sum(token.values())
-    got = by_id(lm.score(docs, tokens.tokenizer_path(), 50257))
-    for r, mine in zip(docs.collect(), own, strict=True):
-        if r.doc_id is not None:
-            want = sum(n * np.log((pairs[p] - n) / (context[p[0]] - n) if pairs[p] > n else 0.4 * (token[p[1]] - n + 1) / (everything + 50257)) for p, n in mine.items())
-            assert got[r.doc_id].log_score == pytest.approx(want, abs=1e-4) and got[r.doc_id].n_tokens == sum(mine.values())
+@pytest.mark.parametrize(("order", "leave_out", "block"), [(2, True, 1 << 21), (2, False, 3000), (1, True, 3000), (3, True, 3000), (4, False, 1 << 21)])
+def test_lm(docs, order, leave_out, block, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+    rows = docs.collect()
+    coded = [array.array("I", x).tolist() for x in tokens.TextEncoder(tokens.tokenizer_path()).encode([r.text for r in rows])]
+    own = [Counter(tuple(v[i : i + k]) for k in range(1, order + 1) for i in range(len(v) - k + 1)) for v in coded]
+    every = sum(own, Counter())
+    everything = sum(map(len, coded))
+
+    def brute(v, mine):
+        f = lambda g: every[g] - (mine[g] if leave_out else 0)
+
+        def one(context, w):
+            if not context:
+                return max(f((w,)), 1) / max(everything - (len(v) if leave_out else 0), 1)
+            return f((*context, w)) / f(context) if f((*context, w)) > 0 else 0.4 * one(context[1:], w)
+
+        return sum(np.log(one(tuple(v[max(0, i - order + 1) : i]), w)) for i, w in enumerate(v))
+
+    want = Counter((r.doc_id, len(v), round(brute(v, mine), 3)) for r, v, mine in zip(rows, coded, own, strict=True))
+    got = lm.score(docs, tokens.tokenizer_path(), 50257, order=order, leave_out=leave_out).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 3)) for r in got) == want
+    assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
+
+
+def test_lm_vocabulary(docs):
+    with pytest.raises(ValueError, match="50257 ids"):
+        lm.score(docs, tokens.tokenizer_path(), 50000)
+    wide = lm.score(docs, tokens.tokenizer_path(), 100000)  # 32 bits a token
+    assert wide.exceptAll(lm.score(docs, tokens.tokenizer_path(), 50257)).isEmpty()
 
 
 def test_urls(spark):
