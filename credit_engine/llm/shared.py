@@ -14,14 +14,28 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder of spark.checkpoint.dir. Where that is unset, local mode gets a temporary one; a cluster raises ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="llm_shared_")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column in `taken` bears; Spark does not tell names apart by case."""
+    used, names = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}_{uuid.uuid4().hex}"
 

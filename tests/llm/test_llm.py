@@ -68,6 +68,67 @@ def test_quality(docs, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def brute_em(votes):
+    """Posteriors of documents from EM over the documents themselves, with dense arrays; votes -1, 0, 1 by document and rule."""
+    belief = np.array([[0.4, 0.2, 0.4], [0.01, 0.09, 0.9]])
+    v = np.array(votes) + 1
+    n, k = v.shape
+    extra, pi, theta = 0.02 * n + 1, 0.8, np.repeat(belief[None], k, axis=0)
+
+    def good():
+        odds = np.log(pi / (1 - pi)) + sum(np.log(theta[j, 1, v[:, j]] / theta[j, 0, v[:, j]]) for j in range(k))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(50):
+        p = good()
+        pi = (p.sum() + 0.8 * extra) / (n + extra)
+        for j in range(k):
+            for y, q in enumerate((1 - p, p)):
+                theta[j, y] = (np.array([q[v[:, j] == x].sum() for x in range(3)]) + extra * belief[y]) / (q.sum() + extra)
+    return good()
+
+
+def brute_votes(t):
+    w = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    n, chars, symbols, distinct = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(set(w))
+    stop, marks = sum(x.lower() in quality.STOP_WORDS for x in w), sum(x[-1] in ".,;:!?" for x in w)
+    ended, dups = sum(re.search(r"""[.!?]["')\]»”]*[ \t-\r]*\Z""", x) is not None for x in lines), len(lines) - len(set(lines))
+    pick = lambda bad, good: -1 if bad else 1 if good else 0
+    return [
+        pick(symbols > 0.1 * n, symbols <= 0.01 * n), pick(chars < 3 * n or chars > 10 * n, 3.5 * n <= chars <= 7 * n), pick(10 * ended < 6 * len(lines), 10 * ended >= 9 * len(lines)),
+        pick(40 * marks < n, n <= 20 * marks and 2 * marks <= n), pick(50 * stop < n, 15 * stop >= n), pick(distinct**2 < 9 * n, distinct**2 >= 16 * n), pick(3 * dups > len(lines), dups == 0),
+    ]
+
+
+def test_verdicts_are_em_s(spark, sf_dir, texts):
+    given = [r.text for r in shared.documents(spark, sf_dir).select("text").collect()] + texts
+    got = {r.i: r for r in quality.judge(spark.createDataFrame(list(enumerate(given)), "i long, text string")).collect()}
+    passed = [i for i in got if not got[i].base_failed]
+    for i, p in zip(passed, brute_em([brute_votes(given[i]) for i in passed]), strict=True):
+        assert got[i].p_quality == pytest.approx(p, abs=1e-5), given[i]
+        assert got[i].kept == (p >= 0.5)
+    assert not any(got[i].kept for i in got if got[i].base_failed)
+
+
+def test_verdicts_agree_with_labels(spark, sf_dir):
+    judged = quality.judge(shared.documents(spark, sf_dir), keep=["doc_id"]).filter("NOT base_failed").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    found = Counter((r.quality, r.kept) for r in judged.collect())
+    assert found[1, True] >= 0.98 * (found[1, True] + found[1, False]) and found[0, False] >= 0.9 * (found[0, True] + found[0, False])
+
+
+def test_clashing_names(spark):
+    names = ["words", "lines", "n", "k1", "k2", "of1", "kept", "copy", "copies", "id", "source", "size", "row", "text", "key", "symbols"]
+    columns = ["doc_id", "text", "source", *[f"__{x}" for x in names], *[f"__{x.upper()}_" for x in names], "kept", "ids", "k1", "digest", "position", "caption", "n_words"]
+    row = (1, "word " * 50, "s", *[f"v{i}" for i in range(len(columns) - 3)])
+    docs = spark.createDataFrame([row, (2, *row[1:])], columns)
+    assert [tuple(r[c] for c in columns[:-6]) for r in quality.judge(docs).orderBy("doc_id").collect()] == [row[:-6], (2, *row[1:-6])]
+    assert simhash.keep_first(docs).collect() == [row]
+    left = substrings.remove_repeats(docs)
+    assert left.columns == columns and left.count() == 0
+    assert set(mixing.repeat_documents(docs).collect()) <= set(docs.collect())
+
+
 def test_label_model_finds_the_junk():
     rng = random.Random(1)
     counts = Counter()
