@@ -52,6 +52,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, copies and chat of all maximal conversations."""
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
@@ -63,8 +64,8 @@ WITH conv AS (
   FROM conversations GROUP BY conv_id),
 whole AS (SELECT said, min(conv_id) AS conv_id, count(*) AS copies FROM conv GROUP BY said),
 cut AS (
-  SELECT DISTINCT said[1:k] AS said FROM conv, range(1, 1000) AS r(k) WHERE k < n_turns)
+  SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM conv))
 SELECT conv.conv_id, n_turns, copies, chat
-FROM whole JOIN conv ON conv.conv_id = whole.conv_id
+FROM whole JOIN conv ON conv.conv_id IS NOT DISTINCT FROM whole.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.said = whole.said)
 """

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize, new_path
+from .shared import documents, free_names, materialize, new_path
 
 #: Samples in a row of the stored picture; payloads are padded to a multiple of it.
 ROW = 192
@@ -125,20 +125,26 @@ def sequence(html: str | None) -> list[tuple]:
     return [(i, *x) for i, x in enumerate(parser.items)]
 
 
-_ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string())])
+_FIELDS = ("position", "kind", "text", "media", "caption")
+_ITEM = pa.struct([("position", pa.int32()), *[(c, pa.string()) for c in _FIELDS[1:]]])
+_ITEM_TYPE = "struct<position:int,kind:string,text:string,media:string,caption:string>"
 
 
 def interleave(pages: DataFrame, html: str = "html", out: str = "items") -> DataFrame:
-    """pages with the column `out` (array of structs in the page's order) in place of the HTML; null HTML has no items."""
-    given = pages.select(*[f"`{c}`" for c in pages.columns if c not in (html, out)], F.col(f"`{html}`").alias("__html"))
-    kind = "array<struct<position:int,kind:string,text:string,media:string,caption:string>>"
+    """pages with the column `out` (array of structs in the page's order) in place of the HTML and of any such column.
+
+    Null, empty and markup-free HTML give no items or one of text; repeated rows stay rows, and an empty table stays empty.
+    """
+    keep = [c for c in pages.columns if c not in (html, out)]
+    (raw,) = free_names([*keep, out], "html")
+    given = pages.select(*[f"`{c}`" for c in keep], F.col(f"`{html}`").alias(raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("position", "kind", "text", "media", "caption"), x, strict=True)) for x in sequence(h.as_py())] for h in batch.column("__html")]
+            found = [[dict(zip(_FIELDS, x, strict=True)) for x in sequence(h.as_py())] for h in batch.column(raw)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_ITEM))], names=[*batch.schema.names[:-1], out])
 
-    return given.mapInArrow(run, given.drop("__html").withColumn(out, F.lit(None).cast(kind)).schema)
+    return given.mapInArrow(run, given.drop(raw).withColumn(out, F.lit(None).cast(f"array<{_ITEM_TYPE}>")).schema)
 
 
 def padded(text: Column, row: int = ROW) -> Column:
@@ -151,7 +157,8 @@ def padded(text: Column, row: int = ROW) -> Column:
 def store(payloads: DataFrame, path: str, column: str = "payload") -> None:
     """Writes digest and media (the payload as a PNG) to the folder `path`: once for each distinct payload of a task.
 
-    Stores are addressed by content, so an entry that several tasks write is the same one.
+    Stores are addressed by content, so an entry that several tasks write is the same one; an empty table gives an empty
+    store. Payloads must be whole rows of the picture, as padded() makes them; null is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,19 +201,62 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return materialize(read.dropDuplicates(["digest"]), "described")
 
 
-def resolve(pages: DataFrame, media: DataFrame, items: str = "items", prefix: str = "sha256:") -> DataFrame:
-    """pages exploded to one row for each media item that media (a table with digest) has, with position, caption and media's columns."""
-    rows = pages.withColumn("__item", F.explode(f"`{items}`")).filter("__item.kind = 'media'").drop(items)
-    rows = rows.withColumn("digest", F.regexp_extract("__item.media", f"^{prefix}(.*)$", 1))
-    rows = rows.withColumn("position", F.col("__item.position")).withColumn("caption", F.col("__item.caption")).drop("__item")
-    return rows.join(media, "digest")
+def explode_items(pages: DataFrame, items: str = "items", out: str = "item") -> DataFrame:
+    """A row for each item of pages, with pages' other columns and the item as the struct `out`; pages without items have none."""
+    given = [F.col(f"`{c}`") for c in pages.columns if c not in (items, out)]
+    return pages.select(*given, F.explode(f"`{items}`").alias(out))
+
+
+def resolve(rows: DataFrame, media: DataFrame, out: str = "item", prefix: str = "sha256:") -> DataFrame:
+    """rows of media items (as explode_items gives them) whose struct `out` has a field payload: media's columns, joined by digest.
+
+    media has a row for each digest. References of another kind and digests that media lacks keep a null payload, so no
+    item is lost. Very many items of one digest are a skewed join, which Spark splits.
+    """
+    of, payload, known = free_names([*rows.columns, *media.columns], "of", "payload", "known")
+    digest = F.when(F.col(f"{out}.media").startswith(prefix), F.substring(f"{out}.media", len(prefix) + 1, 1 << 20))
+    held = media.select(F.col("digest").alias(known), F.struct(*[F.col(f"`{c}`") for c in media.columns if c != "digest"]).alias(payload))
+    joined = rows.withColumn(of, digest).join(held, F.col(of) == F.col(known), "left")
+    return joined.select(*[F.col(f"`{c}`") if c != out else F.col(out).withField("payload", F.col(payload)).alias(out) for c in rows.columns])
+
+
+def sequences(pages: DataFrame, media: DataFrame, html: str = "html", out: str = "items", prefix: str = "sha256:") -> DataFrame:
+    """interleave(pages) with payloads: each item of `out` has position, kind, text, media, caption and payload.
+
+    Text items and items without a stored payload have null there; positions and captions are the page's. Pages without
+    items have an empty array. Only media items go through the digest join; texts are gathered by their page's row.
+    """
+    (row,) = free_names([*pages.columns, out], "row")
+    held = materialize(interleave(pages, html, out).withColumn(row, F.monotonically_increasing_id()), "interleaved")
+    items = explode_items(held.select(row, out), out, "item")
+    kind = resolve(items, media, prefix=prefix).schema["item"].dataType["payload"].dataType
+    texts = items.filter("item.kind <> 'media'").withColumn("item", F.col("item").withField("payload", F.lit(None).cast(kind)))
+    every = resolve(items.filter("item.kind = 'media'"), media, prefix=prefix).unionByName(texts)
+    gathered = every.groupBy(F.col(row).alias("of")).agg(F.array_sort(F.collect_list("item"), lambda x, y: x["position"] - y["position"]).alias("found"))
+    empty = F.array().cast(gathered.schema["found"].dataType)
+    joined = held.join(gathered, F.col(row) == F.col("of"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in held.columns if c not in (row, out)], F.coalesce("found", empty).alias(out))
+
+
+def illustrated(text: Column, digest: Column) -> Column:
+    """A page of a text, a paragraph a line, with the picture of that digest after the first one, captioned by its digest's begin."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    paragraphs = lambda x: F.concat(F.lit("<p>"), F.replace(x, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    first = F.substring_index(safe, "\n", 1)
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt="a picture"><figcaption>'), F.left(digest, F.lit(8)), F.lit("</figcaption></figure>"))
+    return F.concat(paragraphs(first), figure, paragraphs(F.substring(safe, F.length(first) + 2, F.length(safe))))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and what the stored picture of its text holds, with the picture's place and caption in the document's page.
+
+    The page shows the text around the picture. Its items are those of the sequence; texts stay where they are, and only
+    the media items meet the store.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     payload, path = padded(F.col("text")), new_path(spark, "media")
     store(docs.select(payload.alias("payload")), path)
-    page = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(payload, 256), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), page.alias("html"))
-    found = resolve(interleave(pages), describe(spark, path))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), illustrated(F.col("text"), F.sha2(payload, 256)).alias("html"))
+    shown = explode_items(interleave(pages)).filter("item.kind = 'media'")
+    found = resolve(shown.withColumn("item", F.col("item").withField("text", F.lit(None).cast("string"))), describe(spark, path))
+    return found.select("doc_id", "n_bytes", "item.payload.*", "item.position", "item.caption")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import documents, materialize, words
+from .shared import documents, free_names, materialize, words
 
 #: Weights of the sources in their order, repeating; what they share, in parts of all sizes; the most copies of one document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -18,60 +18,67 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size, n and target from rows of (source, source_size, n), one row for each source.
 
     Each source is due its weight's part of share * all sizes, stops at most * its size, and what is over goes to the
-    others by weight until none is above its stop. So there is one level L with target = least(stop, L * weight); the
-    sources in order of stop / weight reach their stops first, and running sums of that order give L. Only the table of
-    sources, one row each, passes through one task.
+    others by weight until none is above. Each round is one sum over the sources, which may be as many as there are
+    websites: they are numbered by ranges, and no task sees all of them.
     """
-    number = F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int")))
+    ranked = _numbered(sizes).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("stop", most * F.col("source_size"))
-    order = W.orderBy(F.col("stop") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(upto), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    # The first source in that order that stays below its stop sets the level for all from there on.
-    ranked = ranked.withColumn("own", level).withColumn("below", F.col("own") * F.col("weight") < F.col("stop"))
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("below"), F.struct(F.col("stop") / F.col("weight"), F.col("own").alias("own")))).over(everything)["own"])
-    target = F.when(F.col("level").isNull(), F.col("stop")).otherwise(F.least(F.col("stop"), F.col("level") * F.col("weight")))
+    everything = share * (sizes.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        above = F.col("stop") < level * F.col("weight")
+        row = ranked.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("stop"))).alias("stop"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        if row.n == stopped or row.weight is None:
+            break
+        level, stopped = (everything - (row.stop or 0.0)) / row.weight, row.n
+    # Sources that stop have a level above theirs, which only rises from round to round; if all stop, each gets its stop.
+    target = F.least(F.col("stop"), F.when(F.lit(row.weight is None), F.col("stop")).otherwise(F.lit(level) * F.col("weight")))
     return ranked.select("source", "source_size", "n", target.alias("target"))
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with number: its place by code points of the source, from 0 on, null last."""
+    spark, order = sizes.sparkSession, (F.col("source").isNull(), F.col("source"))
+    dealt = materialize(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
+    counted = dealt.groupBy("part").agg(F.count("*").alias("many")).collect()  # as many rows as Spark has shuffle partitions
+    before = [(r.part, sum(x.many for x in counted if x.part < r.part)) for r in counted]
+    starts = spark.createDataFrame(before, "part int, before long")
+    own = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(starts), "part").withColumn("number", F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
 def _chance(*columns: Column) -> Column:
     """A number in [0, 1) that hangs on nothing but the columns."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def _fold(items: Column) -> Column:
-    """Rounds an array of structs (p, size, id) in turn, largest first so that a small one is left; struct(done: array of (id, size, up), p, size, id of the residual).
+def _fold(items: Column, kind: str) -> Column:
+    """Rounds an array of structs (p, mass, id, size) in turn, largest first so that a small one is left; struct(done: array of (id, size, up), p, mass, id, size of the residual).
 
-    The held document and the next one trade mass so that p * size of both together stays the same, in a random
+    The held document and the next one trade chances so that p * mass of both together stays the same, in a random
     direction that leaves either chance as it was, until one of the two is 0 or 1.
     """
 
     def step(s: Column, x: Column) -> Column:
-        gain = F.least((1 - s["p"]) * s["size"], x["p"] * x["size"])
-        loss = F.least(s["p"] * s["size"], (1 - x["p"]) * x["size"])
+        gain = F.least((1 - s["p"]) * s["mass"], x["p"] * x["mass"])
+        loss = F.least(s["p"] * s["mass"], (1 - x["p"]) * x["mass"])
 
         def trade(t: Column) -> Column:
             gain, loss, up = t["gain"], t["loss"], t["up"]
-            p = F.when(up, s["p"] + gain / s["size"]).otherwise(s["p"] - loss / s["size"])
-            q = F.when(up, x["p"] - gain / x["size"]).otherwise(x["p"] + loss / x["size"])
-            held_done = F.when(up, gain >= (1 - s["p"]) * s["size"]).otherwise(loss >= s["p"] * s["size"])
-            ready = F.when(held_done, F.struct(s["id"].alias("id"), s["size"].alias("size"), up.cast("int").alias("up"))).otherwise(
-                F.struct(x["id"].alias("id"), x["size"].alias("size"), (~up).cast("int").alias("up"))
-            )
-            left = F.when(held_done, F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
-            return F.struct(
-                F.array_append(s["done"], ready).alias("done"), left.alias("p"),
-                F.when(held_done, x["size"]).otherwise(s["size"]).alias("size"), F.when(held_done, x["id"]).otherwise(s["id"]).alias("id"),
-            )
-
-        up = _chance(s["id"], x["id"], F.lit("trade")) * (gain + loss) < loss
+            p = F.when(up, s["p"] + gain / s["mass"]).otherwise(s["p"] - loss / s["mass"])
+            q = F.when(up, x["p"] - gain / x["mass"]).otherwise(x["p"] + loss / x["mass"])
+            held_done = F.when(up, gain >= (1 - s["p"]) * s["mass"]).otherwise(loss >= s["p"] * s["mass"])
+            decided = lambda one, way: F.struct(one["id"].alias("id"), one["size"].alias("size"), way.cast("int").alias("up"))
+            left = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(held_done, q).otherwise(p)))
+            other = [F.when(held_done, x[c]).otherwise(s[c]).alias(c) for c in ("mass", "id", "size")]
+            return F.struct(F.array_append(s["done"], F.when(held_done, decided(s, up)).otherwise(decided(x, ~up))).alias("done"), left.alias("p"), *other)
+
+        up = _chance(s["id"], s["size"], x["id"], x["size"], F.lit("trade")) * (gain + loss) < loss
         return F.element_at(F.transform(F.array(F.struct(gain.alias("gain"), loss.alias("loss"), up.alias("up"))), trade), 1)
 
     first = F.element_at(items, 1)
-    none = F.array().cast("array<struct<id:bigint,size:double,up:int>>")
-    start = F.struct(none.alias("done"), first["p"].alias("p"), first["size"].alias("size"), first["id"].alias("id"))
+    none = F.array().cast(f"array<struct<id:{kind},size:bigint,up:int>>")
+    start = F.struct(none.alias("done"), *[first[c].alias(c) for c in ("p", "mass", "id", "size")])
     return F.aggregate(F.slice(items, F.lit(2), F.size(items)), start, step)
 
 
@@ -81,11 +88,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     Each document is due target / source_size copies; the whole part is given to all, and the rest is rounded up or down
     by pivotal rounding over a tree of groups: leaves by hash, then FAN_IN residuals a node, then one draw for each
     source. So a source's words differ from its target by less than one document's size, up to rounding of doubles.
-    Rows alike in id, source and size share one decision, as one item of their joint size. A null text or one without
-    words has size 0 and no copies; null is a source of its own. Reruns agree: chances are hashes of the ids.
+    Rows alike in id, source and size share one decision, as one item of their joint size, which the difference may then
+    reach. A null text or one without words has size 0 and no copies; null is a source of its own; other columns are not
+    looked at; an empty table gives an empty result. Reruns agree: chances are hashes of ids and sizes. Decisions go back
+    to the documents by id, source and size themselves; a hash only deals them to leaves.
     """
-    spark = docs.sparkSession
     sized = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"))
+    kind = sized.schema["id"].dataType.simpleString()
     base = materialize(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
     totals = base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
     aims = materialize(targets(totals), "targets")
@@ -93,39 +102,43 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
         "id", "b.source", "size", "rows", "source_size", "target", "n", (F.col("target") / F.greatest("source_size", F.lit(1))).alias("ratio")
     )
     due = materialize(due.withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))), "due")
-    key = F.xxhash64("id", "source", "size")
     leaves = F.ceil(F.col("n") / FAN_IN).cast("long")
     level = due.filter((F.col("size") > 0) & (F.col("p") > 1e-12)).select(
-        F.coalesce(F.xxhash64("source"), F.lit(0)).alias("tree"), F.pmod(key, leaves).alias("node"), "p", (F.col("size") * F.col("rows")).cast("double").alias("size"), key.alias("id")
+        "source", F.pmod(F.xxhash64("id", "size"), leaves).alias("node"), "p", (F.col("size") * F.col("rows")).cast("double").alias("mass"), "id", "size"
     )
     nodes = (aims.agg(F.max("n")).first()[0] or 0) // FAN_IN + 1
     decided = []
     while True:
-        gathered = level.groupBy("tree", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "id", "p", "size"))).alias("items"))
-        folded = materialize(gathered.select("tree", "node", _fold(F.col("items")).alias("s")), "rounded")
-        decided.append(folded.select(F.explode("s.done").alias("d")).select("d.id", "d.up"))
+        gathered = level.groupBy("source", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("mass")).alias("order"), "id", "size", "p", "mass"))).alias("items"))
+        folded = materialize(gathered.select("source", "node", _fold(F.col("items"), kind).alias("s")), "rounded")
+        decided.append(folded.select("source", F.explode("s.done").alias("d")).select("source", "d.id", "d.size", "d.up"))
         if nodes == 1:
-            decided.append(folded.select("s.id", (_chance(F.col("s.id"), F.lit("last")) < F.col("s.p")).cast("int").alias("up")))
+            decided.append(folded.select("source", "s.id", "s.size", (_chance(F.col("s.id"), F.col("s.size"), F.lit("last")) < F.col("s.p")).cast("int").alias("up")))
             break
-        level = folded.select("tree", F.floor(F.col("node") / FAN_IN).alias("node"), "s.p", "s.size", "s.id")
+        level = folded.select("source", F.floor(F.col("node") / FAN_IN).alias("node"), "s.p", "s.mass", "s.id", "s.size")
         nodes = (nodes - 1) // FAN_IN + 1
     ups = decided[0]
     for more in decided[1:]:
         ups = ups.union(more)
-    chosen = due.withColumn("key", key).join(ups.withColumnRenamed("id", "key"), "key", "left")
+    same = F.col("d.id").eqNullSafe(F.col("u.id")) & F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col("d.size") == F.col("u.size"))
+    chosen = due.alias("d").join(ups.alias("u"), same, "left").select("d.*", "u.up")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("up", F.lit(0))).otherwise(0).cast("long")
-    return chosen.select(F.col("id").alias(id_column), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("__row")).drop("__row")
+    each = chosen.select("id", "source", "size", "source_size", "target", copies.alias("copies"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select(F.col("id").alias(id_column), F.col("source").alias(source), "size", "source_size", "target", "copies")
 
 
 def repeat_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with every row as often as the mix takes it, in docs' columns."""
-    mixed = mix(docs, id_column, text, source)
-    taken = mixed.filter("copies > 0").select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{source}`").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")).distinct()
-    sized = docs.withColumn("__n", F.size(words(F.col(f"`{text}`"))).cast("long"))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    return sized.join(taken, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """docs with every row as often as the mix takes it, in docs' columns, whatever their names; see mix."""
+    of_id, of_source, of_size, times, n, each = free_names(docs.columns, "id", "source", "size", "copies", "n", "each")
+    mixed = mix(docs.select(id_column, text, source), id_column, text, source)
+    taken = mixed.filter("copies > 0").select(F.col(f"`{id_column}`").alias(of_id), F.col(f"`{source}`").alias(of_source), F.col("size").alias(of_size), F.col("copies").cast("int").alias(times)).distinct()
+    sized = docs.withColumn(n, F.size(words(F.col(f"`{text}`"))).cast("long"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(of_id)) & F.col(f"`{source}`").eqNullSafe(F.col(of_source)) & (F.col(n) == F.col(of_size))
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    return sized.join(taken, same).select(*given, F.explode(F.sequence(F.lit(1), F.col(times))).alias(each)).select(*given)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source and copies of all documents."""
     mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, materialize, text_keys
+from .shared import documents, free_names, materialize, text_keys
 
 HALF = 31
 SHINGLE = 3
@@ -41,12 +41,13 @@ def fingerprint(text: str | None) -> int:
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` with fp, the fingerprint's 64 bits as a long."""
-    narrow = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = narrow.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
+    (given,) = free_names([*keep, "fp"], "text")
+    narrow = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias(given))
+    schema = narrow.drop(given).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter(map(fingerprint, (x.as_py() for x in batch.column("__text"))), np.uint64, batch.num_rows)
+            fps = np.fromiter(map(fingerprint, (x.as_py() for x in batch.column(given))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
     return narrow.mapInArrow(run, schema)
@@ -79,7 +80,9 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     Of the many links within an anchor's crowd only a spanning forest is returned, which keeps every connection.
     """
     spark = fps.sparkSession
-    placed = fps.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit number of partitions, which Spark does not coalesce: the rows are few and small, but each becomes 28.
+    placed = materialize(fps.repartition(parts, "fp").select("fp", F.explode(anchors(F.col("fp"))).alias("anchor")), "anchors")
     crowded = materialize(placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > TILE), "crowded")
     if crowded.isEmpty():
         tiled = placed.select("anchor", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
@@ -88,7 +91,6 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
         spread = placed.join(crowded, "anchor", "left").select("anchor", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         tiled = spread.select("anchor", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiled.repartition(parts, "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
     return dealt.mapInArrow(_comparer(distance), "src long, dst long").distinct()
 
@@ -180,22 +182,24 @@ def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text
     """One row of docs for each root of rows (id, k1, k2, root: a row for each of docs, with its text_keys).
 
     It is the one of the smallest id, null ids last, and of the smallest text keys among rows of that id. Of rows that
-    repeat both, which may differ in other columns, the least stays.
+    repeat both, which may differ in other columns, the least stays. Columns keep their names, whatever they are.
     """
+    of_id, of_k1, of_k2, many, row = free_names(docs.columns, "id", "k1", "k2", "n", "row")
     once = rows.groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("n"))
     least = once.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "n")).alias("x"))
-    chosen = materialize(least.select(*[F.col(f"x.{c}").alias(f"__{c}") for c in ("id", "k1", "k2", "n")]), "chosen")
+    chosen = materialize(least.select(F.col("x.id").alias(of_id), F.col("x.k1").alias(of_k1), F.col("x.k2").alias(of_k2), F.col("x.n").alias(many)), "chosen")
     k1, k2 = text_keys(F.col(f"`{text}`"))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(of_id)) & (k1 == F.col(of_k1)) & (k2 == F.col(of_k2))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(chosen.filter("__n = 1"), same).select(*columns)
-    repeated = chosen.filter("__n > 1")
+    single = docs.join(chosen.filter(F.col(many) == 1), same).select(*columns)
+    repeated = chosen.filter(F.col(many) > 1)
     if repeated.isEmpty():
         return single
-    least = docs.join(repeated, same).groupBy("__id", "__k1", "__k2").agg(F.min(F.struct(*columns)).alias("__row"))
-    return single.union(least.select(*[F.col(f"__row.`{c}`") for c in docs.columns]))
+    least = docs.join(repeated, same).groupBy(of_id, of_k1, of_k2).agg(F.min(F.struct(*columns)).alias(row))
+    return single.union(least.select(*[F.col(f"{row}.`{c}`") for c in docs.columns]))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of all documents."""
     found = components(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .shared import documents, new_path
+from .shared import documents, new_path, text_keys
 
 #: Ids a file holds before the next document begins another one; encoded chunks a worker holds before it forgets them.
 FILE_IDS, HELD = 1 << 20, 1_000_000
@@ -113,9 +113,10 @@ def write_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = E
 
     A row has the range of ids it belongs to (part), its number and the tokens before it there, its documents and their
     numbers of tokens, and as payload the Simple-8b file of all their token ids. Null and empty texts have the end id
-    only; null ids come first, and rows that repeat an id stay rows. Spark writes, so `path` may be in any store.
+    only; null ids come first, and rows that repeat an id stay rows, in the order of their texts' hashes, so that reruns
+    agree. Spark writes, so `path` may be in any store.
     """
-    narrow = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_keys(F.col(f"`{text}`"))[0].alias("tie"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def write_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = E
 
     names = [x.split()[0] for x in _FILE.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-    narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _FILE).write.parquet(path)
+    narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(run, _FILE).write.parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -183,6 +184,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all documents, read back from the files they were written to."""
     path = new_path(spark, "token_files")
     write_files(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), path)
     return read_files(spark, path)

@@ -24,7 +24,7 @@ def texts():
     vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(400)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     passage, base = say(60), say(120)
-    out = [None, "", " \n\t", "one", "one two", base, base, base + " more", base.upper(), say(3000), (say(9) + "\n") * 12, "# $ % ** && " * 30, "a" * 5000, "\xa0x  y　z", "日本語 😀 \x1c!"]
+    out = [None, "", " \n\t", "one", "one two", base, base, base + " more", base.upper(), say(3000), (say(9) + "\n") * 12, "# $ % ** && " * 30, "a" * 5000, "<|endoftext|>a <|endoftext|>\n b", say(60_000), "\xa0x  y　z", "日本語 😀 \x1c!"]
     out += [say(30) + "\n" + passage + " " + say(20) for _ in range(6)]
     for _ in range(40):
         w = base.split()
@@ -122,7 +122,7 @@ def test_clashing_names(spark):
     columns = ["doc_id", "text", "source", *[f"__{x}" for x in names], *[f"__{x.upper()}_" for x in names], "kept", "ids", "k1", "digest", "position", "caption", "n_words"]
     row = (1, "word " * 50, "s", *[f"v{i}" for i in range(len(columns) - 3)])
     docs = spark.createDataFrame([row, (2, *row[1:])], columns)
-    assert [tuple(r[c] for c in columns[:-6]) for r in quality.judge(docs).orderBy("doc_id").collect()] == [row[:-6], (2, *row[1:-6])]
+    assert [tuple(r[c] for c in columns[:-7]) for r in quality.judge(docs).orderBy("doc_id").collect()] == [row[:-7], (2, *row[1:-7])]
     assert simhash.keep_first(docs).collect() == [row]
     left = substrings.remove_repeats(docs)
     assert left.columns == columns and left.count() == 0
@@ -277,7 +277,9 @@ def test_index_merges_runs(spark):
     index.drop()
 
 
-def test_mixing(docs):
+@pytest.mark.parametrize("fan_in", [256, 4])
+def test_mixing(docs, fan_in, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN_IN", fan_in)
     mixed = mixing.mix(docs)
     rows = mixed.collect()
     assert len(rows) == docs.count()
@@ -333,18 +335,21 @@ def test_simple8b(n, high):
         assert (simple8b.decode(data, 1) == values[1024:2048]).all()
 
 
-def test_token_files(spark, docs, texts):
+@pytest.mark.parametrize("file_ids", [1 << 20, 500])
+def test_token_files(spark, docs, texts, file_ids, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "FILE_IDS", file_ids)
     library = Tokenizer.from_file(tokens.tokenizer_path())
-    library.encode_special_tokens = True
     path = shared.new_path(spark, "files")
     tokens.write_files(docs, tokens.tokenizer_path(), path)
+    assert spark.read.parquet(path).count() > 10 or file_ids > 500
     rows = sorted(tokens.read_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is not None, x or 0))
     start = 0
     for r in rows:
-        ids = library.encode("no id" if r.doc_id is None else texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
+        choices = ["no id"] if r.doc_id is None else [texts[r.doc_id] or "", *["one"] * (r.doc_id == 3)]
+        ids = next(x for t in choices if (x := library.encode(t, add_special_tokens=False).ids + [0]) == r.ids)
         assert (r.start, r.n_tokens, r.ids, r.ids_crc32) == (start, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 
@@ -415,20 +420,50 @@ def test_media(spark, docs, texts):
     path = shared.new_path(spark, "media")
     padded = media.padded(F.col("text"))
     media.store(docs.select(padded.alias("payload")), path)
-    pages = docs.select("doc_id", F.concat(F.lit("<p>before</p><img src='sha256:"), F.sha2(padded, 256), F.lit("'>")).alias("html"))
-    found = media.resolve(media.interleave(pages), media.describe(spark, path))
+    digest = F.sha2(padded, 256)
+    store = media.describe(spark, path)
+    found = media.resolve(media.explode_items(media.interleave(docs.select("doc_id", media.illustrated(F.col("text"), digest).alias("html")))).filter("item.kind = 'media'"), store)
     assert found.count() == docs.count()
     got = by_id(found)
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
-        picture = media.png(payload)
-        r = got[i]
-        assert (r.position, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == (
-            1, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(picture), hashlib.sha256(picture).hexdigest(), media.feature(payload)
+        picture, r = media.png(payload), got[i].item
+        p, sha = r.payload, hashlib.sha256(payload).hexdigest()
+        assert (r.position, r.media, r.caption) == (int(bool((t or "").split("\n")[0].split())), "sha256:" + sha, sha[:8])
+        assert (p.payload_bytes, p.payload_sha256, p.tail_crc32, p.media_bytes, p.media_sha256, p.feature) == (
+            len(payload), sha, zlib.crc32(payload[-16:]), len(picture), hashlib.sha256(picture).hexdigest(), media.feature(payload)
         )
 
 
+def test_sequences_keep_every_item(spark):
+    rng = random.Random(4)
+    known = {f"d{i}": (i, f"x{i}") for i in range(6)}
+    store = spark.createDataFrame([(d, *x) for d, x in known.items()], "digest string, size long, caption string")
+    rows, want = [(0, None, "a", "b"), (1, "", "a", "b"), (1, "", "a", "b"), (2, "no markup & more", "a", "b")], [(0, []), (1, []), (1, []), (2, [("text", "no markup & more", None, None, None)])]
+    for i in range(3, 40):
+        html, items = "", []
+        for _ in range(rng.randrange(8)):
+            pick = rng.random()
+            if pick < 0.4:
+                text = " ".join(rng.choice(["one", "two", "x<y"]) for _ in range(3))
+                html, items = html + f"<p>{text.replace('<', '&lt;')}</p>", [*items, ("text", text, None, None, None)]
+                continue
+            ref = rng.choice(["sha256:" + rng.choice([*known, "missing"]), "http://a.b/c.png", "sha256:"])
+            caption = rng.choice([None, f"caption {rng.randrange(9)}"])
+            html += f"<figure><img src='{ref}'>" + (f"<figcaption>{caption}</figcaption>" if caption else "") + "</figure>" if pick < 0.8 else f"<img src='{ref}' alt='{caption or ''}'>"
+            items.append(("media", None, ref, caption, known.get(ref.removeprefix("sha256:")) if ref.startswith("sha256:") else None))
+        rows.append((i, html, "a", "b"))
+        want.append((i, items))
+    pages = spark.createDataFrame(rows, "page_id long, html string, digest string, position string").repartition(3)
+    done = media.sequences(pages, store)
+    assert done.columns == ["page_id", "digest", "position", "items"]
+    got = [(r.page_id, [(x.kind, x.text, x.media, x.caption, x.payload and tuple(x.payload)) for x in r["items"]]) for r in done.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all([x.position for x in r["items"]] == list(range(len(r["items"]))) for r in done.collect())
+    assert media.sequences(pages.limit(0), store).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (3, 2, "user", None), (4, 0, "user", "a"), (4, 1, "bot", "x"), (5, 0, None, "a"), (6, 1, "bot", "x"), (6, 0, "user", "a"), (None, 0, "user", "")]
     got = {r.conv_id: (r.n_turns, r.copies, r.chat) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -436,6 +471,34 @@ def test_chat(spark):
     assert got == {3: (3, 1, say(("user", "a"), ("bot", "b"), ("user", ""))), 4: (2, 2, say(("user", "a"), ("bot", "x"))), 5: (1, 1, say(("", "a"))), None: (1, 1, say(("user", "")))}
 
 
+def test_chat_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, i, "user", str(i)) for i in range(1500)] + [(2, i, "user", str(i)) for i in range(1200)] + [(None, i, "user", str(i)) for i in range(3)] + [(None, 0, "user", "0"), (3, 0, "bot", None)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    want = Counter(con.execute(chat.OP1_SQL).fetchall())
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "n_turns", "copies", "chat")
+    assert Counter(map(tuple, got.collect())) == want and {x[0] for x in want} == {1, None, 3}
+
+
+def test_targets(spark):
+    rng = random.Random(9)
+    names = [None, "", "Z", "a", "é", "z", "aa", "😀", "\uffff", *[f"s{i}" for i in range(60)]]
+    for scale in (1, 10, 1000):
+        size = {n: rng.randrange(0, scale * 10) for n in names}
+        order = sorted((n for n in names if n is not None)) + [None]
+        weight, left, open_, want = {n: (3, 1, 2)[i % 3] for i, n in enumerate(order)}, 1.5 * sum(size.values()), set(names), {}
+        while open_ and (over := {n for n in open_ if left / sum(weight[x] for x in open_) * weight[n] > 2 * size[n]}):
+            want |= {n: 2.0 * size[n] for n in over}
+            left, open_ = left - sum(2 * size[n] for n in over), open_ - over
+        want |= {n: left / sum(weight[x] for x in open_) * weight[n] for n in open_}
+        rows = spark.createDataFrame([(n, size[n], 1) for n in names], "source string, source_size long, n long").repartition(5)
+        assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(want)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
