@@ -1,9 +1,11 @@
 """Substring deduplication by a log-structured index of window fingerprints.
 
 A window's fingerprint is the least hash of the 8-word grams in it, so equal windows share it, and neighbouring windows
-mostly do as well: a document has one entry for about 14 windows. Runs of (fingerprint, count) are immutable and sorted;
-each batch of documents makes one, is merge-joined with the runs before it and compacted with them. Windows whose
-fingerprint occurs twice or more are then verified by a hash of all their words among the windows of that fingerprint.
+mostly do as well: a document has one entry for about 14 windows. Each batch of documents makes an immutable run of
+entries (fp, k1), sorted and bucketed by fingerprint, which is merge-joined with the runs before it. Windows whose
+fingerprint occurs twice or more, in the batch or in a run, are then verified by their words. What the words cover is
+added to what earlier batches left covered, of older documents too, and runs of one level are compacted: entries that
+can tell nothing new, since another document holds the same windows, are left out then.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import delete, documents, materialize, new_path, text_keys, words
+from .shared import delete, documents, exists, free_names, materialize, new_path, text_keys, words
 
 WINDOW, GRAM = 35, 8
 #: Documents of one fingerprint that are verified together; those of more common ones are salted by this.
@@ -104,61 +107,8 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class FingerprintIndex:
-    """Runs of (fp, n), each a table bucketed and sorted by fp in the shared folder, so that they join without a shuffle."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.buckets = spark, _parts(spark)
-        self.runs: list[tuple[int, str, str]] = []  # level, table, path
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        name, path = f"run_{uuid.uuid4().hex}", new_path(self.spark, "run")
-        df.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
-        self.runs.append((level, name, path))
-
-    def add(self, entries: DataFrame) -> None:
-        """Adds a batch of (fp, n) as a run, then merges runs of one level until no two are left."""
-        self._write(entries.groupBy("fp").agg(F.sum("n").alias("n")), 0)
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            self._merge()
-
-    def seen(self, entries: DataFrame) -> DataFrame:
-        """fp of a batch that the runs hold already: what an incremental pass has to verify."""
-        batch = entries.select("fp").distinct()
-        held = [batch.join(self.spark.table(name), "fp", "left_semi") for _, name, _ in self.runs]
-        out = held[0] if held else batch.limit(0)
-        for more in held[1:]:
-            out = out.union(more)
-        return out.distinct()
-
-    def _merge(self) -> None:
-        (level, a, _), (_, b, _) = old = self.runs[-2:]
-        both = self.spark.table(a).alias("a").join(self.spark.table(b).alias("b"), "fp", "full_outer")
-        n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-        self.runs = self.runs[:-2]
-        self._write(both.select("fp", n.alias("n")), level + 1)
-        for _, name, path in old:
-            self.spark.sql(f"DROP TABLE {name}")
-            delete(self.spark, path)
-
-    def compact(self) -> None:
-        while len(self.runs) > 1:
-            self._merge()
-
-    def repeated(self) -> DataFrame:
-        """(fp, n) of the fingerprints that occur twice or more."""
-        self.compact()
-        return self.spark.read.schema("fp long, n long").parquet(self.runs[0][2]).filter("n > 1")
-
-    def drop(self) -> None:
-        for _, name, path in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-            delete(self.spark, path)
-        self.runs = []
-
-
 def _candidates(window: int):
-    """Rows of (k1, k2, copies, packed, marked: fp and n) to runs of windows of one fingerprint with the hash of each window."""
+    """Rows of (k1, k2, copies, packed, fps, ns) to stretches of windows of one fingerprint, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -166,7 +116,8 @@ def _candidates(window: int):
             out = []
             columns = [batch.column(n) for n in ("k1", "k2", "copies", "packed", "fps", "ns")]
             for k1, k2, copies, packed, fps, ns in zip(*columns, strict=True):
-                hashes, least, _ = window_fingerprints(unpack(packed.as_py()).split(), window)
+                w = unpack(packed.as_py()).split()
+                _, least, _ = window_fingerprints(w, window)
                 fps = fps.values.to_numpy().view(np.uint64)
                 order = np.argsort(fps)
                 fps, ns = fps[order], ns.values.to_numpy()[order]
@@ -174,38 +125,66 @@ def _candidates(window: int):
                 hit = fps[at] == least
                 if not hit.any():
                     continue
-                digests = _rolling(hashes, window).view(np.int64)
                 ends = np.flatnonzero(np.diff(at) | np.diff(hit)) + 1
                 k1, k2, weight = k1.as_py(), k2.as_py(), min(2, copies.as_py())
-                for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(at)], strict=True):
-                    if hit[lo]:
-                        salts = -(-int(ns[at[lo]]) // TOGETHER)
-                        out.append((int(fps[at[lo]].view(np.int64)), k1 % salts, salts, k1, k2, weight, lo, digests[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, _RUN_TYPES, strict=True)], names=_RUN_NAMES)
+                spans = [(lo, hi) for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(at)], strict=True) if hit[lo]]
+                many = np.bincount(at[[lo for lo, _ in spans]]).tolist()
+                for lo, hi in spans:
+                    salts = -(-int(ns[at[lo]]) // TOGETHER)
+                    out.append((int(fps[at[lo]].view(np.int64)), k1 % salts, salts, k1, k2, weight, lo, b" ".join(w[lo : hi - 1 + window]), many[at[lo]]))
+            yield _batch(out, _STRETCH)
 
     return run
 
 
-_RUN_NAMES = ["fp", "salt", "salts", "k1", "k2", "weight", "lo", "digests"]
-_RUN_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-_RUN = "fp long, salt int, salts int, k1 long, k2 long, weight int, lo int, digests array<long>"
-_VERDICT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-_VERDICT = "fp long, digest long, n long, k1 long, k2 long, lo int, hi int"
+def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
+    """Rows as Arrow, by the names and types of a schema in Spark's words."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, kinds = zip(*[x.split() for x in shape.split(", ")], strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+_STRETCH = "fp long, salt int, salts int, k1 long, k2 long, weight int, lo int, words binary, many int"
+#: Words lo to hi of a text are covered; or, with a window's words, what other salts have to decide; or, with n = 0, one of
+#: the text's lo stretches of the fingerprint tells nothing new.
+_VERDICT = "fp long, words binary, n long, k1 long, k2 long, lo int, hi int"
+
+
+def _same_words(lists: list[list[bytes]], row: np.ndarray, place: np.ndarray, first: np.ndarray, window: int) -> bool:
+    """Whether every window (a row's place) has the words of the window numbered in `first`; stretches are compared at once."""
+    apart = np.flatnonzero(first != np.arange(len(first)))
+    if not len(apart):
+        return True
+    cuts = np.flatnonzero((np.diff(apart) != 1) | (np.diff(first[apart]) != 1) | (np.diff(row[apart]) != 0) | (np.diff(row[first[apart]]) != 0)) + 1
+    for part in np.split(apart, cuts):
+        a, b, more = part[0], first[part[0]], len(part) - 1 + window
+        if lists[row[a]][place[a] : place[a] + more] != lists[row[b]][place[b] : place[b] + more]:
+            return False
+    return True
 
 
 def _verify(window: int):
-    """Runs of windows, sorted by fingerprint and salt, to the words they cover twice (fp null) and, of salted ones, what other salts have to decide."""
+    """Stretches, sorted by fingerprint and salt, to verdicts."""
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
-        digests = np.concatenate([r[7] for r in rows])
-        sizes = [len(r[7]) for r in rows]
-        values, of, count = np.unique(digests, return_inverse=True, return_counts=True)
-        weights = np.repeat([r[5] for r in rows], sizes)
-        total = np.bincount(of, weights) if (weights > 1).any() else count
-        twice = total[of] > 1
-        end = 0
-        for (fp, _, salts, k1, k2, weight, lo, _), size in zip(rows, sizes, strict=True):
+        lists = [r[7].split() for r in rows]
+        sizes = np.array([len(w) - window + 1 for w in lists])
+        row, place = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        digests = np.concatenate([_rolling(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), window) for w in lists])
+        _, first, of = np.unique(digests, return_index=True, return_inverse=True)
+        if not _same_words(lists, row, place, first[of], window):  # two texts of one hash: told apart by their words
+            seen: dict[tuple, int] = {}
+            of = np.array([seen.setdefault(tuple(lists[r][p : p + window]), len(seen)) for r, p in zip(row.tolist(), place.tolist(), strict=True)])
+            first = np.unique(of, return_index=True)[1]
+        total = np.bincount(of, np.array([r[5] for r in rows])[row])
+        twice, leads = total[of] > 1, np.zeros(len(of), bool)
+        leads[first] = True
+        telling, end = np.bincount(row, ~twice | leads, len(rows)) > 0, 0
+        for (fp, _, salts, k1, k2, weight, lo, _, many), w, size, tells in zip(rows, lists, sizes.tolist(), telling.tolist(), strict=True):
             start, end = end, end + size
+            if not tells:
+                yield (fp, None, 0, k1, None, many, None)
             if weight > 1:
                 continue
             mine = twice[start:end]
@@ -214,35 +193,30 @@ def _verify(window: int):
                 yield (None, None, None, k1, k2, lo + a, lo + b - 1 + window)
             if salts > 1:
                 for i in np.flatnonzero(~mine).tolist():
-                    yield (fp, int(digests[start + i]), 1, k1, k2, lo + i, lo + i + window)
+                    yield (fp, b" ".join(w[i : i + window]), 1, k1, k2, lo + i, lo + i + window)
         if rows[0][2] > 1:
-            for value in values[total > 1].tolist():
-                yield (rows[0][0], value, 2, None, None, None, None)
+            for at in first[total > 1].tolist():
+                yield (rows[0][0], b" ".join(lists[row[at]][place[at] : place[at] + window]), 2, None, None, None, None)
+
+    def alone(rows: list[tuple]) -> bool:
+        return len(rows) == 1 and rows[0][2] == 1 and rows[0][5] == 1 and rows[0][7].count(b" ") == window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            lists = batch.column(7)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            heads = [batch.column(i).to_pylist() for i in range(7)]
-            for i, head in enumerate(zip(*heads, strict=True)):
-                if held and held[0][:2] != head[:2]:
-                    out += group(held) if len(held) > 1 or held[0][2] > 1 or len(held[0][7]) > 1 or held[0][5] > 1 else ()
+            for stretch in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[0][:2] != stretch[:2]:
+                    out += () if alone(held) else group(held)
                     held = []
-                held.append((*head, values[offsets[i] : offsets[i + 1]].copy()))
-            yield _verdicts(out)
-        if held:
-            yield _verdicts(list(group(held)))
+                held.append(stretch)
+            yield _batch(out, _VERDICT)
+        if held and not alone(held):
+            yield _batch(list(group(held)), _VERDICT)
 
     return run
 
 
-def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _VERDICT_TYPES, strict=True)], names=["fp", "digest", "n", "k1", "k2", "lo", "hi"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (k1, k2, packed, los, his) to the words that stay."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -259,64 +233,213 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["k1", "k2", "n_removed", "kept"])
 
 
+class SubstringIndex:
+    """What is known of all documents so far, as immutable tables in a folder; any session can go on with it.
+
+    Kinds of tables: texts and copies (of texts known before) by k1, cover by k1, runs and told (entries that tell
+    nothing new) by fp. All are bucketed, so that they join without a shuffle of what is stored. The list of tables is
+    written as a new version after each batch, and what it no longer names is deleted only then: a batch that fails
+    changes nothing.
+    """
+
+    KINDS = {  # noqa: RUF012
+        "texts": (_SKETCH, "k1"), "copies": ("k1 long, k2 long, copies long", "k1"), "cover": ("k1 long, k2 long, lo int, hi int", "k1"),
+        "runs": ("fp long, k1 long, weight int", "fp"), "told": ("fp long, k1 long", "fp"),
+    }
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW):
+        self.spark, self.window, self.buckets = spark, window, _parts(spark)
+        self.path = path or new_path(spark, "substrings")
+        self.version, self.tables = 0, []  # of (kind, level, name, buckets)
+        if exists(spark, f"{self.path}/state"):
+            state = spark.read.parquet(f"{self.path}/state")
+            self.version = state.agg(F.max("version")).first()[0]
+            self.tables = sorted(tuple(r) for r in state.filter(F.col("version") == self.version).select("kind", "level", "name", "buckets").collect())
+
+    def _write(self, df: DataFrame, kind: str, level: int = 0) -> tuple:
+        name, by = f"{kind}_{uuid.uuid4().hex}", self.KINDS[kind][1]
+        df.write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return (kind, level, name, self.buckets)
+
+    def _open(self, table: tuple) -> DataFrame:
+        kind, _, name, buckets = table
+        if not self.spark.catalog.tableExists(name):
+            shape, by = self.KINDS[kind]
+            self.spark.sql(f"CREATE TABLE {name} ({shape}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def _each(self, kind: str) -> list[DataFrame]:
+        return [self._open(t) for t in self.tables if t[0] == kind]
+
+    def _all(self, kind: str) -> DataFrame:
+        every = self.spark.createDataFrame([], self.KINDS[kind][0])
+        for df in self._each(kind):
+            every = every.unionByName(df)
+        return every
+
+    def _drop(self, tables: list[tuple]) -> None:
+        for _, _, name, _ in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{self.path}/{name}")
+
+    def seen(self, entries: DataFrame) -> DataFrame:
+        """(fp, k1) of earlier documents that hold a fingerprint of entries and can tell something of it."""
+        batch, told = entries.select("fp").distinct(), self._each("told")
+        out = self.spark.createDataFrame([], "fp long, k1 long")
+        for run in self._each("runs"):
+            held = run.join(batch, "fp", "left_semi").select("fp", "k1")
+            for known in told:
+                held = held.join(known, ["fp", "k1"], "left_anti")
+            out = out.union(held)
+        return out
+
+    def add(self, docs: DataFrame, text: str = "text", compact: bool = True) -> None:
+        """Adds a batch of documents: judges its windows, and those of earlier documents that share a fingerprint with it."""
+        spark, parts, new = self.spark, self.buckets, []
+        k1, k2 = text_keys(F.col(f"`{text}`"))
+        sketched = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text")).mapInArrow(_sketch(self.window), _SKETCH)
+        firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("n_words", "packed", "places")]
+        once = sketched.repartition(parts, "k1").groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), *firsts)
+        new.append(self._write(once, "texts"))
+        texts, known = self._open(new[0]), self._each("texts")
+        if known:
+            held, batch = texts, new.pop()
+            again = spark.createDataFrame([], self.KINDS["copies"][0])
+            for old in known:
+                keys = old.select("k1", "k2")
+                again = again.union(held.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "copies"))
+                texts = texts.join(keys, ["k1", "k2"], "left_anti")
+            new += [self._write(again, "copies"), self._write(texts, "texts")]
+            texts = self._open(new[-1])
+            self._drop([batch])
+        placed = texts.select(F.explode("places").alias("fp"), "k1", F.least("copies", F.lit(2)).cast("int").alias("weight"))
+        new.append(self._write(placed.repartition(parts, "fp"), "runs"))
+        run = self._open(new[-1])
+        counted = run.groupBy("fp").agg(F.sum("weight").alias("n"))
+        if known:
+            met = materialize(self.seen(run), "seen")
+            old_counts = met.groupBy("fp").agg((F.count("*") + 1).alias("n"))  # with one of the batch at least two
+            counted = counted.unionByName(old_counts).groupBy("fp").agg(F.sum("n").alias("n"))
+        wanted = materialize(counted.filter("n > 1"), "wanted")
+
+        def stretches(of: DataFrame, places: DataFrame) -> DataFrame:
+            marked = places.join(wanted, "fp").groupBy("k1").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns"))
+            return of.join(marked, "k1").select("k1", "k2", "copies", "packed", "fps", "ns").mapInArrow(_candidates(self.window), _STRETCH)
+
+        found = stretches(texts, run.select("fp", "k1").distinct())
+        if known:
+            for old in known:
+                found = found.union(stretches(old, met))
+        dealt = found.repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt")
+        verdicts = materialize(dealt.mapInArrow(_verify(self.window), _VERDICT), "verdicts")
+        cover = verdicts.filter("fp IS NULL").select("k1", "k2", "lo", "hi")
+        pending = verdicts.filter("words IS NOT NULL")
+        if not pending.isEmpty():
+            twice = pending.groupBy("fp", "words").agg(F.sum("n").alias("total")).filter("total > 1")
+            cover = cover.union(pending.filter("k1 IS NOT NULL").join(twice, ["fp", "words"], "left_semi").select("k1", "k2", "lo", "hi"))
+        new.append(self._write(cover.repartition(parts, "k1"), "cover"))
+        if compact:
+            # A text may have several stretches of a fingerprint: only if none of them tells anything, the entry does not.
+            told = verdicts.filter("n = 0").groupBy("fp", "k1").agg(F.count("*").alias("n"), F.max("lo").alias("many")).filter("n = many").select("fp", "k1")
+            new.append(self._write(told, "told"))
+        self.tables += new
+        gone = self._compact() if compact else []
+        self._commit()
+        self._drop(gone)
+
+    def _commit(self) -> None:
+        rows = self.spark.createDataFrame(self.tables, "kind string, level int, name string, buckets int").coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/state/version={self.version + 1}")
+        if self.version:
+            delete(self.spark, f"{self.path}/state/version={self.version}")
+        self.version += 1
+
+    def _compact(self) -> list[tuple]:
+        """Merges tables of one kind and level until no two are left; runs lose what is told. Returns what they replaced."""
+        gone = []
+        for kind in self.KINDS:
+            if kind == "told":
+                continue
+            while True:
+                mine = sorted([t for t in self.tables if t[0] == kind], key=lambda t: t[1])
+                pair = next(([a, b] for a, b in pairwise(mine) if a[1] == b[1]), None)
+                if pair is None:
+                    break
+                both = self._open(pair[0]).unionByName(self._open(pair[1]))
+                if kind == "runs":
+                    for known in self._each("told"):
+                        both = both.join(known, ["fp", "k1"], "left_anti")
+                merged = self._write(both.repartition(self.buckets, self.KINDS[kind][1]), kind, pair[0][1] + 1)
+                self.tables = [t for t in self.tables if t not in pair] + [merged]
+                gone += pair
+        if len([t for t in self.tables if t[0] == "runs"]) == 1:  # the only run has lost what was told
+            told = [t for t in self.tables if t[0] == "told"] if any(t[0] == "runs" for t in gone) else []
+            self.tables = [t for t in self.tables if t not in told]
+            gone += told
+        return gone
+
+    def judged(self) -> DataFrame:
+        """Of every distinct text so far, by its text_keys: k1, k2, n_words, n_removed and kept; see repeated_words."""
+        spans = materialize(self._all("cover").groupBy("k1", "k2").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "spans")
+        more = self._all("copies").groupBy("k1", "k2").agg(F.sum("copies").alias("more"))
+        parts = []
+        for texts in self._each("texts"):
+            counted = texts.join(more, ["k1", "k2"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))) if any(t[0] == "copies" for t in self.tables) else texts
+            cut = counted.filter("copies = 1").join(spans, ["k1", "k2"]).select("k1", "k2", "packed", "los", "his").mapInArrow(_cut, "k1 long, k2 long, n_removed long, kept string")
+            gone = (F.col("copies") > 1) & (F.col("n_words") >= self.window)
+            sizes = counted.select("k1", "k2", F.col("n_words").cast("long").alias("n_words"), "copies")
+            parts.append(sizes.join(cut, ["k1", "k2"], "left").select(
+                "k1", "k2", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept")
+            ))
+        done = parts[0]
+        for part in parts[1:]:
+            done = done.union(part)
+        return materialize(done, "kept")
+
+    def drop(self) -> None:
+        """Deletes the index."""
+        self._drop(self.tables)
+        delete(self.spark, self.path)
+        self.tables = []
+
+
 def repeated_words(docs: DataFrame, text: str = "text", window: int = WINDOW, batches: int = 2) -> DataFrame:
     """Of every distinct text of docs, by its text_keys: k1, k2, n_words, n_removed and kept.
 
     A word is removed if a window of `window` words around it also starts anywhere else, in this document or another;
     copies of a text are other documents. kept is the other words joined by one space, and null where all words stay.
-    Null counts as the empty text, which like any text of fewer words than a window keeps all of them.
+    Null counts as the empty text, which like any text of fewer words than a window keeps all of them. An empty table
+    gives an empty result. The documents go through a SubstringIndex in batches, dealt by hash; the number of batches
+    does not change the result.
     """
-    spark, parts = docs.sparkSession, _parts(docs.sparkSession)
-    k1, k2 = text_keys(F.col(f"`{text}`"))
-    sketched = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text")).mapInArrow(_sketch(window), _SKETCH)
-    firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("n_words", "packed", "places")]
-    texts, folder = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
-    once = sketched.repartition(parts, "k1").groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), *firsts)
-    once.write.bucketBy(parts, "k1").sortBy("k1").option("path", folder).saveAsTable(texts)
-
-    held = spark.table(texts)
-    index = FingerprintIndex(spark)
+    index = SubstringIndex(docs.sparkSession, window=window)
     for batch in range(batches):
-        index.add(held.filter(F.pmod("k2", F.lit(batches)) == batch).select(F.explode("places").alias("fp"), F.col("copies").alias("n")))
-    places = spark.read.schema(held.schema).parquet(folder).select("k1", F.explode(F.array_distinct("places")).alias("fp"))
-    marked = places.join(index.repeated(), "fp").groupBy("k1").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns"))
-    runs = held.join(marked, "k1").select("k1", "k2", "copies", "packed", "fps", "ns").mapInArrow(_candidates(window), _RUN)
-    dealt = runs.repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt")
-    verdicts = materialize(dealt.mapInArrow(_verify(window), _VERDICT), "verdicts")
+        mine = F.pmod(text_keys(F.col(f"`{text}`"))[1], F.lit(batches)) == batch
+        index.add(docs.filter(mine), text, compact=batch + 1 < batches)
+    done = index.judged()
     index.drop()
-
-    cover = verdicts.filter(F.col("fp").isNull()).select("k1", "k2", "lo", "hi")
-    pending = verdicts.filter(F.col("fp").isNotNull())
-    if not pending.isEmpty():
-        twice = pending.groupBy("fp", "digest").agg(F.sum("n").alias("total")).filter("total > 1")
-        cover = cover.union(pending.filter(F.col("k1").isNotNull()).join(twice, ["fp", "digest"], "left_semi").select("k1", "k2", "lo", "hi"))
-    spans = cover.groupBy("k1", "k2").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    cut = held.filter("copies = 1").join(spans, ["k1", "k2"]).select("k1", "k2", "packed", "los", "his").mapInArrow(_cut, "k1 long, k2 long, n_removed long, kept string")
-    sizes = held.select("k1", "k2", F.col("n_words").cast("long").alias("n_words"), "copies")
-    gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    done = sizes.join(cut, ["k1", "k2"], "left").select(
-        "k1", "k2", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-    )
-    done = materialize(done, "kept")
-    spark.sql(f"DROP TABLE {texts}")
-    delete(spark, folder)
     return done
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the words that stay; texts that lose none are as they were, n_chars follows the text, and documents that lose all their words go."""
-    done = repeated_words(docs, text).filter("n_removed > 0")
-    done = done.select(F.col("k1").alias("__of1"), F.col("k2").alias("__of2"), F.col("kept").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__all"))
+    """docs with the words that stay, in docs' columns, whatever their names.
+
+    Texts that lose no word are as they were, n_chars (if there) follows the text, and documents that lose all words go.
+    """
+    own1, own2, of1, of2, kept, every = free_names(docs.columns, "k1", "k2", "of1", "of2", "kept", "all")
+    done = repeated_words(docs.select(F.col(f"`{text}`").alias("text"))).filter("n_removed > 0")
+    done = done.select(F.col("k1").alias(of1), F.col("k2").alias(of2), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_words")).alias(every))
     k1, k2 = text_keys(F.col(f"`{text}`"))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    joined = keyed.join(done, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")), "left").filter(~F.coalesce("__all", F.lit(False)))
-    changed = {text: F.coalesce("__kept", F.col(f"`{text}`")), "n_chars": F.coalesce(F.length("__kept").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None}
+    keyed = docs.withColumns({own1: k1, own2: k2})
+    joined = keyed.join(done, (F.col(own1) == F.col(of1)) & (F.col(own2) == F.col(of2)), "left").filter(~F.coalesce(every, F.lit(False)))
+    changed = {text: F.coalesce(kept, F.col(f"`{text}`"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.length(kept).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of all documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     k1, k2 = text_keys(F.col("text"))
     done = repeated_words(docs)

@@ -242,41 +242,80 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {300 + i: 300 for i in range(50)}
 
 
-@pytest.mark.parametrize("together", [4096, 2])
-def test_substrings(docs, texts, together, monkeypatch):
-    monkeypatch.setattr(substrings, "TOGETHER", together)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    words = [WORD.findall(t or "") for _, t in rows]
+def brute_substrings(given):
+    """text -> (n_words, n_removed, kept) of the documents given."""
+    words = [WORD.findall(t or "") for t in given]
     starts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = {}
-    for (_, t), w in zip(rows, words, strict=True):
+    for t, w in zip(given, words, strict=True):
         gone = {k for i in range(len(w) - 34) if starts[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
         want[t or ""] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone) if gone else None)
+    return want
+
+
+def by_text(docs, done):
     k1, k2 = shared.text_keys(F.col("t.text"))
-    done = substrings.repeated_words(docs)
     got = docs.alias("t").select("text", k1.alias("k1"), k2.alias("k2")).join(done, ["k1", "k2"])
-    assert {r.text or "": (r.n_words, r.n_removed, r.kept) for r in got.collect()} == want
-    assert any(v[1] for v in want.values())
+    return {r.text or "": (r.n_words, r.n_removed, r.kept) for r in got.collect()}
+
+
+@pytest.mark.parametrize(("together", "batches"), [(4096, 2), (2, 1), (2, 5)])
+def test_substrings(docs, together, batches, monkeypatch):
+    monkeypatch.setattr(substrings, "TOGETHER", together)
+    given = [r.text for r in docs.collect()]
+    want = brute_substrings(given)
+    done = substrings.repeated_words(docs, batches=batches)
+    assert by_text(docs, done) == want and any(v[1] for v in want.values())
+    assert done.count() == len(want)
+
+
+def test_repeats_leave_documents(docs):
+    want = brute_substrings([r.text for r in docs.collect()])
     left = substrings.remove_repeats(docs)
     assert left.columns == docs.columns
-    assert left.count() == sum(n == 0 or gone < n for n, gone, _ in (want[t or ""] for _, t in rows))
-
-
-def test_index_merges_runs(spark):
-    index = substrings.FingerprintIndex(spark)
-    total = Counter()
-    for b in range(5):
-        batch = [(x % (7 + b), 1) for x in range(20)]
-        before = {x for x in total}
-        df = spark.createDataFrame(batch, "fp long, n long")
-        assert {r.fp for r in index.seen(df).collect()} == before & {x for x, _ in batch}
-        index.add(df)
-        total.update(x for x, _ in batch)
-        assert [level for level, *_ in index.runs] == [[0], [1], [1, 0], [2], [2, 0]][b]
-    assert {r.fp: r.n for r in index.repeated().collect()} == {k: v for k, v in total.items() if v > 1}
+    kept = Counter((t, len(t)) if gone else (r.text, r.n_chars) for r in docs.collect() for n, gone, t in [want[r.text or ""]] if n == 0 or gone < n)
+    assert Counter((r.text, r.n_chars) for r in left.collect()) == kept
+
+
+def test_index_goes_on_in_another_session(spark, texts):
+    rng = random.Random(6)
+    w = [str(rng.randrange(10**6)) for _ in range(300)]
+    early = [" ".join(w[:100]), " ".join(w[50:140]), "one", None, *texts[20:60]]
+    later = [" ".join(["x", *w[5:60]]), " ".join(w[200:290]), "one", early[0] + " more", *texts[30:80]]
+    last = [" ".join(w[210:260]), " ".join(w[:100]), *texts[75:90]]
+    frames = [spark.createDataFrame([(t,) for t in x], "text string") for x in (early, later, last)]
+    index = substrings.SubstringIndex(spark)
+    index.add(frames[0])
+    for i, frame in enumerate(frames[1:], 2):
+        for _, _, name, _ in index.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # as in a session that has not seen them
+        index = substrings.SubstringIndex(spark, index.path)
+        index.add(frame)
+        every = frames[0]
+        for more in frames[1:i]:
+            every = every.union(more)
+        assert by_text(every, index.judged()) == brute_substrings([r.text for r in every.collect()])
+    levels = Counter((kind, level) for kind, level, *_ in index.tables)
+    assert levels["runs", 1] == levels["runs", 0] == levels["texts", 1] == 1
     index.drop()
 
 
+def test_equal_hashes_are_told_apart_by_words(spark, monkeypatch):
+    monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda x, *_: len(x))  # many words of one hash
+    rng = random.Random(8)
+    given = [" ".join(str(rng.randrange(100, 1000)) for _ in range(60)) for _ in range(5)]
+    given += [given[0] + " tail", given[1][:200]]
+    rows = []
+    for t in given:
+        w = t.encode().split()
+        rows.append((1, 0, 1, len(rows), len(rows), 1, 0, b" ".join(w), 1))
+    batch = substrings._batch(rows, substrings._STRETCH)
+    got = [r for b in substrings._verify(35)(iter([batch])) for r in b.to_pylist()]
+    covered = Counter(k for r in got if r["fp"] is None for k in [(r["k1"], r["lo"], r["hi"])])
+    n = len(given[6].split())
+    assert covered == Counter({(0, 0, 60): 1, (5, 0, 60): 1, (1, 0, n): 1, (6, 0, n): 1})
+
+
 @pytest.mark.parametrize("fan_in", [256, 4])
 def test_mixing(docs, fan_in, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", fan_in)
