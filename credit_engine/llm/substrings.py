@@ -4,8 +4,8 @@ A window's fingerprint is the least hash of the 8-word grams in it, so equal win
 mostly do as well: a document has one entry for about 14 windows. Each batch of documents makes an immutable run of
 entries (fp, k1), sorted and bucketed by fingerprint, which is merge-joined with the runs before it. Windows whose
 fingerprint occurs twice or more, in the batch or in a run, are then verified by their words. What the words cover is
-added to what earlier batches left covered, of older documents too, and runs of one level are compacted: entries that
-can tell nothing new, since another document holds the same windows, are left out then.
+added to what earlier batches left covered, of older documents too. Entries that tell nothing new, since another
+document holds the same windows, are left out of the run, and runs of one level are compacted.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .shared import delete, documents, exists, free_names, materialize, new_path
 WINDOW, GRAM = 35, 8
 #: Documents of one fingerprint that are verified together; those of more common ones are salted by this.
 TOGETHER = 4096
+#: Words of a group up to which its windows are told apart by a dictionary.
+MANY = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
 
@@ -164,39 +166,58 @@ def _same_words(lists: list[list[bytes]], row: np.ndarray, place: np.ndarray, fi
     return True
 
 
+def _numbered(lists: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of lists of words: their list and place, a number that equal ones share, and the first of each number."""
+    sizes = np.array([len(w) - window + 1 for w in lists])
+    row, place = np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.arange(n) for n in sizes])
+    digests = np.concatenate([_rolling(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), window) for w in lists])
+    _, first, of = np.unique(digests, return_index=True, return_inverse=True)
+    if not _same_words(lists, row, place, first[of], window):  # two texts of one hash: told apart by their words
+        seen: dict[tuple, int] = {}
+        of = np.array([seen.setdefault(tuple(lists[r][p : p + window]), len(seen)) for r, p in zip(row.tolist(), place.tolist(), strict=True)])
+        first = np.unique(of, return_index=True)[1]
+    return row, place, of, first
+
+
 def _verify(window: int):
     """Stretches, sorted by fingerprint and salt, to verdicts."""
 
     def group(rows: list[tuple]) -> Iterator[tuple]:
+        """Windows of a group are equal if their words are: few go by a dictionary of them, many by hashes that are then verified."""
         lists = [r[7].split() for r in rows]
-        sizes = np.array([len(w) - window + 1 for w in lists])
-        row, place = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.arange(n) for n in sizes])
-        digests = np.concatenate([_rolling(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), window) for w in lists])
-        _, first, of = np.unique(digests, return_index=True, return_inverse=True)
-        if not _same_words(lists, row, place, first[of], window):  # two texts of one hash: told apart by their words
-            seen: dict[tuple, int] = {}
-            of = np.array([seen.setdefault(tuple(lists[r][p : p + window]), len(seen)) for r, p in zip(row.tolist(), place.tolist(), strict=True)])
-            first = np.unique(of, return_index=True)[1]
-        total = np.bincount(of, np.array([r[5] for r in rows])[row])
-        twice, leads = total[of] > 1, np.zeros(len(of), bool)
-        leads[first] = True
-        telling, end = np.bincount(row, ~twice | leads, len(rows)) > 0, 0
-        for (fp, _, salts, k1, k2, weight, lo, _, many), w, size, tells in zip(rows, lists, sizes.tolist(), telling.tolist(), strict=True):
-            start, end = end, end + size
-            if not tells:
+        keys: list[list]
+        if sum(map(len, lists)) <= MANY:
+            keys = [[tuple(w[i : i + window]) for i in range(len(w) - window + 1)] for w in lists]
+        else:
+            row, _, of, _ = _numbered(lists, window)
+            keys = [x.tolist() for x in np.split(of, np.flatnonzero(np.diff(row)) + 1)]
+        total: dict = {}
+        for r, mine in zip(rows, keys, strict=True):
+            for key in mine:
+                total[key] = total.get(key, 0) + r[5]
+        led: set = set()
+        for (fp, _, salts, k1, k2, weight, lo, _, many), w, mine in zip(rows, lists, keys, strict=True):
+            fresh = [key for key in mine if key not in led]
+            led.update(fresh)
+            if not fresh:
                 yield (fp, None, 0, k1, None, many, None)
+            if salts > 1:
+                for key in dict.fromkeys(fresh):
+                    if total[key] > 1:
+                        i = mine.index(key)
+                        yield (fp, b" ".join(w[i : i + window]), 2, None, None, None, None)
             if weight > 1:
                 continue
-            mine = twice[start:end]
-            marks = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-            for a, b in zip(marks[::2].tolist(), marks[1::2].tolist(), strict=True):
-                yield (None, None, None, k1, k2, lo + a, lo + b - 1 + window)
-            if salts > 1:
-                for i in np.flatnonzero(~mine).tolist():
+            start = None
+            for i, key in enumerate([*mine, None]):
+                twice = i < len(mine) and total[key] > 1
+                if twice and start is None:
+                    start = i
+                elif not twice and start is not None:
+                    yield (None, None, None, k1, k2, lo + start, lo + i - 1 + window)
+                    start = None
+                if salts > 1 and i < len(mine) and not twice:
                     yield (fp, b" ".join(w[i : i + window]), 1, k1, k2, lo + i, lo + i + window)
-        if rows[0][2] > 1:
-            for at in first[total > 1].tolist():
-                yield (rows[0][0], b" ".join(lists[row[at]][place[at] : place[at] + window]), 2, None, None, None, None)
 
     def alone(rows: list[tuple]) -> bool:
         return len(rows) == 1 and rows[0][2] == 1 and rows[0][5] == 1 and rows[0][7].count(b" ") == window - 1
@@ -236,15 +257,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SubstringIndex:
     """What is known of all documents so far, as immutable tables in a folder; any session can go on with it.
 
-    Kinds of tables: texts and copies (of texts known before) by k1, cover by k1, runs and told (entries that tell
-    nothing new) by fp. All are bucketed, so that they join without a shuffle of what is stored. The list of tables is
-    written as a new version after each batch, and what it no longer names is deleted only then: a batch that fails
-    changes nothing.
+    Kinds of tables: texts, copies (of texts known before) and cover by k1, runs by fp and salt. All are bucketed, so that
+    they join without a shuffle of what is stored. A fingerprint of very many documents is dealt to several salts; there
+    are at most four such for each bucket. A run holds no entry that tells nothing new, since another document holds the
+    same windows. The list of tables is written as a new version after each batch, and what it no longer names is deleted
+    only then: a batch that fails changes nothing.
     """
 
     KINDS = {  # noqa: RUF012
-        "texts": (_SKETCH, "k1"), "copies": ("k1 long, k2 long, copies long", "k1"), "cover": ("k1 long, k2 long, lo int, hi int", "k1"),
-        "runs": ("fp long, k1 long, weight int", "fp"), "told": ("fp long, k1 long", "fp"),
+        "texts": (_SKETCH, ["k1"]), "copies": ("k1 long, k2 long, copies long", ["k1"]), "cover": ("k1 long, k2 long, lo int, hi int", ["k1"]),
+        "runs": ("fp long, salt int, salts int, k1 long", ["fp", "salt"]),
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW):
@@ -258,13 +280,13 @@ class SubstringIndex:
 
     def _write(self, df: DataFrame, kind: str, level: int = 0) -> tuple:
         name, by = f"{kind}_{uuid.uuid4().hex}", self.KINDS[kind][1]
-        df.write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(name)
+        df.write.bucketBy(self.buckets, *by).sortBy(*by).option("path", f"{self.path}/{name}").saveAsTable(name)
         return (kind, level, name, self.buckets)
 
     def _open(self, table: tuple) -> DataFrame:
         kind, _, name, buckets = table
         if not self.spark.catalog.tableExists(name):
-            shape, by = self.KINDS[kind]
+            shape, by = self.KINDS[kind][0], ", ".join(self.KINDS[kind][1])
             self.spark.sql(f"CREATE TABLE {name} ({shape}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return self.spark.table(name)
 
@@ -282,19 +304,28 @@ class SubstringIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete(self.spark, f"{self.path}/{name}")
 
-    def seen(self, entries: DataFrame) -> DataFrame:
-        """(fp, k1) of earlier documents that hold a fingerprint of entries and can tell something of it."""
-        batch, told = entries.select("fp").distinct(), self._each("told")
+    def seen(self, batch: DataFrame) -> DataFrame:
+        """(fp, k1) of earlier documents that hold a fingerprint of batch (distinct fp) and can tell something of it."""
         out = self.spark.createDataFrame([], "fp long, k1 long")
         for run in self._each("runs"):
-            held = run.join(batch, "fp", "left_semi").select("fp", "k1")
-            for known in told:
-                held = held.join(known, ["fp", "k1"], "left_anti")
-            out = out.union(held)
+            hot = run.filter("salts > 1").select("fp", "salts").distinct()  # at most four times the buckets
+            dealt = batch.join(F.broadcast(hot), "fp", "left").select("fp", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+            out = out.union(run.join(dealt, ["fp", "salt"], "left_semi").select("fp", "k1"))
         return out
 
-    def add(self, docs: DataFrame, text: str = "text", compact: bool = True) -> None:
-        """Adds a batch of documents: judges its windows, and those of earlier documents that share a fingerprint with it."""
+    def _write_run(self, entries: DataFrame, counts: DataFrame, level: int) -> tuple:
+        """Writes entries (fp, k1) as a run; counts (fp, places) has all fingerprints of two places or more."""
+        limit = max(TOGETHER, (counts.agg(F.sum("places")).first()[0] or 0) // (4 * self.buckets))
+        hot = counts.filter(F.col("places") > limit).select("fp", F.ceil(F.col("places") / limit).cast("int").alias("salts"))
+        salted = entries.join(F.broadcast(hot), "fp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        dealt = salted.select("fp", F.pmod("k1", "salts").cast("int").alias("salt"), "salts", "k1")
+        return self._write(dealt.repartition(self.buckets, "fp", "salt"), "runs", level)
+
+    def add(self, docs: DataFrame, text: str = "text", more: bool = True) -> None:
+        """Adds a batch of documents: judges its windows, and those of earlier documents that share a fingerprint with it.
+
+        Without `more` no batch can follow, and the batch leaves no run.
+        """
         spark, parts, new = self.spark, self.buckets, []
         k1, k2 = text_keys(F.col(f"`{text}`"))
         sketched = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text")).mapInArrow(_sketch(self.window), _SKETCH)
@@ -308,25 +339,31 @@ class SubstringIndex:
             for old in known:
                 keys = old.select("k1", "k2")
                 again = again.union(held.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "copies"))
-                texts = texts.join(keys, ["k1", "k2"], "left_anti")
-            new += [self._write(again, "copies"), self._write(texts, "texts")]
-            texts = self._open(new[-1])
-            self._drop([batch])
-        placed = texts.select(F.explode("places").alias("fp"), "k1", F.least("copies", F.lit(2)).cast("int").alias("weight"))
-        new.append(self._write(placed.repartition(parts, "fp"), "runs"))
-        run = self._open(new[-1])
-        counted = run.groupBy("fp").agg(F.sum("weight").alias("n"))
+            again = self._write(again, "copies")
+            if self._open(again).isEmpty():
+                self._drop([again])
+                new.append(batch)
+            else:
+                for old in known:
+                    texts = texts.join(old.select("k1", "k2"), ["k1", "k2"], "left_anti")
+                new += [again, self._write(texts, "texts")]
+                texts = self._open(new[-1])
+                self._drop([batch])
+        placed = texts.select(F.explode("places").alias("fp"), "k1", F.least("copies", F.lit(2)).alias("weight"))
+        counts = placed.groupBy("fp").agg(F.sum("weight").alias("n"), F.count("*").alias("places"))
+        counts = materialize(counts if known else counts.filter("n > 1"), "counts")  # all of a batch's meet the runs
+        wanted = counts.filter("n > 1").select("fp", "n")
         if known:
-            met = materialize(self.seen(run), "seen")
+            met = materialize(self.seen(counts.select("fp")), "seen")
             old_counts = met.groupBy("fp").agg((F.count("*") + 1).alias("n"))  # with one of the batch at least two
-            counted = counted.unionByName(old_counts).groupBy("fp").agg(F.sum("n").alias("n"))
-        wanted = materialize(counted.filter("n > 1"), "wanted")
+            wanted = materialize(counts.select("fp", "n").unionByName(old_counts).groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1"), "wanted")
 
         def stretches(of: DataFrame, places: DataFrame) -> DataFrame:
             marked = places.join(wanted, "fp").groupBy("k1").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns"))
             return of.join(marked, "k1").select("k1", "k2", "copies", "packed", "fps", "ns").mapInArrow(_candidates(self.window), _STRETCH)
 
-        found = stretches(texts, run.select("fp", "k1").distinct())
+        distinct = texts.select(F.explode(F.array_distinct("places")).alias("fp"), "k1")
+        found = stretches(texts, distinct)
         if known:
             for old in known:
                 found = found.union(stretches(old, met))
@@ -338,12 +375,12 @@ class SubstringIndex:
             twice = pending.groupBy("fp", "words").agg(F.sum("n").alias("total")).filter("total > 1")
             cover = cover.union(pending.filter("k1 IS NOT NULL").join(twice, ["fp", "words"], "left_semi").select("k1", "k2", "lo", "hi"))
         new.append(self._write(cover.repartition(parts, "k1"), "cover"))
-        if compact:
-            # A text may have several stretches of a fingerprint: only if none of them tells anything, the entry does not.
+        if more:
+            # A text may have several stretches of a fingerprint: only if none of them tells anything new, its entry does not.
             told = verdicts.filter("n = 0").groupBy("fp", "k1").agg(F.count("*").alias("n"), F.max("lo").alias("many")).filter("n = many").select("fp", "k1")
-            new.append(self._write(told, "told"))
+            new.append(self._write_run(distinct.join(told, ["fp", "k1"], "left_anti"), counts.filter("places > 1"), 0))
         self.tables += new
-        gone = self._compact() if compact else []
+        gone = self._compact() if more else []
         self._commit()
         self._drop(gone)
 
@@ -355,27 +392,22 @@ class SubstringIndex:
         self.version += 1
 
     def _compact(self) -> list[tuple]:
-        """Merges tables of one kind and level until no two are left; runs lose what is told. Returns what they replaced."""
+        """Merges tables of one kind and level until no two are left; returns those that others have replaced."""
         gone = []
         for kind in self.KINDS:
-            if kind == "told":
-                continue
             while True:
                 mine = sorted([t for t in self.tables if t[0] == kind], key=lambda t: t[1])
                 pair = next(([a, b] for a, b in pairwise(mine) if a[1] == b[1]), None)
                 if pair is None:
                     break
-                both = self._open(pair[0]).unionByName(self._open(pair[1]))
+                both, level = self._open(pair[0]).unionByName(self._open(pair[1])), pair[0][1] + 1
                 if kind == "runs":
-                    for known in self._each("told"):
-                        both = both.join(known, ["fp", "k1"], "left_anti")
-                merged = self._write(both.repartition(self.buckets, self.KINDS[kind][1]), kind, pair[0][1] + 1)
+                    counts = materialize(both.groupBy("fp").agg(F.count("*").alias("places")).filter("places > 1"), "counts")
+                    merged = self._write_run(both.select("fp", "k1"), counts, level)
+                else:
+                    merged = self._write(both.repartition(self.buckets, *self.KINDS[kind][1]), kind, level)
                 self.tables = [t for t in self.tables if t not in pair] + [merged]
                 gone += pair
-        if len([t for t in self.tables if t[0] == "runs"]) == 1:  # the only run has lost what was told
-            told = [t for t in self.tables if t[0] == "told"] if any(t[0] == "runs" for t in gone) else []
-            self.tables = [t for t in self.tables if t not in told]
-            gone += told
         return gone
 
     def judged(self) -> DataFrame:
@@ -415,7 +447,7 @@ def repeated_words(docs: DataFrame, text: str = "text", window: int = WINDOW, ba
     index = SubstringIndex(docs.sparkSession, window=window)
     for batch in range(batches):
         mine = F.pmod(text_keys(F.col(f"`{text}`"))[1], F.lit(batches)) == batch
-        index.add(docs.filter(mine), text, compact=batch + 1 < batches)
+        index.add(docs.filter(mine), text, more=batch + 1 < batches)
     done = index.judged()
     index.drop()
     return done

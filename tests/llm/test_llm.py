@@ -259,9 +259,10 @@ def by_text(docs, done):
     return {r.text or "": (r.n_words, r.n_removed, r.kept) for r in got.collect()}
 
 
-@pytest.mark.parametrize(("together", "batches"), [(4096, 2), (2, 1), (2, 5)])
-def test_substrings(docs, together, batches, monkeypatch):
+@pytest.mark.parametrize(("together", "batches", "many"), [(4096, 2, 200_000), (2, 1, 50), (2, 3, 200_000), (3, 2, 0)])
+def test_substrings(docs, together, batches, many, monkeypatch):
     monkeypatch.setattr(substrings, "TOGETHER", together)
+    monkeypatch.setattr(substrings, "MANY", many)
     given = [r.text for r in docs.collect()]
     want = brute_substrings(given)
     done = substrings.repeated_words(docs, batches=batches)
@@ -297,11 +298,13 @@ def test_index_goes_on_in_another_session(spark, texts):
         assert by_text(every, index.judged()) == brute_substrings([r.text for r in every.collect()])
     levels = Counter((kind, level) for kind, level, *_ in index.tables)
     assert levels["runs", 1] == levels["runs", 0] == levels["texts", 1] == 1
+    assert index.seen(spark.createDataFrame([(12345,)], "fp long")).isEmpty()
     index.drop()
 
 
 def test_equal_hashes_are_told_apart_by_words(spark, monkeypatch):
     monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda x, *_: len(x))  # many words of one hash
+    monkeypatch.setattr(substrings, "MANY", 0)
     rng = random.Random(8)
     given = [" ".join(str(rng.randrange(100, 1000)) for _ in range(60)) for _ in range(5)]
     given += [given[0] + " tail", given[1][:200]]
