@@ -15,7 +15,7 @@ from .quality import op8_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .substrings import op9_substring_dedup
 from .tokens import op4_token_files
-from .urls import op2_url_filters
+from .urls import OP2_SQL, op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL}

@@ -73,7 +73,8 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tup
 
     A page's own rule decides. Without one, the page takes the decision of its aliases, the URLs that it reaches over
     redirects (rows of src and dst) and canonical links in either direction: allow if a rule allows one of them, else
-    block if a rule blocks one, else allow. Null or malformed URLs have no aliases and are allowed.
+    block if a rule blocks one, else allow. Null or malformed URLs have no aliases and are allowed; null HTML has no links;
+    repeated rows stay rows, other columns are not looked at, and an empty table gives an empty result.
     """
     edges = html_links(pages, url, html)
     if redirects is not None:
@@ -95,4 +96,34 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tup
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and via of all pages."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+#: The same over pages, without redirects, which have no table. Components by reachability, as SQL has it.
+OP2_SQL = r"""
+WITH RECURSIVE page AS (
+  SELECT page_id, url, coalesce(html, '') AS html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, split_part(url, '://', 1) AS scheme FROM pages),
+tag AS (SELECT *, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page WHERE contains(url, '://')),
+hint AS (
+  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                         WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) END, '&amp;', '&') AS goes FROM tag),
+link AS (
+  SELECT url AS src, CASE WHEN contains(goes, '://') THEN goes WHEN starts_with(goes, '//') THEN scheme || ':' || goes WHEN starts_with(goes, '/') THEN scheme || '://' || host || goes
+                          ELSE scheme || '://' || host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || goes END AS dst FROM hint WHERE goes <> ''),
+named AS (
+  SELECT url, translate(split_part(url, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+              || regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS node FROM (SELECT url FROM pages UNION SELECT src FROM link UNION SELECT dst FROM link) WHERE contains(url, '://')),
+edge AS (SELECT a.node AS u, b.node AS v FROM link JOIN named a ON a.url = src JOIN named b ON b.url = dst),
+reach AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge UNION SELECT reach.u, e.v FROM reach JOIN (SELECT u, v FROM edge UNION SELECT v, u FROM edge) e ON e.u = reach.v),
+rule AS (SELECT * FROM (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+                               ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')) t(verdict, rule, domain, start)),
+place AS (SELECT DISTINCT node, regexp_extract(node, '://([^/?#]*)', 1) AS host, regexp_extract(node, '://[^/?#]*([^?#]*)', 1) AS path FROM named),
+judged AS (
+  SELECT node, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM place JOIN rule ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY 1),
+alias AS (SELECT u AS node, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked FROM reach JOIN judged ON node = v GROUP BY 1)
+SELECT page_id, host, path, judged.rule AS rule, coalesce(judged.verdict, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN judged.rule IS NOT NULL THEN 'rule' WHEN blocked AND NOT allowed THEN 'alias' ELSE 'none' END AS via
+FROM page LEFT JOIN (SELECT DISTINCT url, node FROM named) n ON n.url = page.url LEFT JOIN judged ON judged.node = n.node LEFT JOIN alias ON alias.node = n.node
+"""

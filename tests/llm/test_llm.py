@@ -455,6 +455,65 @@ def test_urls(spark):
     ]  # fmt: skip  # 8 and 11 share an alias component with 10's ok.com, which a rule allows
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_urls_of_random_graphs(spark, seed):
+    """Pages that link each other at random, against union-find in Python and against the SQL."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(seed)
+    hosts = ["Example.com", "www.example.com", "a.net", "b.org", "c.org", "d.org", "x.co"]
+    url = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'es', 'p'])}/{rng.randrange(12)}" + rng.choice(["", "", "?q=1", "#f"])
+    rows, links, extra = [(-1, None, None), (-2, "none", "<link rel=canonical href=http://a.net/fr/1>")], [], []
+    for i in range(120):
+        here, html = url(), "<html>"
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            there = url()
+            if rng.random() < 0.5:
+                rest = "/" + there.split("/", 3)[3]
+                html += rng.choice([f"<link rel='canonical' href='{there}'>", f'<meta http-equiv=refresh content="0;url={there}">'])
+                links.append((here, there))
+            else:
+                rest = "/" + there.split("/", 3)[3]
+                html += f'<LINK href="{rest}" REL="canonical">'
+                links.append((here, "http://" + here.split("/")[2] + rest))
+        rows.append((i, here, html))
+    extra = [(url(), url()) for _ in range(10)]
+    key = lambda u: "http://" + u.split("/")[2].lower() + "/" + u.split("/", 3)[3].split("#")[0]
+
+    def rule(u):
+        host, path = u.split("/")[2].lower(), "/" + u.split("/", 3)[3].split("#")[0].split("?")[0]
+        fits = [(len(r), v, r) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1:] if fits else (None, None)
+
+    def brute(links):
+        nodes = sorted({key(u) for pair in links for u in pair} | {key(r[1]) for r in rows if r[0] >= 0})
+        at = {n: i for i, n in enumerate(nodes)}
+        root = closure(len(nodes), [(at[key(a)], at[key(b)]) for a, b in links])
+        said = {}
+        for n, r in zip(nodes, root, strict=True):
+            said.setdefault(r, set()).add(rule(n)[0])
+        out = Counter()
+        for i, u, _ in rows:
+            if i < 0:
+                out[i, None, "allow", "none"] += 1
+                continue
+            verdict, name = rule(u)
+            by_alias = said[root[at[key(u)]]]
+            blocked = verdict is None and "block" in by_alias and "allow" not in by_alias
+            out[i, name, verdict or ("block" if blocked else "allow"), "rule" if name else "alias" if blocked else "none"] += 1
+        return out
+
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shown = lambda df: Counter(tuple(r) for r in df.select("page_id", "rule", "verdict", "via").collect())
+    assert shown(urls.judge(pages)) == brute(links)
+    assert shown(urls.judge(pages, spark.createDataFrame(extra, "src string, dst string"))) == brute(links + extra)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert Counter(con.execute(f"SELECT page_id, rule, verdict, via FROM ({urls.OP2_SQL})").fetchall()) == brute(links)
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
 def test_media(spark, docs, texts):
     html = '<body>Hi <b>there</b><figure><img src="sha256:a" alt="x"><figcaption>A  picture</figcaption></figure><script>no</script><p>end<img src=b alt=c></p>'
     assert media.sequence(html) == [(0, "text", "Hi there", None, None), (1, "media", None, "sha256:a", "A picture"), (2, "text", "end", None, None), (3, "media", None, "b", "c")]
@@ -542,11 +601,65 @@ def test_targets(spark):
 
 
 def test_pipeline(spark, sf_dir):
+    """Each stage against plain Python on its own input."""
     import corpus_pipeline
+    import sentencepiece
 
     docs = shared.documents(spark, sf_dir)
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        docs = shared.materialize(stage(spark, docs, sf_dir), name)
-        assert docs.columns[: len(columns)] == columns and docs.count() > 0
-    assert docs.columns == [*columns, "ids"]
+    columns, steps = docs.columns, dict(corpus_pipeline.STAGES)
+    rows = lambda df: [tuple(r[c] for c in columns) for r in df.collect()]
+    at = columns.index("text")
+
+    def step(name, docs):
+        out = shared.materialize(steps[name](spark, docs, sf_dir), name)
+        assert out.columns[: len(columns)] == columns
+        return out
+
+    given = rows(docs)
+    passed = [r for r, t in zip(given, map(brute_features, [r[at] for r in given]), strict=True) if not t]
+    good = [r for r, p in zip(passed, brute_em([brute_votes(r[at]) for r in passed]), strict=True) if p >= 0.5]
+    docs = step("quality_rules", docs)
+    assert Counter(rows(docs)) == Counter(good)
+
+    sets = []
+    for r in good:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[at] or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    holders = {}
+    for i, x in enumerate(sets):
+        for y in x:
+            holders.setdefault(y, []).append(i)
+    met = {(i, j) for x in holders.values() for i in x for j in x if j < i}
+    root = closure(len(good), [(i, j) for i, j in met if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    ids = [r[columns.index("doc_id")] for r in good]
+    least = {}
+    for i, r in zip(ids, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    docs = step("simhash_near_dedup", docs)
+    kept = [r for r, i in zip(good, ids, strict=True) if i in set(least.values())]
+    assert Counter(rows(docs)) == Counter(kept) and len(kept) < len(good)
+
+    judged, left = brute_substrings([r[at] for r in kept]), []
+    for r in kept:
+        n, gone, text = judged[r[at] or ""]
+        if n == 0 or gone < n:
+            left.append(r if not gone else tuple(text if c == "text" else len(text) if c == "n_chars" else x for c, x in zip(columns, r, strict=True)))
+    docs = step("substring_dedup", docs)
+    assert Counter(rows(docs)) == Counter(left)
+
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    docs = step("mixing", docs)
+    assert Counter(rows(docs)) == +Counter({r: copies[r[columns.index("doc_id")]] for r in left})
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    coded = steps["sentencepiece"](spark, docs, sf_dir)
+    assert coded.columns == [*columns, "ids"] and coded.count() == docs.count()
+    assert all(r.ids == model.encode(r.text or "", add_bos=True, add_eos=True) for r in coded.collect())
+
+
+def brute_features(t):
+    """Whether the base rules reject a text."""
+    w = WORD.findall(t or "")
+    windows = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+    covered = {k for j in range(len(w) - 7) if windows[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)}
+    return len(w) < 20 or 100 * len(covered) > 30 * len(w)
