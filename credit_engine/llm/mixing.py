@@ -38,11 +38,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _numbered(sizes: DataFrame) -> DataFrame:
     """sizes with number: its place by code points of the source, from 0 on, null last."""
-    spark, order = sizes.sparkSession, (F.col("source").isNull(), F.col("source"))
+    order = (F.col("source").isNull(), F.col("source"))
     dealt = materialize(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
-    counted = dealt.groupBy("part").agg(F.count("*").alias("many")).collect()  # as many rows as Spark has shuffle partitions
-    before = [(r.part, sum(x.many for x in counted if x.part < r.part)) for r in counted]
-    starts = spark.createDataFrame(before, "part int, before long")
+    counted = dealt.groupBy("part").agg(F.count("*").alias("many"))  # at most as many rows as Spark has shuffle partitions
+    starts = counted.select("part", (F.sum("many").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("many")).alias("before"))
     own = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
     return dealt.withColumn("own", own).join(F.broadcast(starts), "part").withColumn("number", F.col("before") + F.col("own")).drop("part", "own", "before")
 
