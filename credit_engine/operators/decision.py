@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.columns import drop_penalty, effective_score, emi, format_inr, is_high_rate, label, round2, with_rate_warning
 from .catalog import COACHING, OFFER_TEXTS
@@ -13,7 +14,7 @@ from .catalog import COACHING, OFFER_TEXTS
 #: Fixed terms of an offer: months of revenue lent, months to pay, the yearly rates of an approval and a review, and the
 #: share of the monthly cash flow that a payment may take.
 LENT_MONTHS, TENURE, RATES, PAYMENT_SHARE = 6.0, 36.0, (9.5, 11.5), 0.5
-#: Scenarios are joined to every decision, so there may be this many at most.
+#: Scenarios are a constant of the plan, so there may be this many at most.
 MOST_SCENARIOS = 10_000
 
 
@@ -29,17 +30,24 @@ def collect_last(rows: DataFrame, keys: list[str], order: str, value: str = "sco
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent_name", "x")))).alias("results"))
 
 
-def stress(decisions: DataFrame, scenarios: DataFrame, suggestions: Column | None = None) -> DataFrame:
-    """decisions under each scenario (revenue_drop and interest_rate), with the penalty and the suggestions with the added warning.
+def with_each(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Every row with every scenario's columns beside its own.
 
-    Scenarios are few by nature and broadcast; more than MOST_SCENARIOS are an error.
+    The scenarios become a constant array of the plan that each row is exploded by, so that there is no join. More than
+    MOST_SCENARIOS are an error; none leave no rows.
     """
-    if scenarios.limit(MOST_SCENARIOS + 1).count() > MOST_SCENARIOS:
+    given = scenarios.select(F.to_json(F.struct(*[f"`{c}`" for c in scenarios.columns]))).limit(MOST_SCENARIOS + 1).collect()
+    if len(given) > MOST_SCENARIOS:
         raise ValueError(f"more than {MOST_SCENARIOS} scenarios")
+    return rows.select("*", F.inline(F.from_json(F.lit(f"[{','.join(x[0] for x in given)}]"), ArrayType(scenarios.schema))))
+
+
+def stress(decisions: DataFrame, scenarios: DataFrame, suggestions: Column | None = None) -> DataFrame:
+    """decisions under each scenario (revenue_drop and interest_rate), with the penalty and the suggestions with the added warning; see with_each."""
     score = F.col("mean_score") - drop_penalty(F.col("revenue_drop"))
     base = F.array(*map(F.lit, OFFER_TEXTS)) if suggestions is None else suggestions
     advice = with_rate_warning(base, F.col("interest_rate"))
-    return decisions.crossJoin(F.broadcast(scenarios)).withColumns(
+    return with_each(decisions, scenarios).withColumns(
         {"overall_health_score": round2(score), "stressed_decision": label(score), "suggestions": advice, "n_suggestions": F.size(advice), "warned": is_high_rate(F.col("interest_rate"))}
     )
 

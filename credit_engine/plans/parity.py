@@ -80,7 +80,7 @@ def stage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenario_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constant report of every scenario: modifiers do not touch it, so there is one distinct report."""
-    every = report_constant(spark, sf_dir).crossJoin(F.broadcast(catalog.scenarios(spark)))
+    every = decision.with_each(report_constant(spark, sf_dir), catalog.scenarios(spark))
     rows = every.groupBy(*[c for c in every.columns if c not in ("scenario", "revenue_drop", "interest_rate")]).agg(F.count("*").alias("n_scenarios"))
     return rows.agg(F.count("*").alias("distinct_reports"), F.sum("n_scenarios").alias("n_scenarios"))
 

@@ -123,6 +123,21 @@ def test_too_many_scenarios(spark, monkeypatch):
         decision.stress(spark.createDataFrame([(1, 60.0)], "id long, mean_score double"), catalog.scenarios(spark))
 
 
+def test_each_scenario(spark):
+    few = spark.createDataFrame([("a", 1.5, None), ("b", None, [1, 2])], "name string, `x y` double, z array<int>")
+    rows = spark.createDataFrame([(1,), (2,)], "id long")
+    assert sorted(map(str, decision.with_each(rows, few).collect())) == sorted(map(str, rows.crossJoin(few).collect()))
+    assert decision.with_each(rows, few.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["coordinator_grid", "scenario_invariance", "scenario_stress", "process_documents"])
+def test_nothing_is_crossed(spark, sf_dir, name):
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_intake(spark):
     from credit_engine.sources.tables import intake
 
