@@ -234,6 +234,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the hashes of the ids and of the text decoded from them, of all documents."""
     coded = encode(documents(spark, sf_dir).select("doc_id", "text"), model_path(), round_trip=True)
     return coded.select(
         "doc_id", F.floor(F.length("ids_bytes") / 4).cast("long").alias("n_tokens"),

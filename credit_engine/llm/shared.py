@@ -37,7 +37,19 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}_{uuid.uuid4().hex}"
+    return f"{_own_tables(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that operators of this application left in the shared folder: what their results are read from.
+
+    Call it when the results are written; results that are still to be read are lost.
+    """
+    delete(spark, _own_tables(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

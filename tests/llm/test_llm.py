@@ -577,6 +577,7 @@ def test_chat_equals_sql(spark):
     import pandas as pd
 
     rows = [(1, i, "user", str(i)) for i in range(1500)] + [(2, i, "user", str(i)) for i in range(1200)] + [(None, i, "user", str(i)) for i in range(3)] + [(None, 0, "user", "0"), (3, 0, "bot", None)]
+    rows += [(None, 5, "user", "1"), (None, 0, "bot", None), (None, 7, None, "")]  # an equal turn, one that is a conversation, one of its own
     conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
     con = duckdb.connect()
     con.register("conversations", conversations)
@@ -585,6 +586,22 @@ def test_chat_equals_sql(spark):
     assert Counter(map(tuple, got.collect())) == want and {x[0] for x in want} == {1, None, 3}
 
 
+def test_turns_without_conversation(spark):
+    rows = [(None, i, "user", f"t{i % 3}") for i in range(30)] + [(1, 0, "user", "t0"), (1, 1, "bot", "x"), (2, 0, "user", "t1")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    say = lambda t: f"<|im_start|>user\n{t}<|im_end|>\n"
+    assert Counter(map(tuple, chat.format_chats(turns).collect())) == Counter([(1, 2, 1, say("t0") + "<|im_start|>bot\nx<|im_end|>\n"), (2, 1, 11, say("t1")), (None, 1, 10, say("t2"))])
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def test_clear(spark):
+    left = shared.materialize(spark.range(3), "left")
+    path = left.inputFiles()[0].rsplit("/", 1)[0]
+    assert shared.exists(spark, path)
+    shared.clear(spark)
+    assert not shared.exists(spark, path)
+
+
 def test_targets(spark):
     rng = random.Random(9)
     names = [None, "", "Z", "a", "é", "z", "aa", "😀", "\uffff", *[f"s{i}" for i in range(60)]]
