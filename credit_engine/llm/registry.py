@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_formatting
+from .lines import op13_line_dedup
 from .lm import op6_lm_scores
 from .media import op10_media_columns
 from .mixing import op7_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_media_columns,
+        op13_line_dedup,
     )
 }
 
