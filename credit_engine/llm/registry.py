@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_formatting
+from .divergence import OP12_SQL, op12_source_divergence
 from .lines import op13_line_dedup
 from .lm import op6_lm_scores
 from .media import op10_media_columns
@@ -31,8 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_media_columns,
+        op12_source_divergence,
         op13_line_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op12_source_divergence": OP12_SQL}
