@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_token_alignment
 from .chat import OP1_SQL, op1_chat_formatting
 from .divergence import OP12_SQL, op12_source_divergence
 from .lines import op13_line_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_media_columns,
+        op11_token_alignment,
         op12_source_divergence,
         op13_line_dedup,
     )
