@@ -41,6 +41,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def credit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id, applicant_id, opened and closed: an order is credit from its date to the day its last line is shipped."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("applicant_id"), F.col("o_orderdate").cast("date").alias("opened"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_shipdate").cast("date").alias("closed"))
+    return orders.join(shipped, "order_id")
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream with a typed time in UTC and the number in its JSON."""
     return table(spark, sf_dir, "events").select(

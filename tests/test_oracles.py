@@ -7,9 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from credit_engine.plans import lending, parity
+from credit_engine.plans.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = {**parity.QUERIES, **lending.QUERIES}, {**parity.ORACLES, **lending.ORACLES}
+#: Models that SQL cannot fit; they have tests of their own.
+FITTED = {"fraud_isolation", "late_orders", "late_model_quality"}
 
 
 def rows(columns, found):
@@ -31,10 +32,10 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == FITTED
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     want = duck.execute(ORACLES[name])
