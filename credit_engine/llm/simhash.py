@@ -77,8 +77,10 @@ def anchors(fp: Column) -> Column:
 def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """src and dst: links that join all distinct fingerprints of the column fp as those within `distance` (at most 3) do.
 
-    Of the many links within an anchor's crowd only a spanning forest is returned, which keeps every connection.
+    A greater distance, for which the anchors would miss links, is an error. Of the many links within an anchor's crowd only a spanning forest is returned, which keeps every connection.
     """
+    if distance > 3:
+        raise ValueError("anchors find links of 3 differing bits and fewer")
     spark = fps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # An explicit number of partitions, which Spark does not coalesce: the rows are few and small, but each becomes 28.
@@ -182,7 +184,8 @@ def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text
     """One row of docs for each root of rows (id, k1, k2, root: a row for each of docs, with its text_keys).
 
     It is the one of the smallest id, null ids last, and of the smallest text keys among rows of that id. Of rows that
-    repeat both, which may differ in other columns, the least stays. Columns keep their names, whatever they are.
+    repeat both, which may differ in other columns, the one whose JSON is the least stays, so columns may be of any type
+    that JSON can tell, maps included. Columns keep their names, whatever they are.
     """
     of_id, of_k1, of_k2, many, row = free_names(docs.columns, "id", "k1", "k2", "n", "row")
     once = rows.groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("n"))
@@ -195,7 +198,7 @@ def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text
     repeated = chosen.filter(F.col(many) > 1)
     if repeated.isEmpty():
         return single
-    least = docs.join(repeated, same).groupBy(of_id, of_k1, of_k2).agg(F.min(F.struct(*columns)).alias(row))
+    least = docs.join(repeated, same).groupBy(of_id, of_k1, of_k2).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
     return single.union(least.select(*[F.col(f"{row}.`{c}`") for c in docs.columns]))
 
 
