@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 RATE_WARNING = "high_rate_strains_repayment"
 
 
+def known(x: Column) -> Column:
+    """A number as a double; null for what is not a number, which would pass for the greatest of all."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def cents(x: Column) -> Column:
-    """An amount in hundredths as a bigint, whose sums are exact and cheap; ties are cut at six decimals first, halves go away from zero."""
+    """An amount in hundredths as a bigint, whose sums are exact and cheap; ties are cut at six decimals first, halves go away from zero; null for a missing or undefined amount."""
+    x = known(x)
     millionths = F.floor(F.abs(x.cast("double")) * 1e6 + 0.5)
     return F.when(x < 0, -1).otherwise(1) * F.call_function("div", millionths + 5000, F.lit(10000).cast("bigint"))
 
@@ -26,8 +32,8 @@ def round2(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    """low..high; null stays null, which greatest and least alone would not grant."""
-    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    """low..high; a missing or undefined value is null, which greatest and least alone would not grant."""
+    return F.when(known(x).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def effective_score(agent: Column, score: Column) -> Column:
@@ -36,18 +42,18 @@ def effective_score(agent: Column, score: Column) -> Column:
 
 
 def label(score: Column) -> Column:
-    """Approve above 70, Review above 50, else Reject; of the unrounded score."""
-    return F.when(score > 70.0, "Approve").when(score > 50.0, "Review").otherwise("Reject")
+    """Approve above 70, Review above 50, else Reject; of the unrounded score; null for a missing or undefined one."""
+    return F.when(known(score).isNull(), None).when(score > 70.0, "Approve").when(score > 50.0, "Review").otherwise("Reject")
 
 
 def drop_penalty(revenue_drop: Column) -> Column:
-    """15 points for a drop above 10; a missing drop is none."""
-    return F.when(F.coalesce(revenue_drop.cast("double"), F.lit(0.0)) > 10.0, 15.0).otherwise(0.0)
+    """15 points for a drop above 10; a missing or undefined drop is none."""
+    return F.when(F.coalesce(known(revenue_drop), F.lit(0.0)) > 10.0, 15.0).otherwise(0.0)
 
 
 def is_high_rate(interest_rate: Column) -> Column:
-    """Above 12; a missing rate is not."""
-    return F.coalesce(interest_rate.cast("double"), F.lit(0.0)) > 12.0
+    """Above 12; a missing or undefined rate is not."""
+    return F.coalesce(known(interest_rate), F.lit(0.0)) > 12.0
 
 
 def with_rate_warning(suggestions: Column, interest_rate: Column) -> Column:

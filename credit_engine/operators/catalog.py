@@ -54,7 +54,7 @@ REASONS = [
 ]
 #: Agents whose reasons are shown as cards.
 CARDS = ("Financial Health", "Fraud Risk", "Forecast")
-#: The stages of the workflow, in order.
+# The stages of the workflow, in order.
 STAGES = ("Document Pipeline", "Financial Pipeline", "Feature Pipeline", "AI Pipeline", "Decision Pipeline", "Recommendation Pipeline", "Reporting Pipeline")
 # Nodes and edges of the drawn stage graph.
 NODES = [("1", "Financial Data"), ("2", "Feature Engineering"), ("3", "Health Agent"), ("4", "Fraud Agent"), ("5", "Forecast Agent"), ("6", "Decision Coordinator")]

@@ -47,7 +47,7 @@ def features(applicants: DataFrame, ledger: DataFrame, payments: DataFrame) -> D
     """One row for each applicant; those without orders have zero revenue and null ratios.
 
     Orders are summed by month, and months by applicant: moments and slope come from the months, so that the ledger is
-    read and shuffled once. `history` holds the months in order; it is as long as the business is old, not as it is large.
+    read and shuffled once. `history` holds the months in order, upi_history those of digital payments; it is as long as the business is old, not as it is large.
     Spark leaves out the sums that a query does not use.
     """
     months = ledger.groupBy("applicant_id", "month").agg(
@@ -61,7 +61,10 @@ def features(applicants: DataFrame, ledger: DataFrame, payments: DataFrame) -> D
         F.min("month").alias("first_month"), F.max("month").alias("last_month"),
         F.array_sort(F.collect_list(F.struct("month", *[amount(F.col(c)).alias(c) for c in ("revenue", "expense", "tax")]))).alias("history"),
     )
-    paid = payments.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("applicant_id")).agg(amount(F.sum("paid")).alias("upi_total"), F.count("*").alias("upi_count"))
+    by_month = payments.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("applicant_id"), F.trunc(F.col("ts").cast("date"), "month").alias("month")).agg(F.sum("paid").alias("paid"), F.count("*").alias("n"))
+    paid = by_month.groupBy("applicant_id").agg(
+        amount(F.sum("paid")).alias("upi_total"), F.sum("n").alias("upi_count"), F.array_sort(F.collect_list(F.struct("month", amount(F.col("paid")).alias("paid")))).alias("upi_history")
+    )
     joined = applicants.join(per, "applicant_id", "left").join(paid, "applicant_id", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     slope = F.when(F.col("months") >= 2, F.round(F.col("slope").cast("decimal(18,6)"), 4).cast("double"))
@@ -75,7 +78,7 @@ def features(applicants: DataFrame, ledger: DataFrame, payments: DataFrame) -> D
         F.coalesce("months", F.lit(0)).alias("months"), "first_month", "last_month", "history",
         F.round(100.0 * (F.try_divide(year(0), year(1)) - 1.0), 4).alias("growth_yoy"),
         F.round(F.col("months") / (_number(F.col("last_month")) - _number(F.col("first_month")) + 1), 6).alias("filing_consistency"),
-        F.col("upi_total"), F.col("upi_count").cast("double").alias("upi_count"),
+        F.col("upi_total"), F.col("upi_count").cast("double").alias("upi_count"), "upi_history",
     )
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import catalog, decision, monitor, profile
 from ..sources import tables
+from ..storage import materialize
 from ..streaming import payments as stream
 
 
+CONFIDENCE_FACTORS = ("agreement", "document_quality", "history", "completeness")
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.features(tables.applicants(spark, sf_dir), tables.ledger(spark, sf_dir), tables.payments(spark, sf_dir))
 
@@ -77,8 +81,9 @@ def agent_results_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Banded share of agents on the decision's side of 50."""
-    return _assessed(spark, sf_dir).select("applicant_id", "confidence", "confidence_level")
+    """Banded share of agents on the decision's side of 50, and the factors beside it."""
+    parts = [F.col("confidence_factors")[c].alias(c) for c in CONFIDENCE_FACTORS]
+    return _assessed(spark, sf_dir).select("applicant_id", "confidence", "confidence_level", *parts)
 
 
 def scenario_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +98,10 @@ def scenario_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report for every scenario: the stressed decision and the offer that goes with it."""
-    assessed = _assessed(spark, sf_dir).select("applicant_id", "mean_score", F.col("decision").alias("base_decision"), "principal")
-    stressed = decision.stress(assessed, catalog.scenarios(spark))
-    offer = decision.offered(F.when(F.col("stressed_decision") == "Reject", 0.0).otherwise(F.col("principal")), F.col("stressed_decision"))
-    return stressed.select("applicant_id", "scenario", "base_decision", F.col("stressed_decision").alias("decision"), *[v.alias(k) for k, v in offer.items()])
+    """The whole report of every applicant under every scenario, flattened; its own decision beside the unstressed one."""
+    stressed = decision.restress(decision.judge(_scored(spark, sf_dir)), catalog.scenarios(spark))
+    reported = stressed.select("applicant_id", "scenario", "base_decision", decision.report())
+    return _flat(reported, "scenario", "base_decision")
 
 
 def label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +113,7 @@ def label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loan_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six months' average revenue over 36 months, capped by the cash flow; with the payment's share of a month."""
-    return _assessed(spark, sf_dir).select("applicant_id", "decision", "principal", "interest_rate", "emi", "principal_inr", "capped", "payment_share")
+    return _assessed(spark, sf_dir).select("applicant_id", "decision", "principal", "interest_rate", "emi", "principal_inr", "capped", "payment_share", "maximum_principal", "rate_high", "repayment_capacity", "risk_level")
 
 
 def portfolio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,32 +236,44 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assessed(spark, sf_dir).select("applicant_id", decision.report())
 
 
-def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested report of every applicant, flattened."""
-    r = reports(spark, sf_dir)
+def _flat(reported: DataFrame, *more: str) -> DataFrame:
+    """Reports (applicant_id, report) as columns of one level, with the columns `more` beside the id."""
     count = lambda c: F.size(f"report.{c}").cast("bigint")
-    return r.select(
-        "applicant_id", "report.company_summary.*", F.col("report.verification.status").alias("verification_status"), F.col("report.verification.confidence").alias("verification_confidence"),
-        count("timeline.revenue").alias("n_months"), count("timeline.payroll").alias("n_payroll_months"), F.round(F.aggregate(F.map_values("report.timeline.cash_flow"), F.lit(0.0), lambda s, x: s + x), 2).alias("cash_flow"),
-        F.element_at("report.scores", "Cash Flow").alias("cash_flow_score"), "report.decision.*", "report.decision_confidence.*",
-        "report.recommendation.principal_inr", "report.recommendation.interest_rate", "report.recommendation.emi", F.array_join("report.recommendation.suggestions", ",").alias("suggestions"),
-        F.array_join("report.risk_factors", ",").alias("risk_factors"), count("explainability.positive_factors").alias("positive_factors"), count("explainability.negative_factors").alias("negative_factors"),
+    joined = lambda c: F.array_join(f"report.{c}", ",")
+    offer = ("principal_inr", "interest_rate", "emi", "maximum_inr", "rate_high", "repayment_capacity", "risk_level")
+    return reported.select(
+        "applicant_id", *more, "report.company_summary.*", F.col("report.verification.status").alias("verification_status"), F.col("report.verification.confidence").alias("verification_confidence"),
+        count("timeline.revenue").alias("n_months"), count("timeline.payroll").alias("n_payroll_months"), count("timeline.upi").alias("n_upi_months"),
+        F.round(F.aggregate(F.map_values("report.timeline.cash_flow"), F.lit(0.0), lambda s, x: s + x), 2).alias("cash_flow"), F.round(F.aggregate(F.map_values("report.timeline.upi"), F.lit(0.0), lambda s, x: s + x), 2).alias("upi"),
+        F.element_at("report.scores", "Cash Flow").alias("cash_flow_score"), "report.decision.*", "report.decision_confidence.confidence", "report.decision_confidence.confidence_level",
+        *[F.col("report.decision_confidence.factors")[c].alias(c) for c in CONFIDENCE_FACTORS], *[f"report.recommendation.{c}" for c in offer], joined("recommendation.suggestions").alias("suggestions"),
+        joined("risk_factors").alias("risk_factors"), count("explainability.positive_factors").alias("positive_factors"), count("explainability.negative_factors").alias("negative_factors"),
+        joined("explainability.evidence_used").alias("evidence_used"), F.col("report.explainability.reason_for_recommendation").alias("reason"),
     )
 
 
-def workflow(spark: SparkSession, sf_dir: str, log: monitor.RunLog, retries: int = 0) -> tuple[DataFrame, int]:
-    """The reports of all applicants, and their number, made by the seven stages under a log.
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report of every applicant, flattened."""
+    return _flat(reports(spark, sf_dir))
+
 
-    Stages hand on a dictionary of DataFrames. All but the last build plans; the last one runs them, so that the time and
-    the failures of the work are its own. A stage that fails is tried again up to `retries` times.
+def workflow(spark: SparkSession, sf_dir: str, log: monitor.RunLog, retries: int = 0) -> tuple[DataFrame, dict[str, int]]:
+    """The reports of all applicants, written to the shared folder, and numbers of the run, made by the seven stages under a log.
+
+    Stages hand on a dictionary. The first two count what they find in the documents and in the ledger, so that a table
+    that cannot be read fails its own stage; the next four build plans; the last one computes and writes the reports, once.
+    A stage that fails is tried again up to `retries` times.
     """
 
     def document(made: dict) -> dict:
-        return made | {"documents": document_features(spark, sf_dir), "verification": doc_verification(spark, sf_dir)}
+        status = F.col("status")
+        found = doc_verification(spark, sf_dir).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"), *[F.coalesce(F.sum(F.when(status == x, F.col("n"))), F.lit(0)).alias(f"n_{x.lower()}") for x in ("Verified", "Warning", "Failed")])
+        read = document_features(spark, sf_dir).agg(F.count_if("mentions_license").alias("n_licensed"))
+        return made | {"numbers": found.first().asDict() | read.first().asDict()}
 
     def financial(made: dict) -> dict:
-        ledger = tables.ledger(spark, sf_dir)
-        return made | {"ledger": ledger, "issues": validation_issues(spark, sf_dir), "timeline": profile.growth(profile.monthly(ledger))}
+        issues = validation_issues(spark, sf_dir).agg(F.count("*").alias("n_issues")).first().asDict()
+        return made | {"ledger": tables.ledger(spark, sf_dir), "numbers": made["numbers"] | issues}
 
     def feature(made: dict) -> dict:
         return made | {"features": profile.features(tables.applicants(spark, sf_dir), made["ledger"], tables.payments(spark, sf_dir))}
@@ -266,26 +282,25 @@ def workflow(spark: SparkSession, sf_dir: str, log: monitor.RunLog, retries: int
         return made | {"scored": profile.scored(made["features"])}
 
     def decide(made: dict) -> dict:
-        return made | {"assessed": decision.assess(made["scored"])}
+        return made | {"judged": decision.judge(made["scored"])}
 
     def recommend(made: dict) -> dict:
-        advised = made["assessed"].withColumn("recommendation", decision.overwrite_suggestions(decision.recommendation(), F.col("tips")))
-        return made | {"advised": advised}
+        return made | {"advised": decision.offer(made["judged"])}
 
     def reporting(made: dict) -> dict:
-        reported, seen = made["advised"].select("applicant_id", decision.report()), Observation()
-        reported.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-        return made | {"reports": reported, "n_reports": seen.get["n"]}
+        seen = Observation()
+        reported = made["advised"].select("applicant_id", decision.report()).observe(seen, F.count(F.lit(1)).alias("n"))
+        return made | {"reports": materialize(reported, "reports"), "numbers": made["numbers"] | {"n_reports": seen.get["n"]}}
 
     made = monitor.run_stages(log, list(zip(catalog.STAGES, (document, financial, feature, agents, decide, recommend, reporting), strict=True)), {}, retries)
-    return made["reports"], made["n_reports"]
+    return made["reports"], made["numbers"]
 
 
 def workflow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after a run of the seven stages over all applicants, flattened and without its time."""
+    """The state after a run of the seven stages over all applicants, flattened and without its time, and what the run counted."""
     log = monitor.RunLog()
-    _, n = workflow(spark, sf_dir, log)
-    return monitor.status(log.to_df(spark)).select("current_stage", F.size("completed_stages").alias("n_completed"), "running_stage", "failed_stage", "retry_count", "pipeline_health", F.lit(n).cast("bigint").alias("n_reports"))
+    _, numbers = workflow(spark, sf_dir, log)
+    return monitor.status(log.to_df(spark)).select("current_stage", F.size("completed_stages").alias("n_completed"), "running_stage", "failed_stage", "retry_count", "pipeline_health", *[F.lit(n).cast("bigint").alias(c) for c, n in numbers.items()])
 
 
 def workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,14 +316,18 @@ def initial_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What processing returns: status, the state of the run and, as JSON, the decision and the offer of every applicant."""
+    """What processing returns for every applicant: status, the state of the run, what it counted, and the whole report.
+
+    The reports are those that the run has written, so that nothing is computed twice.
+    """
     log = monitor.RunLog()
-    made, _ = workflow(spark, sf_dir, log)
+    made, numbers = workflow(spark, sf_dir, log)
     state = monitor.status(log.to_df(spark)).select("current_stage", "pipeline_health").first()  # one row, whatever the log
-    answer = F.to_json(F.struct(F.col("report.decision.decision").alias("decision"), F.col("report.recommendation.principal_inr").alias("principal_inr"), F.col("report.verification.status").alias("verification")))
-    return made.select("applicant_id", F.lit("success").alias("status"), *[F.lit(v).alias(k) for k, v in state.asDict().items()], answer.alias("report_json"))
+    told = {"status": F.lit("success")} | {k: F.lit(v) for k, v in state.asDict().items()} | {k: F.lit(v).cast("bigint") for k, v in numbers.items()}
+    return _flat(made.withColumns(told), *told)
 
 
+_ROUND2 = "CAST(round(CAST({} AS DECIMAL(18,6)), 2) AS DOUBLE)"
 _BASE = """
 WITH cost AS (
   SELECT l_orderkey AS order_id, sum(CAST(round(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS net, sum(CAST(round(CAST(l_extendedprice * (1 - l_discount) * l_tax AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS tax,
@@ -330,42 +349,89 @@ yearly AS (
   FROM monthly JOIN span USING (applicant_id) GROUP BY ALL),
 upi AS (SELECT user_id AS applicant_id, CAST(sum(CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS upi_total, CAST(count(*) AS DOUBLE) AS upi_count FROM events WHERE event_type = 'purchase' GROUP BY 1),
 wide AS (
-  SELECT c_custkey AS applicant_id, c_name AS name, c_mktsegment AS industry, c_acctbal AS balance, coalesce(n_orders, 0) AS n_orders, coalesce(bare_orders, 0) AS bare_orders, coalesce(months, 0) AS months, coalesce(cash, 0) AS cash,
+  SELECT c_custkey AS applicant_id, c_name AS name, c_mktsegment AS industry, CASE WHEN NOT isnan(c_acctbal) THEN c_acctbal END AS balance, coalesce(n_orders, 0) AS n_orders, coalesce(bare_orders, 0) AS bare_orders, coalesce(months, 0) AS months, coalesce(cash, 0) AS cash,
          coalesce(revenue, 0) AS revenue, coalesce(expense, 0) AS expense, coalesce(tax, 0) AS tax, coalesce(cv, 1) AS cv,
          round((coalesce(revenue, 0) - coalesce(expense, 0)) / nullif(revenue, 0), 6) AS margin, round(returned / nullif(lines, 0), 6) AS return_rate, round(settled / nullif(n_orders, 0), 6) AS settled_share,
          round(coalesce(slope / nullif(avg_month, 0), 0), 6) AS trend, coalesce(avg_month, 0) AS avg_month, round(100 * (y0 / nullif(y1, 0) - 1), 4) AS growth_yoy,
          round(months::DOUBLE / (year(last_month) * 12 + month(last_month) - year(first_month) * 12 - month(first_month) + 1), 6) AS filing_consistency, upi_total, upi_count
   FROM customer LEFT JOIN per ON per.applicant_id = c_custkey LEFT JOIN trend ON trend.applicant_id = c_custkey LEFT JOIN yearly ON yearly.applicant_id = c_custkey LEFT JOIN upi ON upi.applicant_id = c_custkey),
 scores AS (
-  SELECT applicant_id, industry, agent_name, round(greatest(0, least(100, raw)), 6) AS score FROM (
+  SELECT applicant_id, industry, agent_name, CASE WHEN NOT isnan(raw) THEN round(greatest(0, least(100, raw)), 6) END AS score FROM (
     SELECT applicant_id, industry, unnest(['Financial Health', 'Cash Flow', 'Fraud Risk', 'Forecast', 'Compliance', 'Business Stability']) AS agent_name,
            unnest([50 + 50 * coalesce(margin, 0), 100 - 60 * cv, 100 * coalesce(return_rate, 0), 50 + 500 * trend, 50 + 50 * coalesce(settled_share, 0), 50 + coalesce(balance, 0) / 200]) AS raw FROM wide)),
 eff AS (SELECT *, CASE WHEN agent_name = 'Fraud Risk' THEN 100 - score ELSE score END AS e FROM scores),
 mean AS (SELECT applicant_id, industry, round(avg(e), 6) AS mean_score FROM eff GROUP BY 1, 2),
-decided AS (SELECT *, CASE WHEN mean_score > 70 THEN 'Approve' WHEN mean_score > 50 THEN 'Review' ELSE 'Reject' END AS decision FROM mean),
+decided AS (SELECT *, CASE WHEN mean_score IS NULL OR isnan(mean_score) THEN NULL WHEN mean_score > 70 THEN 'Approve' WHEN mean_score > 50 THEN 'Review' ELSE 'Reject' END AS decision FROM mean),
 scen AS (SELECT * FROM (VALUES ('base', 0.0::DOUBLE, 9.5::DOUBLE), ('drop', 15.0, 9.5), ('rate', 0.0, 14.0), ('both', 15.0, 14.0)) t(scenario, revenue_drop, interest_rate)),
 stressed AS (SELECT *, mean_score - CASE WHEN revenue_drop > 10 THEN 15 ELSE 0 END AS s FROM decided, scen),
 relabelled AS (SELECT *, CASE WHEN s > 70 THEN 'Approve' WHEN s > 50 THEN 'Review' ELSE 'Reject' END AS stressed_decision FROM stressed),
-offer AS (
-  SELECT decided.applicant_id, decision, avg_month, CASE WHEN decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate, avg_month * 6 AS wanted,
-         greatest(0, coalesce((revenue - expense - tax) / nullif(months, 0), 0) * 0.5::DOUBLE) AS payment FROM decided JOIN wide USING (applicant_id)),
-borne AS (SELECT *, payment / ((interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1)) AS bearable FROM offer),
-sized AS (
-  SELECT *, CASE WHEN decision = 'Reject' THEN 0.0::DOUBLE ELSE floor(CAST(round(CAST(least(wanted, bearable) AS DECIMAL(18,6)), 2) AS DOUBLE)) END AS principal,
-         decision <> 'Reject' AND round(CAST(bearable AS DECIMAL(18,6)), 2) < round(CAST(wanted AS DECIMAL(18,6)), 2) AS capped FROM borne),
-paid AS (
-  SELECT *, CAST(round(CAST(principal * (interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi, CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x FROM sized),
-offered AS (
-  SELECT applicant_id, decision, principal, interest_rate, emi, coalesce(round(emi / nullif(avg_month, 0), 6), 0) AS payment_share, capped,
-         CASE WHEN length(x) <= 3 THEN '₹ ' || x ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left(x, length(x) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right(x, 3) END AS principal_inr FROM paid),
 agreed AS (SELECT applicant_id, round(greatest(avg(CASE WHEN e > 50 THEN 1.0::DOUBLE ELSE 0 END), 1 - avg(CASE WHEN e > 50 THEN 1.0::DOUBLE ELSE 0 END)), 4) AS confidence FROM eff GROUP BY 1),
-banded AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'Very High' WHEN confidence >= 0.75 THEN 'High' WHEN confidence >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level FROM agreed),
+banded AS (
+  SELECT applicant_id, confidence, CASE WHEN confidence >= 0.9 THEN 'Very High' WHEN confidence >= 0.75 THEN 'High' WHEN confidence >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level, confidence AS agreement,
+         round(1 - coalesce(bare_orders::DOUBLE / nullif(n_orders, 0), 0), 4) AS document_quality, round(least(1.0, months / 24.0::DOUBLE), 4) AS history,
+         round(((margin IS NOT NULL)::INT + (return_rate IS NOT NULL)::INT + (settled_share IS NOT NULL)::INT + (growth_yoy IS NOT NULL)::INT + (filing_consistency IS NOT NULL)::INT + (upi_total IS NOT NULL)::INT) / 6.0::DOUBLE, 4) AS completeness
+  FROM agreed JOIN wide USING (applicant_id)),
+"""
+_RUPEES = "CASE WHEN length({x}) <= 3 THEN '₹ ' || {x} ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left({x}, length({x}) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right({x}, 3) END"
+
+
+def _offer_sql(name: str, source: str) -> str:
+    """The offers that go with the decisions of a relation (key, applicant_id, decision)."""
+    power = "pow(1 + interest_rate / 1200, 36)"
+    return f"""
+{name}_offer AS (
+  SELECT key, applicant_id, decision, confidence, avg_month, CASE WHEN decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate, avg_month * 6 AS wanted,
+         greatest(0, coalesce((revenue - expense - tax) / nullif(months, 0), 0) * 0.5::DOUBLE) AS payment FROM {source} JOIN wide USING (applicant_id) JOIN agreed USING (applicant_id)),
+{name}_borne AS (SELECT *, payment / ((interest_rate / 1200) * {power} / ({power} - 1)) AS bearable FROM {name}_offer),
+{name}_sized AS (
+  SELECT *, CASE WHEN decision = 'Reject' THEN 0.0::DOUBLE ELSE floor(CAST(round(CAST(least(wanted, bearable) AS DECIMAL(18,6)), 2) AS DOUBLE)) END AS principal,
+         CASE WHEN decision = 'Reject' THEN 0.0::DOUBLE ELSE floor(CAST(round(CAST(bearable AS DECIMAL(18,6)), 2) AS DOUBLE)) END AS maximum_principal,
+         decision <> 'Reject' AND round(CAST(bearable AS DECIMAL(18,6)), 2) < round(CAST(wanted AS DECIMAL(18,6)), 2) AS capped FROM {name}_borne),
+{name}_paid AS (
+  SELECT *, CAST(round(CAST(principal * (interest_rate / 1200) * {power} / ({power} - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi,
+         CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x, CAST(CAST(trunc(maximum_principal) AS BIGINT) AS VARCHAR) AS y FROM {name}_sized),
+{name}_shared AS (SELECT *, coalesce(round(emi / nullif(avg_month, 0), 6), 0) AS payment_share FROM {name}_paid),
+{name} AS (
+  SELECT key, applicant_id, decision, principal, maximum_principal, interest_rate, emi, payment_share, capped, {_RUPEES.format(x='x')} AS principal_inr, {_RUPEES.format(x='y')} AS maximum_inr,
+         round(interest_rate + 4 * (1 - confidence), 2) AS rate_high, CASE WHEN principal <= 0 THEN 'none' WHEN payment_share <= 0.15 THEN 'strong' WHEN payment_share <= 0.25 THEN 'fair' ELSE 'strained' END AS repayment_capacity,
+         CASE WHEN decision = 'Approve' AND confidence >= 0.75 THEN 'Low' WHEN decision IN ('Approve', 'Review') THEN 'Medium' ELSE 'High' END AS risk_level FROM {name}_shared)"""
+
+
+_BASE += "plain AS (SELECT 'base' AS key, applicant_id, decision FROM decided)," + _offer_sql("offered", "plain") + """,
 factor AS (
   SELECT applicant_id, agent_name, CASE WHEN e - 50 >= 0 THEN 'positive' ELSE 'negative' END AS direction,
          CAST(round(CAST(coalesce((e - 50) / nullif(sum(abs(e - 50)) OVER (PARTITION BY applicant_id), 0), 0) AS DECIMAL(18,6)), 2) AS DOUBLE) AS impact FROM eff),
 tips AS (
   SELECT applicant_id, tip FROM eff JOIN (VALUES ('Compliance', 'file_returns_on_time'), ('Business Stability', 'complete_registration'), ('Cash Flow', 'raise_average_balance'), ('Financial Health', 'lower_emi_to_revenue')) t(agent_name, tip) USING (agent_name) WHERE e < 60)
 """
+_REPORT = """
+, f AS (SELECT applicant_id, count(*) FILTER (direction = 'positive') AS positive_factors, count(*) FILTER (direction = 'negative') AS negative_factors FROM factor GROUP BY 1),
+places AS (SELECT * FROM (VALUES ('Financial Health', 1), ('Cash Flow', 2), ('Fraud Risk', 3), ('Forecast', 4), ('Compliance', 5), ('Business Stability', 6)) t(agent_name, place)),
+t AS (SELECT applicant_id, string_agg(tip, ',' ORDER BY place) AS suggestions FROM tips
+      JOIN (VALUES ('file_returns_on_time', 1), ('complete_registration', 2), ('raise_average_balance', 3), ('lower_emi_to_revenue', 4)) t(tip, place) USING (tip) GROUP BY 1),
+r AS (SELECT applicant_id, string_agg(agent_name, ',' ORDER BY place) AS risk_factors FROM eff JOIN places USING (agent_name) WHERE e <= 50 GROUP BY 1),
+why AS (SELECT applicant_id, arg_min(direction || ':' || agent_name, 10 * round(-abs(impact) * 100) + place) AS reason FROM factor JOIN places USING (agent_name) GROUP BY 1),
+um AS (SELECT user_id AS applicant_id, count(DISTINCT date_trunc('month', ts)) AS n_upi_months FROM events WHERE event_type = 'purchase' GROUP BY 1),
+common AS (
+  SELECT wide.applicant_id, 'CMP-' || wide.applicant_id AS company_id, name, wide.industry,
+         CASE WHEN balance < 0 THEN 'Failed' WHEN bare_orders > 0 OR months = 0 THEN 'Warning' ELSE 'Verified' END AS verification_status, round(1 - coalesce(bare_orders::DOUBLE / nullif(n_orders, 0), 0), 4) AS verification_confidence,
+         months AS n_months, 0::BIGINT AS n_payroll_months, coalesce(n_upi_months, 0) AS n_upi_months, round(cash, 2) AS cash_flow, round(coalesce(upi_total, 0), 2) AS upi, s.score AS cash_flow_score,
+         confidence, confidence_level, agreement, document_quality, history, completeness, coalesce(suggestions, '') AS suggestions, coalesce(risk_factors, '') AS risk_factors, positive_factors, negative_factors,
+         concat_ws(',', CASE WHEN n_orders > 0 THEN 'orders' END, CASE WHEN months > 0 THEN 'tax_filings' END, CASE WHEN upi_count > 0 THEN 'digital_payments' END, CASE WHEN return_rate IS NOT NULL THEN 'returns' END) AS evidence_used, reason
+  FROM wide JOIN banded USING (applicant_id) JOIN f USING (applicant_id) JOIN why USING (applicant_id) JOIN scores s ON s.applicant_id = wide.applicant_id AND agent_name = 'Cash Flow'
+  LEFT JOIN t ON t.applicant_id = wide.applicant_id LEFT JOIN r ON r.applicant_id = wide.applicant_id LEFT JOIN um ON um.applicant_id = wide.applicant_id)
+"""
+_OFFERED = "principal_inr, interest_rate, emi, maximum_inr, rate_high, repayment_capacity, risk_level"
+_FULL = _BASE + _REPORT + f"""
+, full_report AS (
+  SELECT common.*, CAST(round(CAST(mean_score AS DECIMAL(18,6)), 2) AS DOUBLE) AS overall_health_score, decided.decision, {_OFFERED}
+  FROM common JOIN decided USING (applicant_id) JOIN offered USING (applicant_id))
+"""
+_NUMBERS = """
+  (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0) AS n_verified,
+  (SELECT count(*) FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL) AS n_warning, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE NOT (quality = 1 AND toxic = 0)) AS n_failed,
+  (SELECT count(*) FROM documents WHERE contains(lower(coalesce(text, '')), 'license')) AS n_licensed,
+  (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) + (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n_issues, (SELECT count(*) FROM customer) AS n_reports"""
 _FEATURES = _BASE + """
 , feature AS (SELECT * FROM (
   SELECT applicant_id, 'revenue' AS feature_group, 'revenue' AS feature, CAST(revenue AS DOUBLE) AS value FROM wide
@@ -382,7 +448,6 @@ _FEATURES = _BASE + """
   UNION ALL SELECT applicant_id, 'business_stability' AS feature_group, 'return_rate' AS feature, CAST(return_rate AS DOUBLE) AS value FROM wide
   UNION ALL SELECT applicant_id, 'business_stability' AS feature_group, 'balance' AS feature, CAST(balance AS DOUBLE) AS value FROM wide) WHERE value IS NOT NULL)
 """
-_ROUND2 = "CAST(round(CAST({} AS DECIMAL(18,6)), 2) AS DOUBLE)"
 _DAILY = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2"
 ORACLES = {
     "decision_summary": _BASE + f"SELECT applicant_id, {_ROUND2.format('mean_score')} AS overall_health_score, decision FROM decided",
@@ -403,18 +468,17 @@ ORACLES = {
     "scenario_suggestions": _BASE + """
         , s AS (SELECT applicant_id, scenario, CASE WHEN interest_rate > 12 THEN ['offer_amount', 'offer_rate', 'high_rate_strains_repayment'] ELSE ['offer_amount', 'offer_rate'] END AS list FROM relabelled)
         SELECT applicant_id, scenario, CAST(unnest(range(len(list))) AS INTEGER) AS place, unnest(list) AS suggestion FROM s""",
-    "scenario_reports": _BASE + """
-        , s AS (SELECT r.applicant_id, scenario, r.decision AS base_decision, stressed_decision AS decision, CASE WHEN stressed_decision = 'Reject' THEN 0.0::DOUBLE ELSE principal END AS principal,
-                       CASE WHEN stressed_decision = 'Approve' THEN 9.5::DOUBLE ELSE 11.5::DOUBLE END AS interest_rate FROM relabelled r JOIN offered o ON r.applicant_id = o.applicant_id),
-        t AS (SELECT *, CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR) AS x FROM s)
-        SELECT applicant_id, scenario, base_decision, decision, principal, interest_rate,
-               CAST(round(CAST(principal * (interest_rate / 1200) * pow(1 + interest_rate / 1200, 36) / (pow(1 + interest_rate / 1200, 36) - 1) AS DECIMAL(18,6)), 2) AS DOUBLE) AS emi,
-               CASE WHEN length(x) <= 3 THEN '₹ ' || x ELSE '₹ ' || reverse(rtrim(regexp_replace(reverse(left(x, length(x) - 3)), '(..)', '\\1,', 'g'), ',')) || ',' || right(x, 3) END AS principal_inr FROM t""",
+    "scenario_reports": _BASE + ", hit AS (SELECT scenario AS key, applicant_id, stressed_decision AS decision FROM relabelled)," + _offer_sql("stressed_offers", "hit") + _REPORT + f"""
+        SELECT common.* REPLACE (concat_ws(',', nullif(suggestions, ''), CASE WHEN r.interest_rate > 12 THEN 'high_rate_strains_repayment' END) AS suggestions), scenario, r.decision AS base_decision,
+               {_ROUND2.format('s')} AS overall_health_score, stressed_decision AS decision, {', '.join('o.' + c for c in _OFFERED.split(', '))}
+        FROM common JOIN relabelled r ON r.applicant_id = common.applicant_id JOIN stressed_offers o ON o.applicant_id = r.applicant_id AND o.key = r.scenario""",
     "company_registry": "SELECT 'success' AS status, 'CMP-' || c_custkey AS company_id, c_name AS name FROM customer",
     "company_intake": """
-        SELECT 'CMP-' || c_custkey AS company_id, c_name AS name, c_mktsegment AS industry,
-               CASE WHEN c_name IS NULL OR trim(c_name) = '' OR c_mktsegment IS NULL THEN 'missing_field' WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') THEN 'unknown_industry'
-                    WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'no_consent' ELSE 'accepted' END AS status FROM customer""",
+        WITH y AS (SELECT o_custkey AS applicant_id, year(o_orderdate) AS year, CAST(sum(CAST(round(CAST(o_totalprice AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1, 2),
+        last AS (SELECT applicant_id, arg_max(revenue, year) AS annual_revenue FROM y GROUP BY 1)
+        SELECT 'CMP-' || c_custkey AS company_id, c_name AS name, c_mktsegment AS industry, annual_revenue,
+               CASE WHEN c_name IS NULL OR trim(c_name) = '' OR c_mktsegment IS NULL OR annual_revenue IS NULL THEN 'missing_field' WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') THEN 'unknown_industry'
+                    WHEN annual_revenue <= 0 THEN 'no_revenue' WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'no_consent' ELSE 'accepted' END AS status FROM customer LEFT JOIN last ON c_custkey = applicant_id""",
     "import_states": """
         SELECT source, CASE WHEN n_rows > 0 THEN 'done' ELSE 'idle' END AS state, n_rows FROM (
           SELECT 'gst' AS source, count(DISTINCT (o_custkey, date_trunc('month', o_orderdate))) AS n_rows FROM orders
@@ -426,12 +490,12 @@ ORACLES = {
         SELECT applicant_id, CAST(row_number() OVER (PARTITION BY applicant_id ORDER BY place) - 1 AS INTEGER) AS place, tip AS suggestion
         FROM tips JOIN (VALUES ('file_returns_on_time', 1), ('complete_registration', 2), ('raise_average_balance', 3), ('lower_emi_to_revenue', 4)) t(tip, place) USING (tip)""",
     "agent_scores_long": _BASE + "SELECT applicant_id, agent_name, score FROM scores",
-    "decision_confidence": _BASE + "SELECT applicant_id, confidence, confidence_level FROM banded",
+    "decision_confidence": _BASE + "SELECT applicant_id, confidence, confidence_level, agreement, document_quality, history, completeness FROM banded",
     "scenario_stress": _BASE + f"SELECT applicant_id, scenario, {_ROUND2.format('s')} AS overall_health_score, stressed_decision AS decision, CAST(2 + CASE WHEN interest_rate > 12 THEN 1 ELSE 0 END AS INTEGER) AS n_suggestions FROM relabelled",
     "label_migration": _BASE + """
         SELECT scenario, decision AS from_decision, count(*) FILTER (stressed_decision = 'Approve') AS to_approve, count(*) FILTER (stressed_decision = 'Review') AS to_review,
                count(*) FILTER (stressed_decision = 'Reject') AS to_reject FROM relabelled GROUP BY 1, 2""",
-    "loan_offer": _BASE + "SELECT applicant_id, decision, principal, interest_rate, emi, principal_inr, capped, payment_share FROM offered",
+    "loan_offer": _BASE + "SELECT applicant_id, decision, principal, interest_rate, emi, principal_inr, capped, payment_share, maximum_principal, rate_high, repayment_capacity, risk_level FROM offered",
     "portfolio_rollup": _BASE + """
         SELECT industry, decision, CAST(grouping(industry) AS BIGINT) AS all_industries, CAST(grouping(decision) AS BIGINT) AS all_decisions, count(*) AS n, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue
         FROM decided JOIN wide USING (applicant_id, industry) GROUP BY ROLLUP (industry, decision)""",
@@ -458,28 +522,14 @@ ORACLES = {
         s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
         SELECT user_id, min(ts) AS started, count(*) AS n_events, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM s GROUP BY user_id, session""",
     "coaching_rules": _BASE + "SELECT * FROM tips",
-    "full_report": _BASE + f"""
-        , f AS (SELECT applicant_id, count(*) FILTER (direction = 'positive') AS positive_factors, count(*) FILTER (direction = 'negative') AS negative_factors FROM factor GROUP BY 1),
-        t AS (SELECT applicant_id, string_agg(tip, ',' ORDER BY place) AS suggestions FROM tips
-              JOIN (VALUES ('file_returns_on_time', 1), ('complete_registration', 2), ('raise_average_balance', 3), ('lower_emi_to_revenue', 4)) t(tip, place) USING (tip) GROUP BY 1),
-        r AS (SELECT applicant_id, string_agg(agent_name, ',' ORDER BY place) AS risk_factors FROM eff
-              JOIN (VALUES ('Financial Health', 1), ('Cash Flow', 2), ('Fraud Risk', 3), ('Forecast', 4), ('Compliance', 5), ('Business Stability', 6)) t(agent_name, place) USING (agent_name) WHERE e <= 50 GROUP BY 1)
-        SELECT wide.applicant_id, 'CMP-' || wide.applicant_id AS company_id, name, wide.industry,
-               CASE WHEN balance < 0 THEN 'Failed' WHEN bare_orders > 0 OR months = 0 THEN 'Warning' ELSE 'Verified' END AS verification_status, round(1 - coalesce(bare_orders::DOUBLE / nullif(n_orders, 0), 0), 4) AS verification_confidence,
-               months AS n_months, 0::BIGINT AS n_payroll_months, round(cash, 2) AS cash_flow, (SELECT score FROM scores s WHERE s.applicant_id = wide.applicant_id AND agent_name = 'Cash Flow') AS cash_flow_score,
-               {_ROUND2.format('mean_score')} AS overall_health_score, decided.decision, confidence, confidence_level, principal_inr, interest_rate, emi, coalesce(suggestions, '') AS suggestions, coalesce(risk_factors, '') AS risk_factors,
-               positive_factors, negative_factors
-        FROM wide JOIN decided USING (applicant_id) JOIN offered USING (applicant_id) JOIN banded USING (applicant_id) JOIN f USING (applicant_id) LEFT JOIN t USING (applicant_id) LEFT JOIN r USING (applicant_id)""",
-    "workflow_status": "SELECT 'Completed' AS current_stage, 7 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 'Healthy' AS pipeline_health, count(*) AS n_reports FROM customer",
+    "full_report": _FULL + "SELECT * FROM full_report",
+    "workflow_status": "SELECT 'Completed' AS current_stage, 7 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 'Healthy' AS pipeline_health," + _NUMBERS,
     "workflow_events": """
         SELECT CAST(seq AS BIGINT) AS seq, event, stage, false AS again FROM (VALUES
           (0, 'begin', NULL), (1, 'enter', 'Document Pipeline'), (2, 'leave', 'Document Pipeline'), (3, 'enter', 'Financial Pipeline'), (4, 'leave', 'Financial Pipeline'), (5, 'enter', 'Feature Pipeline'),
           (6, 'leave', 'Feature Pipeline'), (7, 'enter', 'AI Pipeline'), (8, 'leave', 'AI Pipeline'), (9, 'enter', 'Decision Pipeline'), (10, 'leave', 'Decision Pipeline'), (11, 'enter', 'Recommendation Pipeline'),
           (12, 'leave', 'Recommendation Pipeline'), (13, 'enter', 'Reporting Pipeline'), (14, 'leave', 'Reporting Pipeline'), (15, 'end', NULL)) t(seq, event, stage)""",
     "initial_status": "SELECT 'Initialized' AS current_stage, 0 AS n_completed, CAST(NULL AS VARCHAR) AS running_stage, CAST(NULL AS VARCHAR) AS failed_stage, 0 AS retry_count, 0.0::DOUBLE AS execution_time_ms, 'Healthy' AS pipeline_health",
-    "process_documents": _BASE + """
-        SELECT wide.applicant_id, 'success' AS status, 'Completed' AS current_stage, 'Healthy' AS pipeline_health,
-               '{"decision":"' || decided.decision || '","principal_inr":"' || principal_inr || '","verification":"' || CASE WHEN balance < 0 THEN 'Failed' WHEN bare_orders > 0 OR months = 0 THEN 'Warning' ELSE 'Verified' END || '"}' AS report_json
-        FROM wide JOIN decided USING (applicant_id) JOIN offered USING (applicant_id)""",
+    "process_documents": _FULL + f"SELECT *, 'success' AS status, 'Completed' AS current_stage, 'Healthy' AS pipeline_health, {_NUMBERS} FROM full_report",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

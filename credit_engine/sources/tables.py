@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import amount, cents
+from ..functions.columns import amount, cents, known
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("industry"), F.col("c_acctbal").alias("balance"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("industry"), known(F.col("c_acctbal")).alias("balance"))
 
 
 def order_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +62,14 @@ def tax_filings(ledger: DataFrame) -> DataFrame:
 
 
 def company_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company forms: name, industry, yearly revenue wanted and consent, which a balance that is not negative stands for."""
-    return applicants(spark, sf_dir).select("applicant_id", "name", "industry", (F.col("balance") >= 0).alias("consent"))
+    """Company forms: name, industry, annual_revenue (that of the last year with orders) and consent, which a balance that is not negative stands for."""
+    ordered = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("applicant_id"), F.year("o_orderdate").alias("year")).agg(F.sum(cents(F.col("o_totalprice"))).alias("revenue"))
+    last = ordered.groupBy("applicant_id").agg(amount(F.max_by("revenue", "year")).alias("annual_revenue"))
+    return applicants(spark, sf_dir).join(last, "applicant_id", "left").select("applicant_id", "name", "industry", "annual_revenue", (F.col("balance") >= 0).alias("consent"))
 
 
 def intake(forms: DataFrame, industries: tuple[str, ...]) -> DataFrame:
     """forms with company_id, and status: accepted, or the first thing that is wrong; nulls are missing fields."""
-    missing = F.col("name").isNull() | (F.trim("name") == "") | F.col("industry").isNull()
-    status = F.when(missing, "missing_field").when(~F.col("industry").isin(*industries), "unknown_industry").when(~F.coalesce("consent", F.lit(False)), "no_consent").otherwise("accepted")
-    return forms.select("applicant_id", F.concat(F.lit("CMP-"), F.col("applicant_id")).alias("company_id"), "name", "industry", status.alias("status"))
+    missing = F.col("name").isNull() | (F.trim("name") == "") | F.col("industry").isNull() | known(F.col("annual_revenue")).isNull()
+    status = F.when(missing, "missing_field").when(~F.col("industry").isin(*industries), "unknown_industry").when(F.col("annual_revenue") <= 0, "no_revenue").when(~F.coalesce("consent", F.lit(False)), "no_consent").otherwise("accepted")
+    return forms.select("applicant_id", F.concat(F.lit("CMP-"), F.col("applicant_id")).alias("company_id"), "name", "industry", "annual_revenue", status.alias("status"))

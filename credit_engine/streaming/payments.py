@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, cents
+from ..storage import new_path
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -25,17 +24,15 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """user_id, n_events and seconds of each session: events of a user no gap or more apart."""
+    """user_id, started, n_events and micros (its length) of each session: events of a user no gap or more apart."""
     counted = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = counted.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     return grouped.select("user_id", F.col("a").cast("timestamp_ntz").alias("started"), "n_events", (F.unix_micros("b") - F.unix_micros("a")).alias("micros"))
 
 
 def _folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A folder of its own for a stream's rows and state, which storage.clear deletes with all others of the application."""
+    return new_path(spark, "stream")
 
 
 def append(df: DataFrame) -> DataFrame:
