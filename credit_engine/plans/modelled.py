@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import attribution, boosting, isolation
+from ..functions import columns as C
+from ..models import attribution, boosting, isolation, ranking
 from ..operators import profile
 from ..sources import tables
 from .lending import _BASE, _assessed, _wide
@@ -15,6 +16,8 @@ FRAUD_FEATURES = ["margin", "cv", "return_rate", "settled_share", "trend", "avg_
 #: What is known of an order when it is placed; an order is late if its last line leaves after this many days.
 ORDER_FEATURES = ["lines", "amount", "quantity", "discount", "priority", "month", "balance", "mean_score"]
 LATE_DAYS, TRAINED_SHARE = 90, 0.8
+#: What part of a risk is handed on, and how often; the query's rounds are fixed, so that its SQL has as many.
+CONTAGION, CONTAGION_ROUNDS = 0.6, 8
 
 
 def decision_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,37 @@ def late_model_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def supplier_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the risk of rejected applicants comes to rest among applicants and suppliers, handed on along what is bought from whom."""
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("supplier"), C.cents(F.col("l_extendedprice")).alias("amount"))
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("A"), F.col("o_custkey")).alias("applicant"))
+    bought = lines.join(orders, "order_id").groupBy("applicant", "supplier").agg(F.sum("amount").cast("double").alias("weight"))
+    there, back = bought.toDF("src", "dst", "weight"), bought.select("supplier", "applicant", "weight").toDF("src", "dst", "weight")
+    rejected = _assessed(spark, sf_dir).select(F.concat(F.lit("A"), F.col("applicant_id")).alias("node"), (F.col("decision") == "Reject").cast("double").alias("mass"))
+    ranked = ranking.personalised_rank(there.unionByName(back), rejected, damping=CONTAGION, rounds=CONTAGION_ROUNDS, tolerance=0.0)
+    return ranked.select("node", F.round("rank", 9).alias("rank"))
+
+
+def _contagion_sql() -> str:
+    """The rounds one after another."""
+    rounds = "".join(
+        f""", r{i + 1} AS (
+          SELECT n.node, {CONTAGION} * coalesce(got, 0) + (1 - {CONTAGION} + {CONTAGION} * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM w))) * seed AS rank
+          FROM n LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM r{i} JOIN w ON src = node GROUP BY 1) g ON dst = node)"""
+        for i in range(CONTAGION_ROUNDS)
+    )
+    return _BASE + f"""
+        , b AS (SELECT 'A' || o_custkey AS applicant, 'S' || l_suppkey AS supplier, CAST(sum(CAST(round(CAST(l_extendedprice AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) * 100) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+        e AS (SELECT applicant AS src, supplier AS dst, weight FROM b UNION ALL SELECT supplier, applicant, weight FROM b),
+        w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e),
+        n AS (SELECT node, coalesce(any_value(mass), 0) / (SELECT count(*) FROM decided WHERE decision = 'Reject') AS seed
+              FROM (SELECT src AS node, NULL AS mass FROM e UNION ALL SELECT 'A' || applicant_id, CASE WHEN decision = 'Reject' THEN 1.0::DOUBLE ELSE 0 END FROM decided) GROUP BY 1),
+        r0 AS (SELECT node, seed AS rank FROM n){rounds}
+        SELECT node, round(rank, 9) AS rank FROM r{CONTAGION_ROUNDS}"""
+
+
 ORACLES = {
+    "supplier_contagion": _contagion_sql(),
     "decision_attribution": _BASE + """
         , place AS (SELECT * FROM (VALUES ('Financial Health', 0), ('Cash Flow', 1), ('Fraud Risk', 2), ('Forecast', 3), ('Compliance', 4), ('Business Stability', 5)) t(agent_name, bit)),
         coalition AS (SELECT applicant_id, mask, round(avg(CASE WHEN (mask >> bit) & 1 = 1 THEN e ELSE 50 END), 6) AS mean FROM eff JOIN place USING (agent_name), range(64) r(mask) GROUP BY 1, 2),
@@ -74,4 +107,4 @@ ORACLES = {
                                                         ELSE -v * factorial(CAST(bit_count(mask) AS INTEGER)) * factorial(CAST(5 - bit_count(mask) AS INTEGER)) END) AS BIGINT) AS shares FROM worth, place GROUP BY 1, 2)
         SELECT applicant_id, agent_name, shares, round(shares / 720.0::DOUBLE, 6) AS shapley FROM share""",
 }
-QUERIES = {f.__name__: f for f in (decision_attribution, fraud_isolation, late_orders, late_model_quality)}
+QUERIES = {f.__name__: f for f in (decision_attribution, supplier_contagion, fraud_isolation, late_orders, late_model_quality)}

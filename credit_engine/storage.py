@@ -35,7 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Hadoop's file system, so that it works on any store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application keeps in the shared folder; results that are still to be read from it are lost."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    delete(spark, own_dir(spark))

@@ -196,3 +196,37 @@ def test_models_of_orders(spark):
     assert quality["boosted trees"].auc > quality["mean of six agents"].auc + 0.05 and quality["boosted trees"].n == quality["mean of six agents"].n > 1000
     apart = modelled.fraud_isolation(spark, sf)
     assert apart.count() == 1500 and apart.filter("apart IS NULL OR apart <= 0 OR apart >= 1").isEmpty()
+
+
+@pytest.mark.parametrize("hub", [2, 100_000])
+def test_rank(spark, hub):
+    """Against a dense matrix; mass is kept, hubs may be split, plans do not grow."""
+    from credit_engine.models import ranking
+
+    rng = random.Random(12)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice([0.5, 1.0, 3.0])) for _ in range(90)] + [(0, i, 1.0) for i in range(30)] + [(5, 6, 0.0), (5, 7, -1.0), (None, 3, 1.0), (3, None, 1.0), (40, 41, 2.0), (40, 41, 2.0)]
+    seeds = [(1, 2.0), (2, 1.0), (2, 1.0), (50, 1.0), (3, 0.0), (None, 9.0), (4, None)]
+    ids = [*range(30), 40, 41, 50]
+    at = {x: i for i, x in enumerate(ids)}
+    w, s = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
+    for a, b, x in edges:
+        if a is not None and b is not None and x > 0:
+            w[at[a], at[b]] += x
+    for a, x in seeds:
+        if a is not None and x:
+            s[at[a]] += x
+    s /= s.sum()
+    total = w.sum(axis=1)
+    m = np.divide(w, total[:, None], out=np.zeros_like(w), where=total[:, None] > 0)
+    for rounds in (1, 25):
+        r = s
+        for _ in range(rounds):
+            r = 0.85 * (r @ m) + (0.15 + 0.85 * r[total == 0].sum()) * s
+        e, n = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(3), spark.createDataFrame(seeds, "node long, mass double")
+        ranked = ranking.personalised_rank(e, n, rounds=rounds, tolerance=0.0, hub=hub)
+        got = {x.node: x.rank for x in ranked.collect()}
+        assert got == pytest.approx({x: r[i] for x, i in at.items()}, abs=1e-12) and sum(got.values()) == pytest.approx(1.0)
+        assert len(ranked._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 4
+    ended = ranking.personalised_rank(e, n, rounds=500, tolerance=1e-3)
+    assert sum(abs(x.rank - r[at[x.node]]) for x in ended.collect()) < 0.01
+    assert ranking.personalised_rank(e, n.limit(0)).filter("rank IS NULL").count() == 32
