@@ -45,27 +45,59 @@ def alias_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host(url), rest))
 
 
+#: What a browser does not read as tags, tags whose values may hold >, and an attribute with its value. Possessive, so
+#: that long tags take no stack.
+_UNREAD = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)|<style\b.*?(?:</style|$)|<noscript\b.*?(?:</noscript|$)|<textarea\b.*?(?:</textarea|$)|<template\b.*?(?:</template|$)"
+_TAG = r"""(?is)(<(?:link|meta|base)[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+_ATTRIBUTE = r"""([^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))"""
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of a name, without its quotes and spaces at the ends; null without one."""
+    mine = F.filter(attributes, lambda x: F.translate(F.rtrim(F.substring_index(x, "=", 1)), UPPER, LOWER) == name)
+    value = F.btrim(F.regexp_replace(F.try_element_at(mine, F.lit(1)), "(?s)^[^=]*=", ""))
+    return F.replace(F.btrim(F.regexp_replace(value, """(?s)^["'](.*)["']$""", "$1")), F.lit("&amp;"), F.lit("&"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its segments . and .. resolved."""
+    parts = F.split(F.regexp_replace(path, "(/[.]{1,2})$", "$1/"), "/")
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)))
+
+
+def resolve(to: Column, base: Column) -> Column:
+    """A link's URL as seen from the URL `base`; null for links within the page and for other schemes than base's kind."""
+    site = F.concat(F.substring_index(base, "://", 1), F.lit("://"), host(base))
+    folder = F.regexp_extract(path(base), "^(.*/)", 1)
+    rest = F.regexp_extract(to, "(?s)([?#].*)$", 1)
+    bare = F.regexp_extract(to, "(?s)^([^?#]*)", 1)
+    joined = F.when(bare.startswith("/"), bare).when(bare == "", path(base)).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), bare))
+    return (
+        F.when((to == "") | to.startswith("#"), None).when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), to)).otherwise(F.concat(site, _without_dots(joined), rest))
+    )
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src and dst (URLs) of the canonical links and meta refreshes in the pages' HTML; relative ones are resolved."""
+    """src and dst (URLs) of the canonical links and meta refreshes in the pages' HTML.
+
+    Comments, scripts, styles and other text that is no markup are left out first. A link is canonical if `canonical` is
+    among the words of its rel. Relative links are resolved against the page's first base, or its URL. Null HTML and URLs
+    that are null or without :// have no links; repeated rows give repeated links.
+    """
     h, u = F.col(f"`{html}`"), F.col(f"`{url}`")
-    tags = F.regexp_extract_all(h, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    hinting = pages.filter(h.rlike("(?i)canonical|http-equiv") & u.contains("://")).select(u.alias("src"), F.explode(tags).alias("tag"))
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-    goes = r"""(?is)\burl\s*=\s*['"]?([^"'\s>]+)"""
-    to = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", href, 1)).when(
-        F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", goes, 1)
-    )
-    linked = hinting.select("src", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to")).filter("to != ''")
-    src = F.col("src")
-    site = F.concat(F.substring_index(src, "://", 1), F.lit("://"), host(src))
-    folder = F.regexp_extract(path(src), "^(.*/)", 1)
-    absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.substring_index(src, "://", 1), F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.col("to")))
-    )
-    return linked.select("src", absolute.alias("dst"))
+    tags = F.transform(F.regexp_extract_all(F.regexp_replace(h, _UNREAD, " "), F.lit(_TAG), F.lit(1)), lambda t: F.struct(
+        F.translate(F.regexp_extract(t, r"^<(\w+)", 1), UPPER, LOWER).alias("name"), F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(1)).alias("attributes"),
+    ))
+    hinting = pages.filter(h.rlike("(?i)canonical|http-equiv") & u.contains("://")).select(u.alias("src"), tags.alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t["name"] == "base"), lambda t: resolve(_attribute(t["attributes"], "href"), F.col("src"))), lambda x: x.isNotNull())
+    each = hinting.select("src", F.coalesce(F.try_element_at(bases, F.lit(1)), F.col("src")).alias("base"), F.explode("tags").alias("tag"))
+    of = F.col("tag.attributes")
+    canonical = (F.col("tag.name") == "link") & F.array_contains(F.split(F.translate(F.coalesce(_attribute(of, "rel"), F.lit("")), UPPER, LOWER), r"\s+"), "canonical")
+    refresh = (F.col("tag.name") == "meta") & (F.translate(F.coalesce(_attribute(of, "http-equiv"), F.lit("")), UPPER, LOWER) == "refresh")
+    goes = F.regexp_extract(_attribute(of, "content"), r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['"]?([^"'\s>]+)""", 1)
+    linked = each.select("src", "base", F.when(canonical, _attribute(of, "href")).when(refresh, goes).alias("to"))
+    return linked.select("src", resolve(F.col("to"), F.col("base")).alias("dst")).filter("dst IS NOT NULL")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -105,13 +137,30 @@ OP2_SQL = r"""
 WITH RECURSIVE page AS (
   SELECT page_id, url, coalesce(html, '') AS html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, split_part(url, '://', 1) AS scheme FROM pages),
-tag AS (SELECT *, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page WHERE contains(url, '://')),
+tags AS (
+  SELECT page_id, url, scheme, host, path, list_transform(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)|<style\b.*?(?:</style|$)|<noscript\b.*?(?:</noscript|$)|<textarea\b.*?(?:</textarea|$)|<template\b.*?(?:</template|$)', ' ', 'g'),
+         '(?is)<(?:link|meta|base)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>'),
+         lambda t: {'name': lower(regexp_extract(t, '^<(\w+)', 1)), 'of': list_transform(regexp_extract_all(t, '[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'),
+           lambda x: {'k': lower(rtrim(split_part(x, '=', 1))), 'v': replace(trim(regexp_replace(trim(regexp_replace(x, '(?s)^[^=]*=', '')), '(?s)^["''](.*)["'']$', '\1')), '&amp;', '&')})}) AS tags
+  FROM page WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv')),
+based AS (SELECT *, list_filter(list_transform(list_filter(tags, lambda t: t.name = 'base'), lambda t: list_filter(t.of, lambda x: x.k = 'href')[1].v), lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS base_to FROM tags),
 hint AS (
-  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-                         WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) END, '&amp;', '&') AS goes FROM tag),
-link AS (
-  SELECT url AS src, CASE WHEN contains(goes, '://') THEN goes WHEN starts_with(goes, '//') THEN scheme || ':' || goes WHEN starts_with(goes, '/') THEN scheme || '://' || host || goes
-                          ELSE scheme || '://' || host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || goes END AS dst FROM hint WHERE goes <> ''),
+  SELECT url, scheme, host, path, base_to, CASE WHEN t.name = 'link' AND list_contains(regexp_split_to_array(lower(coalesce(list_filter(t.of, lambda x: x.k = 'rel')[1].v, '')), '\s+'), 'canonical') THEN list_filter(t.of, lambda x: x.k = 'href')[1].v
+         WHEN t.name = 'meta' AND lower(coalesce(list_filter(t.of, lambda x: x.k = 'http-equiv')[1].v, '')) = 'refresh'
+         THEN regexp_extract(list_filter(t.of, lambda x: x.k = 'content')[1].v, '(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) END AS goes FROM (SELECT *, unnest(tags) AS t FROM based)),
+-- The first step resolves bases against the page, the second one links against bases.
+wanted AS (SELECT DISTINCT url, scheme, host, path, base_to AS goes, 0 AS step FROM hint WHERE base_to IS NOT NULL),
+base AS (SELECT url, CASE WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goes WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(goes, '//') THEN scheme || ':' || goes
+         ELSE scheme || '://' || host || list_reduce(list_prepend('', string_split(regexp_replace(CASE WHEN starts_with(goes, '/') THEN regexp_extract(goes, '(?s)^([^?#]*)', 1) WHEN regexp_extract(goes, '(?s)^([^?#]*)', 1) = '' THEN path
+                ELSE CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || regexp_extract(goes, '(?s)^([^?#]*)', 1) END, '(/[.]{1,2})$', '\1/'), '/')[2:]),
+              lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END) || regexp_extract(goes, '(?s)([?#].*)$', 1) END AS base FROM wanted),
+seen AS (
+  SELECT hint.url AS src, goes, coalesce(base, hint.url) AS b, split_part(coalesce(base, hint.url), '://', 1) AS scheme, translate(regexp_extract(coalesce(base, hint.url), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(base, hint.url), '://[^/?#]*([^?#]*)', 1) AS path FROM hint LEFT JOIN base ON base.url = hint.url WHERE goes <> '' AND NOT starts_with(goes, '#')),
+link AS (SELECT src, dst FROM (SELECT src, CASE WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goes WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(goes, '//') THEN scheme || ':' || goes
+         ELSE scheme || '://' || host || list_reduce(list_prepend('', string_split(regexp_replace(CASE WHEN starts_with(goes, '/') THEN regexp_extract(goes, '(?s)^([^?#]*)', 1) WHEN regexp_extract(goes, '(?s)^([^?#]*)', 1) = '' THEN path
+                ELSE CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || regexp_extract(goes, '(?s)^([^?#]*)', 1) END, '(/[.]{1,2})$', '\1/'), '/')[2:]),
+              lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END) || regexp_extract(goes, '(?s)([?#].*)$', 1) END AS dst FROM seen) WHERE dst IS NOT NULL),
 named AS (
   SELECT url, translate(split_part(url, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
               || regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS node FROM (SELECT url FROM pages UNION SELECT src FROM link UNION SELECT dst FROM link) WHERE contains(url, '://')),
