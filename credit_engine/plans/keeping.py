@@ -1,12 +1,13 @@
-"""Queries on what is kept: tables in versions, sketches of months. Their SQL is the oracle."""
+"""Queries on what is kept and what came before: tables in versions, sketches of months, chains of orders. Their SQL is the oracle."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import profile, sketches
+from ..operators import lineage, profile, sketches
 from ..sinks.versioned import VersionedTable
 from ..sources import tables
 from ..storage import materialize, new_path
@@ -41,7 +42,21 @@ def sketched_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("quarter", "n", "orders", (F.abs(F.col("distinct") - F.col("orders")) <= sketches.DISTINCT_ERROR * F.col("orders")).alias("orders_near"), *near)
 
 
+def order_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which orders led to which: an order leads to the applicant's next one from a supplier that both buy from."""
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey").distinct()
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate")
+    following = F.lead("order_id").over(W.partitionBy("o_custkey", "l_suppkey").orderBy("o_orderdate", "order_id"))
+    edges = lines.join(orders, "order_id").select(F.col("order_id").alias("src"), following.alias("dst")).filter("dst IS NOT NULL")
+    return lineage.lineage(edges).select("ancestor", F.col("node").alias("descendant"), "steps", "longest", "cyclic")
+
+
 ORACLES = {
+    "order_lineage": """
+        WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+        e AS (SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey, l_suppkey ORDER BY o_orderdate, o_orderkey) AS dst FROM l JOIN orders ON l_orderkey = o_orderkey) WHERE dst IS NOT NULL),
+        r AS (SELECT src, dst, 1 AS n FROM e UNION SELECT r.src, e.dst, n + 1 FROM r JOIN e ON r.dst = e.src)
+        SELECT src AS ancestor, dst AS descendant, CAST(min(n) AS INTEGER) AS steps, CAST(max(n) AS INTEGER) AS longest, false AS cyclic FROM r GROUP BY 1, 2""",
     "ledger_versions": _BASE + """
         , s AS (SELECT applicant_id, month, CAST(sum(revenue) AS DOUBLE) AS settled_revenue FROM ledger WHERE settled = 1 GROUP BY 1, 2)
         SELECT m.applicant_id, CAST(year(m.month) AS INTEGER) AS year, m.month, CAST(revenue AS DOUBLE) AS revenue, CAST(expense AS DOUBLE) AS expense, CAST(tax AS DOUBLE) AS tax, settled_revenue
