@@ -10,6 +10,8 @@ from ..functions import columns as C
 from ..models import forecast
 from ..operators import profile, temporal
 from ..sources import tables
+from ..streaming import following
+from ..streaming import payments as stream
 from .lending import _BASE
 
 #: Filings older than this many days before an order say nothing of it.
@@ -74,6 +76,17 @@ def forecast_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count("*").alias("n"), *[x.alias(name) for name, x in apart.items()])
 
 
+def purchase_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the clicks of their user in the hour before, from two streams, as far as their watermarks have closed them."""
+
+    def side(kind: str, name: str) -> DataFrame:
+        events = stream.read_stream(spark, sf_dir).filter(F.col("event_type") == kind)
+        return events.select(F.col("event_id").alias(name), "user_id", "ts")
+
+    joined = following.preceded(side("purchase", "purchase_id"), side("click", "click_id"), "user_id")
+    return stream.append(joined.select("purchase_id", "user_id", "click_id", (F.unix_micros("ts") - F.unix_micros("earlier_ts")).alias("micros")))
+
+
 _ASOF = """
 , f AS (SELECT applicant_id, month, CAST(revenue AS DOUBLE) AS revenue, CAST(month + INTERVAL 1 MONTH AS TIMESTAMP) AS ended FROM monthly)"""
 _SEASONAL = _BASE + f"""
@@ -108,6 +121,10 @@ last AS (SELECT s.*, first_month, n FROM states s JOIN best USING (applicant_id,
 
 
 ORACLES = {
+    "purchase_paths": """
+        WITH p AS (SELECT event_id AS purchase_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts FROM events WHERE event_type = 'click'),
+        j AS (SELECT purchase_id, p.user_id, p.ts, click_id, epoch_us(p.ts) - epoch_us(c.ts) AS micros FROM p LEFT JOIN c ON c.user_id = p.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR)
+        SELECT purchase_id, user_id, click_id, micros FROM j WHERE click_id IS NOT NULL OR epoch_us(ts) // 1000 <= (SELECT least((SELECT max(epoch_us(ts)) FROM p), (SELECT max(epoch_us(ts)) FROM c)) // 1000 - 600000)""",
     "payment_asof": _BASE + _ASOF + """
         SELECT event_id, user_id AS applicant_id, f.month AS last_month, f.revenue AS last_revenue
         FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN f ON e.user_id = f.applicant_id AND e.ts >= f.ended""",
