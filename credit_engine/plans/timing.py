@@ -10,12 +10,15 @@ from ..functions import columns as C
 from ..models import forecast
 from ..operators import profile, temporal
 from ..sources import tables
-from ..streaming import following
+from ..storage import new_path
+from ..streaming import following, silence
 from ..streaming import payments as stream
 from .lending import _BASE
 
 #: Filings older than this many days before an order say nothing of it.
 STALE_DAYS = 365
+#: Microseconds after which a user is silent, and that events may come late.
+QUIET, LATE = 2 * 86_400_000_000, 600_000_000
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,13 @@ def purchase_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.append(joined.select("purchase_id", "user_id", "click_id", (F.unix_micros("ts") - F.unix_micros("earlier_ts")).alias("micros")))
 
 
+def payment_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When users fell silent for two days, from a stream of all events with a state of its own."""
+    events = stream.read_stream(spark, sf_dir).select("user_id", "ts")
+    alerts, _ = silence.watch(events, new_path(spark, "silence"), "user_id", QUIET, LATE)
+    return alerts.select("user_id", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
 _ASOF = """
 , f AS (SELECT applicant_id, month, CAST(revenue AS DOUBLE) AS revenue, CAST(month + INTERVAL 1 MONTH AS TIMESTAMP) AS ended FROM monthly)"""
 _SEASONAL = _BASE + f"""
@@ -121,6 +131,9 @@ last AS (SELECT s.*, first_month, n FROM states s JOIN best USING (applicant_id,
 
 
 ORACLES = {
+    "payment_silence": f"""
+        SELECT user_id, ts AS since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM (SELECT DISTINCT user_id, ts FROM events))
+        WHERE (following IS NULL OR epoch_us(following) - epoch_us(ts) > {QUIET}) AND epoch_us(ts) + {QUIET} < (SELECT max(epoch_us(ts)) FROM events) - {LATE}""",
     "purchase_paths": """
         WITH p AS (SELECT event_id AS purchase_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts FROM events WHERE event_type = 'click'),
         j AS (SELECT purchase_id, p.user_id, p.ts, click_id, epoch_us(p.ts) - epoch_us(c.ts) AS micros FROM p LEFT JOIN c ON c.user_id = p.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR)

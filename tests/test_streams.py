@@ -52,3 +52,43 @@ def test_two_streams(spark, tmp_path):
     assert matched <= set(got) and len(matched) > 50
     assert {r for r in want if r[2] is None and r[0] in closed} <= set(got) and {r[0] for r in got if r[2] is None} - closed <= {r[0] for r in rows["first"] if r[2] and r[2] == ends}
     assert every.filter("id >= 900 AND then_id IS NULL").count() == 2 and every.filter(F.col("then_id").isNull()).count() > 10
+
+
+def test_silence(spark, tmp_path):
+    """Six batches with rows that are late and too late, and a restart: alerts are those of the table without the late rows, which all come out beside."""
+    from credit_engine.streaming import silence
+
+    rng = random.Random(6)
+    begin, quiet, late = dt.datetime(2024, 1, 1), 3_600_000_000, 600_000_000
+    rows = sorted([(rng.choice([None, *range(5)]), begin + dt.timedelta(seconds=rng.randrange(20 * 3600))) for _ in range(160)], key=lambda r: r[1])
+    batches = [rows[i * 27 : (i + 1) * 27] for i in range(6)]
+    for i in range(1, 6):  # a little late, much too late, repeated, without a time
+        batches[i].append((0, batches[i][0][1] - dt.timedelta(seconds=300)))
+        batches[i] += [(1, batches[i][0][1] - dt.timedelta(hours=3)), batches[i][3], (2, None)]
+    clock, on_time, beside = None, [], []
+    for batch in batches:
+        for r in batch:
+            (beside if r[1] and clock and r[1] < clock else on_time).append(r)
+        clock = max(r[1] for r in on_time if r[1]) - dt.timedelta(microseconds=late)
+    assert len(beside) >= 4
+    source, folder = tmp_path / "in", new_path(spark, "silence")
+    source.mkdir()
+    (tmp_path / "made").mkdir()
+
+    def run(upto):
+        for i in range(upto):
+            if not (source / f"{i}.parquet").exists():
+                spark.createDataFrame(batches[i], "who long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/made/{i}")
+                (made,) = (tmp_path / "made" / str(i)).glob("*.parquet")
+                made.rename(source / f"{i}.parquet")
+        events = spark.readStream.schema("who long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+        return silence.watch(events, folder, "who", quiet, late)
+
+    run(1), run(4)
+    alerts, too_late = run(6)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = plain(silence.silences(spark.createDataFrame(on_time, "who long, ts timestamp"), "who", quiet, late))
+    assert plain(alerts) == want and len(want) > 5
+    assert plain(too_late) == sorted(beside, key=repr)
+    again, _ = silence.watch(spark.readStream.schema("who long, ts timestamp").parquet(str(source)), folder, "who", quiet, late)
+    assert plain(again) == want  # nothing new, nothing twice
