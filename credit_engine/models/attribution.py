@@ -18,22 +18,32 @@ def label_worth(score: Column) -> Column:
     return F.when(score.isNull() | F.isnan(score), 0).when(score > 70.0, 2).when(score > 50.0, 1).otherwise(0).cast("bigint")
 
 
-def shapley(players: list[Column], worth: Callable[[Column], Column], neutral: float = NEUTRAL) -> tuple[list[Column], int]:
-    """A whole number for each player, and what they are shares of: the number divided by it is the player's Shapley value.
+def coalitions(players: list[Column], worth: Callable[[Column], Column], neutral: float = NEUTRAL) -> Column:
+    """The worth of every coalition, by its bit mask: that of the mean in which every other player counts as `neutral`.
 
-    The worth of a coalition is that of the mean in which every other player counts as `neutral`. All 2**n coalitions are
-    bit masks on the row, and their weights are whole numbers, so that the values add up exactly to the worth of all less
-    the worth of none. More than MOST_PLAYERS players are an error.
+    All 2**n coalitions stand on the row; more than MOST_PLAYERS players are an error. Keep it as a column of its own:
+    each player's share reads all of it.
     """
     n = len(players)
     if not 1 <= n <= MOST_PLAYERS:
         raise ValueError(f"1 to {MOST_PLAYERS} players, not {n}")
 
-    def mean(mask: Column) -> Column:
-        parts = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, x).otherwise(neutral) for i, x in enumerate(players)]
-        return F.round(sum(parts[1:], parts[0]) / float(n), 6)
+    def of(e: Column) -> Column:
+        def mean(mask: Column) -> Column:
+            parts = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.element_at(e, i + 1)).otherwise(neutral) for i in range(n)]
+            return F.round(sum(parts[1:], parts[0]) / float(n), 6)
 
-    worths = F.transform(F.sequence(F.lit(0), F.lit((1 << n) - 1)), lambda mask: worth(mean(mask)))
+        return F.transform(F.transform(F.sequence(F.lit(0), F.lit((1 << n) - 1)), mean), worth)
+
+    # The players go through a transform, so that they are made once for all coalitions.
+    return F.element_at(F.transform(F.array(F.array(*players)), of), 1)
+
+
+def shapley(worths: Column, n: int) -> tuple[list[Column], int]:
+    """A whole number for each of n players, and what they are shares of: the number divided by it is the player's Shapley value.
+
+    Weights are whole numbers, so that the values add up exactly to the worth of all less the worth of none.
+    """
     order = [factorial(k) * factorial(n - 1 - k) for k in range(n)]  # orders in which a player comes after k given others
     shares = []
     for i in range(n):
@@ -43,7 +53,7 @@ def shapley(players: list[Column], worth: Callable[[Column], Column], neutral: f
     return shares, factorial(n)
 
 
-def attributed(names: list[str], players: list[Column]) -> Column:
-    """An array of (agent_name, shares, shapley) of a label; shares are of n!."""
-    shares, whole = shapley(players, label_worth)
+def attributed(names: list[str], worths: Column) -> Column:
+    """An array of (agent_name, shares, shapley) from the column of coalitions; shares are of n!."""
+    shares, whole = shapley(worths, len(names))
     return F.array(*[F.struct(F.lit(name).alias("agent_name"), x.alias("shares"), F.round(x / float(whole), 6).alias("shapley")) for name, x in zip(names, shares, strict=True)])

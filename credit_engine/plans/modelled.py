@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..models import attribution, boosting, isolation, ranking
 from ..operators import profile
 from ..sources import tables
-from .lending import _BASE, _assessed, _wide
+from .lending import _BASE, _assessed, _scored, _wide
 
 #: What the fraud agent's forest looks at.
 FRAUD_FEATURES = ["margin", "cv", "return_rate", "settled_share", "trend", "avg_month", "filing_consistency", "upi_total"]
@@ -24,7 +24,8 @@ def decision_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Shapley value of each agent for each applicant's label: 0 for a reject, 1 for a review, 2 for an approval."""
     names = [n for n, _ in profile.agent_score_columns().items()]
     players = [F.element_at("agents", i + 1)["effective"] for i in range(len(names))]
-    return _assessed(spark, sf_dir).select("applicant_id", F.inline(attribution.attributed(names, players)))
+    worths = _scored(spark, sf_dir).select("applicant_id", attribution.coalitions(players, attribution.label_worth).alias("worths"))
+    return worths.select("applicant_id", F.inline(attribution.attributed(names, F.col("worths"))))
 
 
 def fraud_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:

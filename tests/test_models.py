@@ -73,7 +73,8 @@ def test_shapley(spark):
     rows = [(i, *[round(rng.uniform(0, 100), 3) for _ in range(6)]) for i in range(40)] + [(90, *[50.0] * 6), (91, *[100.0] * 6), (92, *[70.0] * 6), (93, None, *[90.0] * 5), (94, float("nan"), *[90.0] * 5)]
     names = list("abcdef")
     df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names))
-    got = {r.id: [x.shares for x in r.x] for r in df.select("id", attribution.attributed(names, [F.col(c) for c in names]).alias("x")).collect()}
+    worths = df.select("id", attribution.coalitions([F.col(c) for c in names], attribution.label_worth).alias("w"))
+    got = {r.id: [x.shares for x in r.x] for r in worths.select("id", attribution.attributed(names, F.col("w")).alias("x")).collect()}
 
     def worth(e, members):
         mean = round(sum(x if i in members else 50.0 for i, x in enumerate(e)) / 6, 6) if all(x is not None or i not in members for i, x in enumerate(e)) else math.nan
@@ -87,7 +88,7 @@ def test_shapley(spark):
         assert got[i] == want
         assert sum(want) == 720 * (worth(e, range(6)) - worth(e, ()))
     with pytest.raises(ValueError, match="players"):
-        attribution.shapley([F.lit(1.0)] * 13, attribution.label_worth)
+        attribution.coalitions([F.lit(1.0)] * 13, attribution.label_worth)
 
 
 @pytest.fixture(scope="module")
