@@ -1,10 +1,14 @@
-"""Near-duplicates by similarity of word shingles: banded minimum hashes find candidates, whole shingle sets verify them.
+"""Near-duplicates by similarity of word shingles: SimHash and banded minimum hashes find candidates, whole shingle sets verify them.
 
-Two texts meet if all ROWS minima of one of BANDS bands agree: of pairs with Jaccard similarity 0.8, 1 - (1 - 0.8**5)**25 =
+First come fingerprints of the shingle sets: the anchors of the SimHash operator find all that differ in at most 3 bits,
+and what these link is one component before anything else is looked at. Bands of minima then go on from these components,
+for the similar texts whose fingerprints are further apart; texts of one component are not compared again.
+
+Two texts meet in a band if all ROWS minima of one of BANDS bands agree: of pairs with Jaccard similarity 0.8, 1 - (1 - 0.8**5)**25 =
 99.995 % do, of more similar ones more. Parity bits of a set bound its symmetric difference with another from below, which
 rules most other pairs of a bucket out at no loss; the rest are compared by their whole sets of 64-bit shingle hashes.
-A text goes by two hashes (k1, k2) of 64 bits throughout. The SimHash operator's anchors cannot do this within the limits:
-at 0.8 a bit of a fingerprint differs with probability 0.15, see the README.
+A text goes by two hashes (k1, k2) of 64 bits throughout. Anchors alone cannot do this within the limits: at 0.8 a bit of
+a fingerprint differs with probability 0.15, see the README.
 
 Large buckets are dealt to tiles, and linked in three steps: a spanning forest in each tile; forests of one representative
 of each component, until these tell nothing new; then every text outside a bucket's largest component against all texts
@@ -23,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, text_keys
-from .simhash import first_rows
+from .shared import materialize, sieve, text_keys
+from .simhash import first_rows, majority, near_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -63,8 +67,9 @@ def _sign(size: int):
         for batch in batches:
             sets = [shingles(x.as_py(), size) for x in batch.column("text")]
             signed = [signature(x) for x in sets]
-            columns = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array([x[i] for x in signed], pa.list_(pa.int64())) for i in (0, 1)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "n", "keys", "parity"])
+            fps = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), *[pa.array([x[i] for x in signed], pa.list_(pa.int64())) for i in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "n", "fp", "keys", "parity"])
 
     return run
 
@@ -88,13 +93,13 @@ def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pairs(similarity: float, labelled: bool):
     """Rows (bucket, tile, k1, k2, n, l1, l2, parities) in order of bucket and tile to its possible pairs: all in small
-    tiles; in others a forest, or with labels (l1, l2) those across labels."""
+    tiles; in others a forest, or with `labelled` all across labels (l1, l2). Pairs of one label never count."""
 
     def pick(rows: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         _, first = np.unique(_numbers(rows[2], rows[3]), return_index=True)  # a text once
         node, size, label, parity = rows[2:4, first], rows[4, first], _numbers(rows[5, first], rows[6, first]), rows[7:, first]
         count = len(first)
-        if count < 2 or labelled and not label.any():
+        if count < 2 or not label.any():
             return
         left = np.arange(count)
         step = max(1, (1 << 21) // count)
@@ -102,7 +107,7 @@ def _pairs(similarity: float, labelled: bool):
             for at in range(0, count, step):
                 i = left[at : at + step, None]
                 ok = (i < left) & _possible(size, parity, i, left[None, :], similarity)
-                a, b = np.nonzero(ok & (label[i] != label[None, :]) if labelled else ok)
+                a, b = np.nonzero(ok & (label[i] != label[None, :]))
                 yield node, a + at, b
             return
         while len(left) > 1:
@@ -111,7 +116,9 @@ def _pairs(similarity: float, labelled: bool):
                 head, frontier = frontier[:step], frontier[step:]
                 ok = _possible(size, parity, head[:, None], left[None, :], similarity)
                 hit = ok.any(axis=0)
-                yield node, head[ok[:, hit].argmax(axis=0)], left[hit]
+                a, b = head[ok[:, hit].argmax(axis=0)], left[hit]
+                apart = label[a] != label[b]
+                yield node, a[apart], b[apart]
                 frontier, left = np.concatenate([frontier, left[hit]]), left[~hit]
 
     def found(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -169,12 +176,11 @@ def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
     k1, k2 = text_keys(F.col(f"`{text}`"))
     keyed = docs.select(F.col(f"`{id_column}`").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
-    signed = materialize(keyed.mapInArrow(_sign(shingle), f"id {kind}, k1 long, k2 long, n long, keys array<long>, parity array<long>"), "signatures")
-    nodes = signed.select("k1", "k2", "n", "keys", "parity").dropDuplicates(["k1", "k2"])
+    signed = materialize(keyed.mapInArrow(_sign(shingle), f"id {kind}, k1 long, k2 long, n long, fp long, keys array<long>, parity array<long>"), "signatures")
+    nodes = materialize(signed.drop("id").dropDuplicates(["k1", "k2"]), "nodes")
     node = F.struct("k1", "k2")
     parities = [f"p{i}" for i in range(1, 5)]
-    placed = nodes.select(F.explode("keys").alias("bucket"), "k1", "k2", "n", *[F.element_at("parity", i).alias(p) for i, p in enumerate(parities, 1)])
-    crowds = materialize(placed.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > 1), "crowds")
+    crowds = materialize(nodes.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > 1), "crowds")
     tiles = F.ceil(F.col("many") / TILE).cast("int")
     own = F.pmod(F.xxhash64("bucket", "k1", "k2"), tiles).cast("int")  # other tiles in each bucket, so that these connect across tiles too
 
@@ -184,9 +190,17 @@ def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
         sorted_ = dealt.repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile")
         return materialize(sorted_.mapInArrow(_pairs(similarity, labelled), _PAIR).distinct(), "candidates")
 
+    def fingerprinted() -> DataFrame:
+        """Pairs to verify of texts whose fingerprints are equal or linked; one text stands for all of a fingerprint."""
+        firsts = materialize(nodes.groupBy("fp").agg(F.min(node).alias("first")), "fingerprints")
+        equal = nodes.select("fp", node.alias("other")).join(firsts, "fp").filter("first != other").select("first", "other")
+        a, b = firsts.toDF("src", "a"), firsts.toDF("dst", "b")
+        linked = near_links(firsts.select("fp")).join(a, "src").join(b, "dst").select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("other"))
+        return materialize(equal.union(linked).select("first.k1", "first.k2", "other.k1", "other.k2").toDF("s1", "s2", "d1", "d2"), "candidates")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2")).union(pairs.select("d1", "d2")).distinct()
-        texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        wanted = materialize(pairs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2")).union(pairs.select("d1", "d2")).distinct(), "wanted")
+        texts = sieve(keyed.select("k1", "k2", "text"), "k1", wanted).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
         sets = materialize(texts.mapInArrow(_sets(shingle), "k1 long, k2 long, hashes array<long>"), "sets")
         a, b = (sets.toDF(f"{x}1", f"{x}2", y) for x, y in (("s", "a"), ("d", "b")))
         joined = pairs.join(a, ["s1", "s2"]).join(b, ["d1", "d2"]).select("s1", "s2", "d1", "d2", "a", "b")
@@ -198,15 +212,21 @@ def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
         joined = rows.join(of, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
         return joined.withColumn("root", F.coalesce("component", node)).drop("n1", "n2", "component")
 
-    met = placed.join(crowds, "bucket")
-    links = verified(candidates(met.withColumn("root", node), own, False))
+    def met(roots: DataFrame, over: int) -> DataFrame:
+        """A row for each text and bucket of more than `over` texts, with the text's root."""
+        placed = rooted(nodes, roots).select(F.explode("keys").alias("bucket"), "k1", "k2", "n", "root", *[F.element_at("parity", i).alias(p) for i, p in enumerate(parities, 1)])
+        wanted = crowds.filter(F.col("many") > over)
+        return sieve(placed, "bucket", wanted).join(wanted, "bucket")
+
+    links = verified(fingerprinted())
+    roots = materialize(connected_components(links), "components")
+    links = links.union(verified(candidates(met(roots, 1), own, False)))
     roots = materialize(connected_components(links), "components")
     if not crowds.filter(F.col("many") > TILE).isEmpty():
         while True:
             # One text of each component of a large bucket; each round at least one link joins two of them, or it is the last one.
-            large = rooted(met.filter(F.col("many") > TILE), roots)
             least = F.min(F.struct("k1", "k2", "n", *parities)).alias("x")
-            several = large.groupBy("bucket", "root").agg(least).select("bucket", "root", "x.*")
+            several = met(roots, TILE).groupBy("bucket", "root").agg(least).select("bucket", "root", "x.*")
             counted = several.join(several.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > 1), "bucket")
             more = verified(candidates(counted, own, False))
             if more.isEmpty():
@@ -215,7 +235,7 @@ def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
             roots = materialize(connected_components(links), "components")
     # What is not connected yet is compared across components. Of any two components one is not the bucket's largest one,
     # so that those of the largest one stay in their tiles and only the others go to all.
-    rest = rooted(met.filter(F.col("many") > FEW), roots)
+    rest = met(roots, FEW)
     sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("components")).filter("components > 1")
     others = rest.join(largest, "bucket")

@@ -34,8 +34,14 @@ def fingerprint(text: str | None) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else [b" ".join(w)]
     n = max(1, len(w) - SHINGLE + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n).byteswap().view(np.uint8).reshape(-1, 8)
-    ones = sum(np.unpackbits(hashes[i : i + 16384], axis=1).sum(0, dtype=np.int64) for i in range(0, n, 16384))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 if set in over half of them."""
+    n = len(hashes)
+    rows = hashes.byteswap().view(np.uint8).reshape(-1, 8)
+    ones = sum(np.unpackbits(rows[i : i + 16384], axis=1).sum(0, dtype=np.int64) for i in range(0, n, 16384))
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

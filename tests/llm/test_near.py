@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credit_engine.llm import near, simhash
+from credit_engine.llm import near, shared, simhash
 
 
 def say(rng, n):
@@ -76,3 +76,32 @@ def test_crowds_grow_in_proportion(spark, monkeypatch):
     assert len({r.root for r in roots if r.id < 4000}) == 1 and len({r.root for r in roots}) == 51
     compared = sum(n for name, n in seen if name == "candidates")
     assert compared < 25 * 3 * 4000  # a spanning forest has a link for each text and bucket
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Texts whose fingerprints differ in at most 3 bits are linked by the anchors, and bands do not look at them again."""
+    rng = random.Random(4)
+    base = [say(rng, 2000) for _ in range(10)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x, "end"]) for x in base] + [" ".join(say(rng, 50)) for _ in range(10)]
+    fps = [simhash.majority(near.shingles(t)) for t in texts]
+    close = [i for i in range(10) if (fps[i] ^ fps[i + 10]).bit_count() <= 3]
+    seen, real = [], near.materialize
+
+    def watched(df, name):
+        made = real(df, name)
+        seen.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(near, "materialize", watched)
+    roots = near.near_roots(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(close) > 7 and len({r.root for r in roots}) == 20
+    assert [n for name, n in seen if name == "links"][0] == len(close)
+    assert [n for name, n in seen if name == "candidates"][:2] == [len(close), 10 - len(close)]
+
+
+def test_sieve_loses_nothing(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), "id")
+    wanted = rows.filter("id % 50 = 0")
+    left = {r.id for r in shared.sieve(rows, "k", wanted).collect()}
+    assert {*range(0, 20_000, 50)} <= left and len(left) < 4_000
+    assert shared.sieve(rows, "k", wanted.limit(0)).count() == 0
