@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..models import attribution, boosting, isolation, ranking
 from ..operators import profile
 from ..sources import tables
+from ..storage import materialize
 from .lending import _BASE, _assessed, _scored, _wide
 
 #: What the fraud agent's forest looks at.
@@ -70,13 +71,15 @@ def late_model_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the risk of rejected applicants comes to rest among applicants and suppliers, handed on along what is bought from whom."""
-    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("supplier"), C.cents(F.col("l_extendedprice")).alias("amount"))
-    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("A"), F.col("o_custkey")).alias("applicant"))
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), (F.col("l_suppkey") * 2 + 1).alias("supplier"), C.cents(F.col("l_extendedprice")).alias("amount"))
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") * 2).alias("applicant"))
     bought = lines.join(orders, "order_id").groupBy("applicant", "supplier").agg(F.sum("amount").cast("double").alias("weight"))
+    bought = materialize(bought, "bought")  # both ways are read from it
     there, back = bought.toDF("src", "dst", "weight"), bought.select("supplier", "applicant", "weight").toDF("src", "dst", "weight")
-    rejected = _assessed(spark, sf_dir).select(F.concat(F.lit("A"), F.col("applicant_id")).alias("node"), (F.col("decision") == "Reject").cast("double").alias("mass"))
+    rejected = _assessed(spark, sf_dir).select((F.col("applicant_id") * 2).alias("node"), (F.col("decision") == "Reject").cast("double").alias("mass"))
     ranked = ranking.personalised_rank(there.unionByName(back), rejected, damping=CONTAGION, rounds=CONTAGION_ROUNDS, tolerance=0.0)
-    return ranked.select("node", F.round("rank", 9).alias("rank"))
+    kind = F.when(F.pmod("node", F.lit(2)) == 0, "A").otherwise("S")  # numbers on the way, since texts are longer: applicants are even, suppliers odd
+    return ranked.select(F.concat(kind, F.shiftright("node", 1)).alias("node"), F.round("rank", 9).alias("rank"))
 
 
 def _contagion_sql() -> str:

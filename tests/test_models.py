@@ -231,3 +231,24 @@ def test_rank(spark, hub):
     ended = ranking.personalised_rank(e, n, rounds=500, tolerance=1e-3)
     assert sum(abs(x.rank - r[at[x.node]]) for x in ended.collect()) < 0.01
     assert ranking.personalised_rank(e, n.limit(0)).filter("rank IS NULL").count() == 32
+
+
+def test_rank_leaves_the_edges_where_they_lie(spark, monkeypatch):
+    """In a round the weights are read by their buckets and not shuffled."""
+    from credit_engine.models import ranking
+
+    plans, real = [], ranking._handed
+
+    def watched(ranks, weights):
+        made = real(ranks, weights)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(ranking, "_handed", watched)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = spark.range(2000).select((F.col("id") % 90).alias("src"), (F.col("id") % 70 + 50).alias("dst"), F.lit(1.0).alias("weight"))
+    ranked = ranking.personalised_rank(edges, spark.createDataFrame([(3, 1.0)], "node long, mass double"), rounds=2, tolerance=0.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert ranked.agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
+    assert len(plans) == 2 and all(p.count("Exchange") == 2 and "Bucketed: true" in p for p in plans)  # of the ranks, and of the cells' sums
