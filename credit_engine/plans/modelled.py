@@ -38,18 +38,19 @@ def fraud_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, opened, ORDER_FEATURES and `late` of every order that has lines."""
-    lines = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
-    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"))
+    lines = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.max("l_shipdate").cast("date").alias("closed")
+    )
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("applicant_id"), F.col("o_orderdate").cast("date").alias("opened"), F.col("o_totalprice").alias("amount"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"))
     scores = _assessed(spark, sf_dir).select("applicant_id", "balance", "mean_score")
-    terms = tables.credit_terms(spark, sf_dir)
-    joined = terms.join(orders, "order_id").join(lines, "order_id").join(scores, "applicant_id", "left")
+    joined = orders.join(lines, "order_id").join(scores, "applicant_id", "left")
     late = F.datediff("closed", "opened") > LATE_DAYS
     return joined.select("order_id", "opened", "lines", "amount", "quantity", "discount", "priority", (F.year("opened") * 12 + F.month("opened")).alias("month"), "balance", "mean_score", late.alias("late"))
 
 
 def _late_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the last fifth of the time with the probability that a model of the earlier ones gives them."""
-    rows = order_features(spark, sf_dir)
+    rows = materialize(order_features(spark, sf_dir), "order_features")  # read four times and more
     first, last = rows.agg(F.min(F.unix_date("opened")), F.max(F.unix_date("opened"))).first()
     cutoff = 0 if first is None else first + int(TRAINED_SHARE * (last - first))
     model = boosting.fit(rows.filter(F.unix_date("opened") < cutoff), ORDER_FEATURES, "late", "order_id")

@@ -252,3 +252,20 @@ def test_rank_leaves_the_edges_where_they_lie(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert ranked.agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
     assert len(plans) == 2 and all(p.count("Exchange") == 2 and "Bucketed: true" in p for p in plans)  # of the ranks, and of the cells' sums
+
+
+def test_late_orders_read_the_lines_once(spark, monkeypatch):
+    """What trees are fitted on and judged by is written once: the result does not read the lines again."""
+    from credit_engine.plans import modelled
+
+    monkeypatch.setattr(modelled.boosting, "fit", lambda rows, features, *_: boosting.Boosted({c: [] for c in features}, 0, []))
+    plan = modelled.late_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
+
+
+def test_factors_are_not_made_twice(spark):
+    """No filter repeats the factors' expression."""
+    from credit_engine.plans import lending
+
+    plan = lending.explain_factors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "transform(" in line for line in plan.splitlines())
