@@ -18,16 +18,18 @@ of other components. A crowd of near copies is one component by then, so its row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, sieve, text_keys
+from .shared import materialize, scratch, sieve, text_keys
 from .simhash import first_rows, majority, near_links
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,9 +42,9 @@ _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order; ASCII case does not count, fewer words are one shingle."""
-    w = (text or "").encode().lower().split()
+    w = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
     runs = map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else [b" ".join(w)]
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, max(1, len(w) - size + 1)))
 
@@ -145,26 +147,34 @@ def _pairs(similarity: float, labelled: bool):
     return run
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, size: int):
+    """Rows of (s1, s2, d1, d2) with both packed texts to those whose shingle sets are similar; a text is unpacked once for neighbouring rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        found = lru_cache(64)(lambda packed: shingles(unpack(packed), size))
         for batch in batches:
-            a, b = batch.column(4), batch.column(5)
-            ok = [similar(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), similarity) for x, y in zip(a, b, strict=True)]
+            ok = [similar(found(x), found(y), similarity) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["s1", "s2", "d1", "d2"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py(), size).view(np.int64) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["k1", "k2", "hashes"])
-
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts go to their pairs packed: a set's hashes do not shrink, and are five times as long."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [pack((x.as_py() or "").encode()) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], names=["k1", "k2", "packed"])
 
 
 def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `_roots`, written; all other tables on the way to them are deleted."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_roots(docs, text, id_column, shingle, similarity), "roots")
+
+
+def _roots(docs: DataFrame, text: str, id_column: str, shingle: int, similarity: float) -> DataFrame:
     """id, k1, k2 (the text_keys) and root (a struct of such keys) of every row of docs; texts that links of at least
     `similarity` join share a root.
 
@@ -200,11 +210,11 @@ def near_roots(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2")).union(pairs.select("d1", "d2")).distinct(), "wanted")
-        texts = sieve(keyed.select("k1", "k2", "text"), "k1", wanted).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-        sets = materialize(texts.mapInArrow(_sets(shingle), "k1 long, k2 long, hashes array<long>"), "sets")
-        a, b = (sets.toDF(f"{x}1", f"{x}2", y) for x, y in (("s", "a"), ("d", "b")))
+        packed = sieve(keyed.select("k1", "k2", "text"), "k1", wanted).mapInArrow(_pack, "k1 long, k2 long, packed binary")
+        texts = materialize(packed.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
+        a, b = (texts.toDF(f"{x}1", f"{x}2", y) for x, y in (("s", "a"), ("d", "b")))
         joined = pairs.join(a, ["s1", "s2"]).join(b, ["d1", "d2"]).select("s1", "s2", "d1", "d2", "a", "b")
-        return materialize(joined.mapInArrow(_verify(similarity), _PAIR).select(F.struct(F.col("s1").alias("k1"), F.col("s2").alias("k2")).alias("src"), F.struct(F.col("d1").alias("k1"), F.col("d2").alias("k2")).alias("dst")), "links")
+        return materialize(joined.mapInArrow(_verify(similarity, shingle), _PAIR).select(F.struct(F.col("s1").alias("k1"), F.col("s2").alias("k2")).alias("src"), F.struct(F.col("d1").alias("k1"), F.col("d2").alias("k2")).alias("dst")), "links")
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """rows with root, that of the component, or the row's own keys."""

@@ -173,7 +173,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", th
     votes = rules()
     column = dict(zip(votes, free_names([*keep, *FEATURES], *votes), strict=True))
     featured = with_features(docs, text).select(*[f"`{c}`" for c in keep], *FEATURES)
-    voted = materialize(featured.select("*", *[v.cast("byte").alias(column[r]) for r, v in votes.items()]), "quality")
+    voted = materialize(featured.select("*", *[v.cast("byte").alias(column[r]) for r, v in votes.items()]), "quality", compression="zstd")
     counted = voted.filter(~base_failed()).groupBy(*column.values()).count().collect()  # at most 3 to the number of rules
     patterns = sorted((tuple(row[c] for c in column.values()), row["count"]) for row in counted)
     good = fit_em(patterns, list(votes)).posterior({r: F.col(c) for r, c in column.items()})

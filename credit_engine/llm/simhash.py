@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, free_names, materialize, text_keys
+from .shared import documents, free_names, materialize, sifted, text_keys
 
 HALF = 31
 SHINGLE = 3
@@ -191,16 +191,21 @@ def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text
 
     It is the one of the smallest id, null ids last, and of the smallest text keys among rows of that id. Of rows that
     repeat both, which may differ in other columns, the one whose JSON is the least stays, so columns may be of any type
-    that JSON can tell, maps included. Columns keep their names, whatever they are.
+    that JSON can tell, maps included. Columns keep their names, whatever they are. Most rows stay for certain, since a
+    bitmap of those that may go (or repeat) does not have them; only the others are joined, so most texts are not shuffled.
     """
-    of_id, of_k1, of_k2, many, row = free_names(docs.columns, "id", "k1", "k2", "n", "row")
+    of_id, of_k1, of_k2, many, row, key, met = free_names(docs.columns, "id", "k1", "k2", "n", "row", "key", "met")
     once = rows.groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("n"))
     least = once.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "n")).alias("x"))
     chosen = materialize(least.select(F.col("x.id").alias(of_id), F.col("x.k1").alias(of_k1), F.col("x.k2").alias(of_k2), F.col("x.n").alias(many)), "chosen")
     k1, k2 = text_keys(F.col(f"`{text}`"))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col(of_id)) & (k1 == F.col(of_k1)) & (k2 == F.col(of_k2))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(chosen.filter(F.col(many) == 1), same).select(*columns)
+    alone = chosen.filter(F.col(many) == 1)
+    others = once.join(alone, F.col("id").eqNullSafe(F.col(of_id)) & (F.col("k1") == F.col(of_k1)) & (F.col("k2") == F.col(of_k2)), "left_anti")
+    marked = sifted(docs.withColumn(key, F.xxhash64(f"`{id_column}`", k1, k2)), key, materialize(others.select(F.xxhash64("id", "k1", "k2").alias(key)), "others"), met)
+    stays, docs = marked.filter(~F.col(met)).select(*columns), marked.filter(met).select(*columns)
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(of_id)) & (k1 == F.col(of_k1)) & (k2 == F.col(of_k2))
+    single = stays.union(docs.join(alone, same).select(*columns))
     repeated = chosen.filter(F.col(many) > 1)
     if repeated.isEmpty():
         return single

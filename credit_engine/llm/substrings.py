@@ -11,7 +11,7 @@ document holds the same windows, are left out of the run, and runs of one level
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import delete, documents, exists, free_names, materialize, new_path, text_keys, words
+from .shared import delete, documents, exists, free_names, materialize, new_path, scratch, sifted, text_keys, words
 
 WINDOW, GRAM = 35, 8
 #: Documents of one fingerprint that are verified together; those of more common ones are salted by this.
@@ -410,7 +410,7 @@ class SubstringIndex:
                 gone += pair
         return gone
 
-    def judged(self) -> DataFrame:
+    def judged(self, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
         """Of every distinct text so far, by its text_keys: k1, k2, n_words, n_removed and kept; see repeated_words."""
         spans = materialize(self._all("cover").groupBy("k1", "k2").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "spans")
         more = self._all("copies").groupBy("k1", "k2").agg(F.sum("copies").alias("more"))
@@ -426,7 +426,7 @@ class SubstringIndex:
         done = parts[0]
         for part in parts[1:]:
             done = done.union(part)
-        return materialize(done, "kept")
+        return write(done, "kept")
 
     def drop(self) -> None:
         """Deletes the index."""
@@ -444,12 +444,13 @@ def repeated_words(docs: DataFrame, text: str = "text", window: int = WINDOW, ba
     gives an empty result. The documents go through a SubstringIndex in batches, dealt by hash; the number of batches
     does not change the result.
     """
-    index = SubstringIndex(docs.sparkSession, window=window)
-    for batch in range(batches):
-        mine = F.pmod(text_keys(F.col(f"`{text}`"))[1], F.lit(batches)) == batch
-        index.add(docs.filter(mine), text, more=batch + 1 < batches)
-    done = index.judged()
-    index.drop()
+    with scratch(docs.sparkSession) as keep:
+        index = SubstringIndex(docs.sparkSession, window=window)
+        for batch in range(batches):
+            mine = F.pmod(text_keys(F.col(f"`{text}`"))[1], F.lit(batches)) == batch
+            index.add(docs.filter(mine), text, more=batch + 1 < batches)
+        done = index.judged(keep)
+        index.drop()
     return done
 
 
@@ -458,16 +459,18 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts that lose no word are as they were, n_chars (if there) follows the text, and documents that lose all words go.
     """
-    own1, own2, of1, of2, kept, every = free_names(docs.columns, "k1", "k2", "of1", "of2", "kept", "all")
+    own1, own2, of1, of2, kept, every, met = free_names(docs.columns, "k1", "k2", "of1", "of2", "kept", "all", "met")
     done = repeated_words(docs.select(F.col(f"`{text}`").alias("text"))).filter("n_removed > 0")
     done = done.select(F.col("k1").alias(of1), F.col("k2").alias(of2), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_words")).alias(every))
     k1, k2 = text_keys(F.col(f"`{text}`"))
     keyed = docs.withColumns({own1: k1, own2: k2})
-    joined = keyed.join(done, (F.col(own1) == F.col(of1)) & (F.col(own2) == F.col(of2)), "left").filter(~F.coalesce(every, F.lit(False)))
+    marked = sifted(keyed, own1, done.select(F.col(of1).alias(own1)), met)
+    joined = marked.filter(met).join(done, (F.col(own1) == F.col(of1)) & (F.col(own2) == F.col(of2)), "left").filter(~F.coalesce(every, F.lit(False)))
     changed = {text: F.coalesce(kept, F.col(f"`{text}`"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(F.length(kept).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    whole = marked.filter(~F.col(met)).select(*[F.col(f"`{c}`") for c in docs.columns])  # most texts are not shuffled
+    return whole.union(joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credit_engine.llm import near, shared, simhash
+from credit_engine.llm import near, shared, simhash, substrings
 
 
 def say(rng, n):
@@ -105,3 +105,30 @@ def test_sieve_loses_nothing(spark):
     left = {r.id for r in shared.sieve(rows, "k", wanted).collect()}
     assert {*range(0, 20_000, 50)} <= left and len(left) < 4_000
     assert shared.sieve(rows, "k", wanted.limit(0)).count() == 0
+
+
+def test_only_what_results_are_read_from_stays(spark, tmp_path, monkeypatch):
+    """The tables on the way to a result are deleted when it is written, so that they do not add up over the pipeline's stages."""
+    rng = random.Random(9)
+    texts = [" ".join(say(rng, 60)) for _ in range(40)]
+    texts += [t + " more" for t in texts[:10]] + [t + " " + " ".join(say(rng, 60)) for t in texts[10:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    left = lambda: sorted(p.name.rsplit("_", 1)[0] for p in tmp_path.glob("tables/*/*"))
+    kept = near.keep_first(docs)
+    assert kept.count() == 50 and left() == ["chosen", "others", "roots"]
+    assert substrings.remove_repeats(kept).count() == 40 and left() == ["chosen", "kept", "others", "roots"]
+
+
+def test_most_texts_are_not_shuffled(spark):
+    """Only rows that may go meet a join: of the others not one leaves its partition, whatever size Spark broadcasts up to."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(say(rng, 40))) for i in range(2000)]
+    rows += [(2000 + i, t + " more") for i, t in rows[:20]] + [(None, "a b c d e f"), (5, rows[5][1]), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    marked = shared.sifted(docs.withColumn("k", F.xxhash64("text")), "k", docs.filter("doc_id >= 2000").select(F.xxhash64("text").alias("k")), "met")
+    assert sorted(r.doc_id for r in marked.filter("met AND doc_id >= 2000").collect()) == list(range(2000, 2020))
+    assert marked.count() == len(rows) and marked.filter("met").count() < 300
+    assert "Exchange hashpartitioning(text" not in marked._jdf.queryExecution().toString()
+    assert sorted(r.doc_id for r in near.keep_first(docs).collect() if r.doc_id is not None) == list(range(2000))
+    assert near.keep_first(docs).filter("doc_id IS NULL").count() == 1
