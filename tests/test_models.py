@@ -59,6 +59,19 @@ def test_seasonal(spark, cut):
         assert missed[0] < missed[1] / 4  # a season is found
 
 
+def test_series_are_folded_together(spark):
+    """Many series at once as one by one in Python; no fold is left to Spark's interpreted lambda functions."""
+    rng = random.Random(2)
+    rows = [(i, [round(rng.uniform(0, 9e5), 2) for _ in range(rng.choice([1, 3, 6, 7, 11, 20, 43]))]) for i in range(3000)] + [(3000, []), (3001, None), (3002, [1.0, None, 2.0])]
+    told = forecast.seasonal(spark.createDataFrame(rows, "k int, ys array<double>").repartition(3), horizon=4)
+    assert "aggregate(" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r for r in told.collect()}
+    assert len(got) == len(rows) and all(got[k].choice is None and got[k].ahead is None for k in (3000, 3001, 3002))
+    for k, ys in rows[:3000:7]:
+        choice, ahead = brute_seasonal(ys, 4, forecast.HELD_OUT, 0, forecast.GRID)
+        assert (got[k].choice, got[k].ys) == (choice, ys) and got[k].ahead == pytest.approx(ahead, rel=1e-12), k
+
+
 def test_series_has_every_month(spark):
     rows = [(1, "2020-11-01", 5.0), (1, "2021-02-01", 7.0), (2, "2020-01-01", 1.0)]
     months = spark.createDataFrame(rows, "k int, m string, x double").withColumn("m", F.to_date("m"))
