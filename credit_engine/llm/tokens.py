@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,6 +29,28 @@ _CHUNKS = re.compile(r"\s*\S+(?:[^\S \t\n\r\x0b\x0c]\s*\S*)*|\s+").findall
 TOGETHER = 200
 
 
+def _odd(missing: set[str]) -> set[str]:
+    """Those that, but for a line break before them, are no word: empty ones, and ones with other white space. Most often
+    there are none but empty ones, which one split of all tells."""
+    empty = missing & {"", "\n"}
+    rest = [w.removeprefix("\n") for w in missing - empty]
+    if " ".join(rest).split() == rest:
+        return empty
+    return {w for w in missing if w.removeprefix("\n").split() != [w.removeprefix("\n")]}
+
+
+def _uncached(tokenizer):
+    """tokenizer, if it is BPE, without the library's own cache: TextEncoder knows the words itself, so none would be met there again."""
+    from tokenizers.models import BPE
+
+    if isinstance(tokenizer.model, BPE):
+        made = json.loads(tokenizer.to_str())["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in made["merges"]]
+        options = {k: v for k, v in made.items() if k not in ("type", "vocab", "merges") and v is not None}
+        tokenizer.model = BPE(made["vocab"], merges, cache_capacity=0, **options)
+    return tokenizer
+
+
 class TextEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct chunk of a batch once.
 
@@ -40,7 +63,7 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer = _uncached(Tokenizer.from_file(file))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # they are cut out before words are
         self.known: dict[str, bytes] = {}  # by chunk
         self.words: dict[str, bytes] = {}  # by word, after a space unless it begins with a line break
@@ -53,8 +76,8 @@ class TextEncoder:
     def _learn_words(self, missing: set[str]) -> None:
         """Encodes new words as lines of one text; a line break is a token by itself there, so it parts their ids."""
         line = np.array([self.line], "<u4")
-        for after_line in (False, True):
-            found = [w for w in missing if w.startswith("\n") == after_line]
+        begun = {w for w in missing if w[0] == "\n"}
+        for after_line, found in ((False, list(missing - begun)), (True, list(begun))):
             parts = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
             lines = ["\n".join([w[1:] if after_line else " " + w for w in part]) for part in parts]
             ids = np.concatenate([line, *(x for one in self._ids(lines) for x in (one, line))])
@@ -78,10 +101,10 @@ class TextEncoder:
         coded = list(map(words.get, flat))
         new = [i for i, ids in enumerate(coded) if ids is None]
         missing = {flat[i] for i in new}
-        odd = {w for w in missing if not self.even or w.removeprefix("\n").split() != [w.removeprefix("\n")]}
-        self._learn_words(missing - odd)
-        for i in new:
-            coded[i] = words.get(flat[i])
+        odd = _odd(missing) if self.even else missing
+        self._learn_words(missing - odd if odd else missing)
+        for i, ids in zip(new, map(words.get, map(flat.__getitem__, new)), strict=True):
+            coded[i] = ids
         even = [odd.isdisjoint(flat[a:b]) for a, b in spans] if odd else [True] * len(spans)
         chunked = {i: _CHUNKS(t) for i, (t, e) in enumerate(zip(texts, even, strict=True)) if t and not e}
         missing = set().union(*chunked.values()).difference(known)

@@ -407,6 +407,14 @@ def test_added_tokens_are_the_library_s():
     assert all(50256 in ids for t, ids in zip(given, want, strict=True) if t and end in t)
 
 
+@pytest.mark.parametrize("more", [[], ["a\xa0b"], ["\n\n"], ["\ta"], ["a\u2003"], ["\nb\r"]])
+def test_odd_words_are_told_at_once(more):
+    given = {"", "\n", "a", "\na", "b,", "\nc###", "\xe9\xdf", *more}
+    assert tokens._odd(given) == {"", "\n", *more}
+    assert tokens._odd(set(more) | {"x"}) == set(more)
+    assert tokens._odd(set()) == set()
+
+
 @pytest.mark.parametrize(("order", "leave_out", "block"), [(2, True, 1 << 21), (2, False, 3000), (1, True, 3000), (3, True, 3000), (4, False, 1 << 21)])
 def test_lm(docs, order, leave_out, block, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
